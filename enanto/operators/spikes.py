@@ -19,7 +19,7 @@ from statistics import NormalDist
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_micros
@@ -47,7 +47,7 @@ FALLBACK_STEP_S = 3600
 BATCH = 150_000
 
 _SERIES = ["case_id", "L", "hand"]
-_OUT = "case_id string, L double, hand string, us long, first_id long, last_id long, n_rows long, kind string, n long, dev double, away double, resid double"
+_OUT = "case_id string, L double, hand string, us long, first_id long, last_id long, n_rows long, kind string, dev double, away double, resid double"
 
 
 def _t_quantile(p: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -186,7 +186,8 @@ def _judged(table: pa.Table) -> pa.Table:
         diff = [pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in cols.values()]
         new[1:] = np.any(diff, axis=0)
     seg = np.cumsum(new) - 1
-    us, x, total = (table[c].to_numpy() for c in ("us", "o", "n"))
+    us, x = (table[c].to_numpy() for c in ("us", "o"))
+    total = np.bincount(seg)[seg]  # of a whole series; chunked ones have more than enough
     own, hot = (table[c].to_numpy().astype(bool) for c in ("own", "hot"))
     r = judge(us, x, seg)
     limit = SCATTERS * r["scatter"][seg]
@@ -194,7 +195,7 @@ def _judged(table: pa.Table) -> pa.Table:
     keep = np.flatnonzero(own & (hot | spike | r["stuck"]))
     kind = np.where(r["stuck"][keep], "stuck", np.where(hot[keep], "pending", "spike"))
     out = table.select([*_SERIES, "us", "first_id", "last_id", "n_rows"]).take(pa.array(keep))
-    for name, v in (("kind", pa.array(kind.tolist(), pa.string())), ("n", pa.array(total[keep], pa.int64())), ("dev", pa.array(r["dev"][keep])), ("away", pa.array(r["away"][keep])), ("resid", pa.array(r["resid"][keep]))):
+    for name, v in (("kind", pa.array(kind.tolist(), pa.string())), ("dev", pa.array(r["dev"][keep])), ("away", pa.array(r["away"][keep])), ("resid", pa.array(r["resid"][keep]))):
         out = out.append_column(name, v)
     return out
 
@@ -245,14 +246,15 @@ def _eligible(samples: DataFrame, cases: DataFrame, domains: DataFrame) -> DataF
     return out.withColumn("impossible", bad)
 
 
-def _chunks(readings: DataFrame) -> DataFrame:
-    """Readings with n (of their series), chunk, own and hot; readings near a chunk's edge appear in the next chunk too."""
-    sizes = readings.groupBy(*_SERIES).agg(F.count("*").alias("n"))
-    sized = readings.join(sizes, _SERIES)
-    bucket = F.expr(f"floor(us / ({BUCKET_STEPS} * coalesce(if(step_s > 0, step_s, null), {FALLBACK_STEP_S}) * 1000000D))")
-    sized = sized.withColumn("hot", F.col("n") > CHUNK).withColumn("bucket", F.when(F.col("hot"), bucket))
-    counts = sized.where("hot").groupBy(*_SERIES, "bucket").agg(F.count("*").alias("c"))
-    counts = counts.withColumn("over", F.expr(f"floor(bucket / {SUPER}D)"))
+def _hot_buckets(rows: DataFrame) -> DataFrame:
+    """Where the readings of series of more than ``CHUNK`` rows go: series, bucket, home chunk and chunks that see it.
+
+    Written, so that the plan that joins it knows its size: about one row per ``BUCKET_STEPS`` readings of hot series.
+    """
+    hot = rows.groupBy(*_SERIES).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(*[F.col(c).alias(f"__{c}") for c in _SERIES])
+    hot = written(hot, "hot-series")
+    of_hot = rows.join(hot, [F.col(c) == F.col(f"__{c}") for c in _SERIES]).select(*_SERIES, "us", _bucket().alias("bucket")).distinct()
+    counts = of_hot.groupBy(*_SERIES, "bucket").agg(F.count("*").alias("c")).withColumn("over", F.expr(f"floor(bucket / {SUPER}D)"))
     upper = counts.groupBy(*_SERIES, "over").agg(F.sum("c").alias("oc"), F.max("c").alias("om"))
     earlier = Window.partitionBy(*_SERIES).orderBy("over").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*_SERIES)
@@ -261,11 +263,20 @@ def _chunks(readings: DataFrame) -> DataFrame:
     placed = counts.join(upper, [*_SERIES, "over"]).withColumn("a", F.col("base") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
     lo = F.floor(F.greatest(F.col("a") - HALO - F.col("most"), F.lit(0)) / CHUNK)
     hi = F.floor((F.col("a") + F.col("c") - 1 + HALO) / CHUNK)
-    placed = placed.select(*[F.col(c).alias(f"__{c}") for c in _SERIES], F.col("bucket").alias("__bucket"), F.floor(F.col("a") / CHUNK).alias("home"), F.sequence(lo, hi).alias("seen"))
+    named = [F.col(c).alias(f"__{c}") for c in (*_SERIES, "bucket")]
+    return written(placed.select(*named, F.floor(F.col("a") / CHUNK).alias("home"), F.sequence(lo, hi).alias("seen")), "hot-buckets")
+
+
+def _bucket() -> Column:
+    return F.expr(f"floor(us / ({BUCKET_STEPS} * coalesce(if(step_s > 0, step_s, null), {FALLBACK_STEP_S}) * 1000000D))")
+
+
+def _chunks(readings: DataFrame, hot_buckets: DataFrame) -> DataFrame:
+    """Readings with chunk, own and hot; those near a chunk's edge appear in the next chunk too."""
     keys = [F.col(c) == F.col(f"__{c}") for c in (*_SERIES, "bucket")]
-    j = sized.join(placed, keys, "left")
+    j = readings.withColumn("bucket", _bucket()).join(hot_buckets, keys, "left")
     out = j.withColumn("chunk", F.explode(F.coalesce("seen", F.array(F.lit(0).cast("long")))))
-    return out.select(*_SERIES, "chunk", "us", "o", "first_id", "last_id", "n_rows", "n", "hot", (F.coalesce("home", F.lit(0)) == F.col("chunk")).alias("own"))
+    return out.select(*_SERIES, "chunk", "us", "o", "first_id", "last_id", "n_rows", F.col("home").isNotNull().alias("hot"), (F.coalesce("home", F.lit(0)) == F.col("chunk")).alias("own"))
 
 
 def implausible_readings(samples: DataFrame, cases: DataFrame, domains: DataFrame) -> DataFrame:
@@ -280,7 +291,7 @@ def implausible_readings(samples: DataFrame, cases: DataFrame, domains: DataFram
     fair = rows.where(~F.col("impossible"))
     first = F.coalesce("sample_id", F.lit(2**63 - 1))
     readings = fair.groupBy(*_SERIES, "us").agg(F.min_by("o", first).alias("o"), F.min("sample_id").alias("first_id"), F.max("sample_id").alias("last_id"), F.count("*").alias("n_rows"), F.min("step_s").alias("step_s"))
-    cut = _chunks(readings).repartition(*_SERIES, "chunk").sortWithinPartitions(*_SERIES, "chunk", "us")
+    cut = _chunks(readings, _hot_buckets(fair)).repartition(*_SERIES, "chunk").sortWithinPartitions(*_SERIES, "chunk", "us")
     # Written once: the chunked series' readings are read twice below, and the judgement isn't made again.
     judged = written(cut.mapInArrow(_judge_batches, _OUT), "judged")
     pending = judged.where(F.col("kind") == "pending")

@@ -115,7 +115,7 @@ def _daily_cycle(us: np.ndarray, x: np.ndarray, seg: np.ndarray, n_seg: int) ->
         cell = seg[rows] * BINS + (us[rows] % DAY_US) * BINS // DAY_US
         med = np.nan_to_num(_segment_median(x[rows] - long, cell, n_seg * BINS))
         counts = np.bincount(cell, minlength=n_seg * BINS)
-        med[counts < 3] = 0.0
+        med[counts <= 2 * SPIKE_RUN] = 0.0  # so that one spike can't become its own cycle
         out[rows] = med[cell]
     return out
 

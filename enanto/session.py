@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_OWN: dict[str, str | None] = {}
 
 
-def build_session(app: str = "enanto", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "enanto", master: str | None = None, shuffle_partitions: int | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """A session with adaptive execution and UTC; a cluster's own settings win where ``master`` is None."""
     b = (
         SparkSession.builder.appName(app)
@@ -24,15 +25,16 @@ def build_session(app: str = "enanto", master: str | None = None, shuffle_partit
         b = b.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return b.getOrCreate()
+    return b.config(map=conf or {}).getOrCreate()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
     at = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="enanto-")
-        spark.conf.set(CHECKPOINT_KEY, at)
+        app = spark.sparkContext.applicationId
+        at = _OWN.setdefault(app, None) or "file://" + tempfile.mkdtemp(prefix="enanto-")
+        _OWN[app] = at
     return at.rstrip("/")
 
 

@@ -179,9 +179,9 @@ def oracle_sql() -> dict:
         "calibration_error": f"""WITH {_RUNS}, x AS (SELECT domain, greatest(knee_p, 1 - knee_p) AS conf, ((knee_p >= 0.5) = knee_detected)::INT AS ok FROM runs WHERE knee_p BETWEEN 0 AND 1 AND knee_detected IS NOT NULL),
             b AS (SELECT domain, least(floor(conf * 10), 9) AS b, count(*) AS n, avg(conf) AS c, avg(ok) AS a FROM x GROUP BY 1, 2)
             SELECT domain, sum(n)::BIGINT AS n_runs, round(sum(abs(a - c) * n) / sum(n), 6) AS ece FROM b GROUP BY 1""",
-        "auroc": f"""WITH {_RUNS} SELECT a.domain, any_value(np) AS n_pos, any_value(nn) AS n_neg, round(sum(CASE WHEN a.knee_p > b.knee_p THEN 1.0 WHEN a.knee_p = b.knee_p THEN 0.5 ELSE 0 END) / (any_value(np) * any_value(nn)), 6) AS auroc
-            FROM runs a JOIN runs b ON a.domain = b.domain AND a.knee_detected AND NOT b.knee_detected
-            JOIN (SELECT domain, count(*) FILTER (knee_detected) AS np, count(*) FILTER (NOT knee_detected) AS nn FROM runs GROUP BY 1) c ON a.domain = c.domain GROUP BY 1""",
+        "auroc": f"""WITH {_RUNS}, c AS (SELECT domain, count(*) FILTER (knee_detected) AS np, count(*) FILTER (NOT knee_detected) AS nn FROM runs WHERE isfinite(knee_p) AND knee_detected IS NOT NULL GROUP BY 1),
+            w AS (SELECT a.domain, sum(CASE WHEN a.knee_p > b.knee_p THEN 1.0 WHEN a.knee_p = b.knee_p THEN 0.5 ELSE 0 END) AS wins FROM runs a JOIN runs b ON a.domain IS NOT DISTINCT FROM b.domain AND a.knee_detected AND NOT b.knee_detected GROUP BY 1)
+            SELECT c.domain, np AS n_pos, nn AS n_neg, round(wins / nullif(np * nn, 0), 6) AS auroc FROM c LEFT JOIN w ON c.domain IS NOT DISTINCT FROM w.domain""",
         "threshold_grid": f"""WITH {_RUNS},{_GRID} SELECT p_min, gamma_min, middle_min, tp, fp, fn, tn, round(fp_rate, 6) AS fp_rate, round(fn_rate, 6) AS fn_rate, round(prec, 6) AS "precision", round(rec, 6) AS recall,
             round(f_beta, 6) AS f_beta, coalesce(fp_rate <= 0.1, true) AS allowed FROM g""",
         "best_thresholds": f"""WITH {_RUNS},{_GRID} SELECT p_min, gamma_min, middle_min, round(fp_rate, 6) AS fp_rate, round(fn_rate, 6) AS fn_rate, round(prec, 6) AS "precision", round(rec, 6) AS recall, round(f_beta, 6) AS f_beta

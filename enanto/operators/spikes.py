@@ -295,9 +295,11 @@ def implausible_readings(samples: DataFrame, cases: DataFrame, domains: DataFram
     # Written once: the chunked series' readings are read twice below, and the judgement isn't made again.
     judged = written(cut.mapInArrow(_judge_batches, _OUT), "judged")
     pending = judged.where(F.col("kind") == "pending")
-    usual = pending.groupBy(*_SERIES).agg(F.percentile_approx("away", 0.5, 10_000).alias("m_away"), F.percentile_approx("resid", 0.5, 10_000).alias("m_resid"))
+    mine = lambda c: F.percentile_approx(F.when(F.col("kind") == "pending", F.col(c)), 0.5, 10_000)
+    # Of a chunked series all readings are here; many rows may still be few readings.
+    usual = judged.groupBy(*_SERIES).agg(mine("away").alias("m_away"), mine("resid").alias("m_resid"), F.count("*").alias("n"))
     confirmed = pending.join(usual, _SERIES).where(
-        (F.col("dev") > SCATTERS * MAD * F.col("m_away")) & (F.col("resid") > first_limit(CHUNK) * MAD * F.col("m_resid"))
+        (F.col("n") >= SERIES_LEAST) & (F.col("dev") > SCATTERS * MAD * F.col("m_away")) & (F.col("resid") > first_limit(CHUNK) * MAD * F.col("m_resid"))
     )
     columns = [*_SERIES, "us", "first_id", "last_id", "n_rows"]
     flagged = judged.where(F.col("kind") != "pending").select(*columns, "kind").unionByName(confirmed.select(*columns, F.lit("spike").alias("kind")))

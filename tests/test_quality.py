@@ -150,6 +150,15 @@ def test_spikes_whole_and_chunked(spark, monkeypatch, chunk):
     assert sorted(map(tuple, spikes.implausible_readings(s, c, d).collect())) == want
 
 
+def test_many_copies_of_few_readings(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "CHUNK", 64)
+    o = series(30, 5, [(10, 1)])
+    data = [(k * 30 + i + 1, 1, "a", T0 + dt.timedelta(minutes=i), 5.0, "L", float(v)) for k in range(5) for i, v in enumerate(o)]
+    cases = spark.createDataFrame([("a", "dom", 60, 0.0)], CASES)
+    domains = spark.createDataFrame([("dom", 0.0, 50.0, "clash")], DOMAINS)
+    assert spikes.implausible_readings(samples(spark, data), cases, domains).count() == 0
+
+
 def test_spikes_empty_and_small_batches(spark, monkeypatch):
     s, c, d, want = spiky(spark)
     assert spikes.implausible_readings(s.limit(0), c, d).count() == 0

@@ -165,16 +165,26 @@ def blocked_split(cases: DataFrame, boundary: str, buffer_days: int) -> DataFram
 
 
 def split_gaps(split: DataFrame) -> DataFrame:
-    """For each test case the hours to the nearest train case of its domain, either way (as-of in both directions)."""
-    o = Window.partitionBy("domain").orderBy("onset_time")
+    """For each test case the hours to the nearest train case of its domain, either way (as-of in both directions).
+
+    Within a day rows see each other; beyond it the days' latest and earliest train cases stand for them, so a window
+    holds a day's cases or one row per day.
+    """
     train = F.when(F.col("split") == "train", F.col("onset_time"))
-    x = split.withColumn("before", F.last(train, True).over(o.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("after", F.first(train, True).over(o.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    x = split.select("case_id", "domain", "onset_time", "split", F.to_date("onset_time").alias("day"), train.alias("train"))
+    o = Window.partitionBy("domain", "day").orderBy("onset_time")
+    x = x.withColumn("before", F.last("train", True).over(o.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("after", F.first("train", True).over(o.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    days = x.groupBy(F.col("domain").alias("__d"), F.col("day").alias("__day")).agg(F.min("train").alias("lo"), F.max("train").alias("hi"))
+    by_day = Window.partitionBy("__d").orderBy("__day")
+    days = days.select("__d", "__day", F.max("hi").over(by_day.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.min("lo").over(by_day.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    x = x.where("split = 'test'").join(days, F.col("domain").eqNullSafe(F.col("__d")) & (F.col("day") == F.col("__day")))
 
     def hours(a: Column, b: Column) -> Column:
         return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 3.6e9
 
-    gap = F.least(hours(F.col("onset_time"), F.col("before")), hours(F.col("after"), F.col("onset_time")))
-    return x.where("split = 'test'").select("case_id", "domain", gap.alias("gap_hours"))
+    before, after = F.coalesce("before", "earlier"), F.coalesce("after", "later")
+    gap = F.least(hours(F.col("onset_time"), before), hours(after, F.col("onset_time")))
+    return x.select("case_id", "domain", gap.alias("gap_hours"))
 
 
 def stratified_folds(r: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:

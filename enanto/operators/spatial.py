@@ -159,6 +159,19 @@ def offset_controls(events: DataFrame, offset: float = 60.0, lo: float = 0.0, hi
 _TIERS = (("tier_a_exact", ("domain", "step_s", "lat_bin", "lon_bin")), ("tier_b_lat", ("domain", "lat_bin")), ("tier_c_domain", ("domain",)))
 
 
+def _ranked(df: DataFrame, keys: tuple[str, ...], out: str) -> DataFrame:
+    """Rank of each row within its stratum by the md5 of case_id: rank in one of 4096 hash buckets plus the rows of earlier ones."""
+    x = df.withColumn("__h", F.md5("case_id")).withColumn("__b", F.substring("__h", 1, 3))
+    n = x.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__nb")).agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(*[f"__k_{k}" for k in keys]).orderBy("__nb").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("__off", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    on = F.col("__b") == F.col("__nb")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    w = Window.partitionBy(*keys, "__b").orderBy("__h", "case_id")
+    return x.withColumn("__rn", F.row_number().over(w)).join(n, on).select(*df.columns, (F.col("__rn") + F.col("__off")).alias(out))
+
+
 def matched_controls(cases: DataFrame, lat_step: float = 20.0, lon_step: float = 60.0) -> DataFrame:
     """A control case for each event case, without replacement, from the strictest tier that has one left.
 
@@ -170,9 +183,8 @@ def matched_controls(cases: DataFrame, lat_step: float = 20.0, lon_step: float =
     events, controls = c.where(F.col("case_type").isin("storm", "near_storm")), c.where("case_type = 'control'")
     out = None
     for quality, keys in _TIERS:
-        w = Window.partitionBy(*keys).orderBy(F.md5("case_id"), "case_id")
-        e = events.select(*events.columns, F.row_number().over(w).alias("r"))
-        k = controls.select(F.col("case_id").alias("control_id"), *[F.col(x).alias(f"__{x}") for x in keys], F.row_number().over(w).alias("__r"))
+        e = _ranked(events, keys, "r")
+        k = _ranked(controls, keys, "__r").select(F.col("case_id").alias("control_id"), *[F.col(x).alias(f"__{x}") for x in keys], "__r")
         on = F.col("r") == F.col("__r")
         for x in keys:
             on = on & F.col(x).eqNullSafe(F.col(f"__{x}"))

@@ -160,6 +160,21 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> DataFrame:
     return df.sparkSession.read.parquet(path).groupBy(*by).agg(F.count("*").alias("n_rows"))
 
 
+def content_hash(path: str) -> str:
+    """sha256 over the sorted relative paths and sha256 sums of a folder's files."""
+    import hashlib
+
+    names = sorted(os.path.relpath(os.path.join(r, f), path) for r, _, fs in os.walk(path) for f in fs)
+    total = hashlib.sha256()
+    for n in names:
+        one = hashlib.sha256()
+        with open(os.path.join(path, n), "rb") as f:
+            for part in iter(lambda: f.read(1 << 20), b""):
+                one.update(part)
+        total.update(f"{n}\0{one.hexdigest()}\n".encode())
+    return total.hexdigest()
+
+
 def write_json(payload: dict, path: str) -> None:
     with open(path, "w") as f:
         json.dump(payload, f, sort_keys=True, indent=2, default=str)

@@ -65,6 +65,16 @@ def test_tables_and_sweeps(spark, tmp_path):
     assert {r.hand: r.n_rows for r in n.collect()} == {"L": 48, "R": 48}
 
 
+def test_content_hash_sees_names_and_bytes(tmp_path):
+    (tmp_path / "a").write_text("1")
+    first = datasets.content_hash(str(tmp_path))
+    assert first == datasets.content_hash(str(tmp_path))
+    (tmp_path / "a").write_text("2")
+    second = datasets.content_hash(str(tmp_path))
+    (tmp_path / "a").rename(tmp_path / "b")
+    assert len({first, second, datasets.content_hash(str(tmp_path))}) == 3
+
+
 def test_streams_match_batch(spark, tmp_path):
     a = slices.hourly(spark, f"{SMALL}/samples.parquet")
     b = spark.read.parquet(f"{SMALL}/samples.parquet").where("t is not null and hand in ('L', 'R')")

@@ -196,6 +196,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             p = _Passages(shared.value)
             known = p.vocabulary.get
+            overlap = 2 * int(p.place.max(initial=0)) + 2 * REACH
             docs: list = []
             parts: list[np.ndarray] = []
             held = 0
@@ -210,14 +211,16 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
                     if not t:
                         continue
-                    ids = [known(w, 0) for w in words(t)]
-                    ids.append(0)
-                    docs.append(i)
-                    parts.append(np.array(ids, np.int64))
-                    held += len(ids)
-                    if held >= SHARD_WORDS:
-                        yield found()
-                        docs, parts, held = [], [], 0
+                    ids = np.array([known(w, 0) for w in words(t)] + [0], np.int64)
+                    for s in range(0, len(ids), SHARD_WORDS):
+                        # A longer text comes in stretches that see as much of the next as a passage can span.
+                        part = ids[s : s + SHARD_WORDS + overlap]
+                        docs.append(i)
+                        parts.append(part if s + len(part) == len(ids) else np.append(part, 0))
+                        held += len(part)
+                        if held >= SHARD_WORDS:
+                            yield found()
+                            docs, parts, held = [], [], 0
             if parts and len(p.ids):
                 yield found()
 

@@ -22,7 +22,9 @@ from ..session import written
 
 LENGTH = 200  # fixed by the problem statement
 ANCHOR = 64
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
+#: Longer texts are taken in stretches of so many characters, each seeing two lengths of its neighbours.
+STRETCH = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -106,8 +108,12 @@ _OCC = "page_id bigint, doc_id bigint, place int, h bigint, around bigint"
 def _occurrences(documents: DataFrame, length: int, anchor: int, once: bool) -> DataFrame:
     """Anchors of all texts; with ``once``, of those that look alike in one page one per batch."""
 
-    def batch(page: list, doc: list, texts: list) -> pa.RecordBatch:
+    def batch(held: list) -> pa.RecordBatch:
+        page, doc, texts, offset, lo, hi = (list(x) for x in zip(*held))
         t, place, h, around = winnow(texts, length, anchor)
+        whole = place + np.array(offset, np.int64)[t]
+        core = (whole >= np.array(lo, np.int64)[t]) & (whole < np.array(hi, np.int64)[t])
+        t, place, h, around = t[core], whole[core], h[core], around[core]
         p, d = np.array(page, np.int64)[t], np.array(doc, np.int64)[t]
         if once and len(t):
             # The neighbourhood's hash stands for the anchor's: both name the same characters.
@@ -119,18 +125,19 @@ def _occurrences(documents: DataFrame, length: int, anchor: int, once: bool) ->
         return pa.RecordBatch.from_arrays([pa.array(p), pa.array(d), pa.array(place.astype(np.int32)), pa.array(h), pa.array(around)], names=["page_id", "doc_id", "place", "h", "around"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, doc, texts, held = [], [], [], 0
+        held, size = [], 0
         for b in batches:
             for p, d, t in zip(b["page_id"].to_pylist(), b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                page.append(p)
-                doc.append(d)
-                texts.append(t)
-                held += len(t)
-                if held >= BATCH_CHARS:
-                    yield batch(page, doc, texts)
-                    page, doc, texts, held = [], [], [], 0
-        if texts:
-            yield batch(page, doc, texts)
+                for s in range(0, len(t), STRETCH):
+                    begin = max(0, s - 2 * length)
+                    part = t[begin : s + STRETCH + 2 * length] if len(t) > STRETCH else t
+                    held.append((p, d, part, begin, s, s + STRETCH))
+                    size += len(part)
+                    if size >= BATCH_CHARS:
+                        yield batch(held)
+                        held, size = [], 0
+        if held:
+            yield batch(held)
 
     used = documents.where(F.col("page_id").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") >= length))
     return used.select("page_id", "doc_id", "text").mapInArrow(run, _OCC)
@@ -150,16 +157,24 @@ def _windows(candidates: DataFrame, documents: DataFrame, length: int, anchor: i
         lefts = np.arange(length - anchor + 1)
         for b in batches:
             for page, text, anchors in zip(b["page_id"].to_pylist(), b["text"].to_pylist(), b["anchors"].to_pylist()):
-                hashes = _Hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
                 h, around, place = (np.array([a[k] for a in anchors], np.int64) for k in ("h", "around", "place"))
-                for s in range(0, len(h), 2000):
-                    start = place[s : s + 2000, None] - lefts[None, :]
-                    i, left = np.nonzero((start >= 0) & (start + length <= len(text)))
+                order = np.argsort(place, kind="stable")
+                h, around, place = h[order], around[order], place[order]
+                s = 0
+                while s < len(h):
+                    # Anchors near each other share the hashes of the stretch around them.
+                    e = min(s + 2000, int(np.searchsorted(place, place[s] + STRETCH)))
+                    base = max(0, int(place[s]) - length)
+                    part = np.frombuffer(text[base : int(place[e - 1]) + length].encode("utf-32-le", "surrogatepass"), np.uint32)
+                    hashes = _Hashes(part)
+                    start = place[s:e, None] - base - lefts[None, :]
+                    i, left = np.nonzero((start >= 0) & (start + length <= len(part)))
                     begin = start[i, left]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h[s + i]), pa.array(left.astype(np.int32)), pa.array(hashes.of(begin, begin + length).view(np.int64)), pa.array(np.full(len(i), page, np.int64)), pa.array(around[s + i])],
                         names=["h", "left", "w", "page_id", "around"],
                     )
+                    s = e
 
     texts = documents.where(F.col("page_id").isNotNull()).select("page_id", "doc_id", "text")
     return texts.join(by_doc, F.col("doc_id") == F.col("__doc")).select("page_id", "text", "anchors").mapInArrow(extend, "h bigint, left int, w bigint, page_id bigint, around bigint")

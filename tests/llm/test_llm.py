@@ -236,6 +236,19 @@ def test_shards_blocks_and_empty_tables(spark, monkeypatch):
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 99]
 
 
+def test_long_texts_in_stretches(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    p = passages(rng, 3, 50)
+    ws = list(rng.choice(WORDS, 4000))
+    changed = [w if i % 8 else "z" for i, w in enumerate(p[2])]
+    for at, x in ((990, p[0][:30]), (1985, p[1]), (2970, changed)):
+        ws[at : at + len(x)] = x
+    want = hits(spark, [(1, " ".join(ws))], [(i, " ".join(x)) for i, x in enumerate(p)])
+    assert want == {(1, 0): (30, "verbatim"), (1, 1): (50, "verbatim"), (1, 2): (7, "changed")}
+    monkeypatch.setattr(leakage, "SHARD_WORDS", 1000)
+    assert hits(spark, [(1, " ".join(ws))], [(i, " ".join(x)) for i, x in enumerate(p)]) == want
+
+
 def test_suffix_ranks_order_by_words():
     ids = np.array([3, 1, 2, 3, 1, 2, 0, 3, 1, 0])
     r = leakage.prefix_ranks(ids, 4)
@@ -286,6 +299,13 @@ def test_sharing_pages(spark, anchor):
     assert spans.sharing_pages(pages(spark, [])).count() == 0
 
 
+def test_sharing_pages_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(spans, "STRETCH", 150)
+    monkeypatch.setattr(spans, "BATCH_CHARS", 400)
+    data = fixture(np.random.default_rng(12))
+    assert {tuple(r) for r in spans.sharing_pages(pages(spark, data)).collect()} == shared(data)
+
+
 def test_spans_and_shares(spark):
     data = fixture(np.random.default_rng(8))
     want = {}

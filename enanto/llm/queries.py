@@ -11,6 +11,11 @@ _RESULTS, _LOADS = ["test_name"], ["load_id"]
 _DAILY = ["test_name", "run_date"]
 
 
+def _nine(df):
+    """Nine decimals, so that the last bit of an interpolation doesn't show."""
+    return df.withColumn("value", F.round("value", 9))
+
+
 def _combined(s, d):
     daily = percentiles.summarise(table(s, d, "results"), _DAILY, "eta")
     return percentiles.combine(daily, _RESULTS, ["run_date"])
@@ -28,12 +33,13 @@ def _clean(s, d):
 
 def queries() -> dict:
     return {
-        "p5_percentiles": lambda s, d: percentiles.percentiles(table(s, d, "results"), _RESULTS, "eta"),
-        "p5_daily": lambda s, d: percentiles.percentiles(table(s, d, "results"), _DAILY, "eta").withColumn("run_date", F.col("run_date").cast("string")),
-        "p5_loads": lambda s, d: percentiles.percentiles(table(s, d, "samples"), _LOADS, "L"),
+        "p5_percentiles": lambda s, d: _nine(percentiles.percentiles(table(s, d, "results"), _RESULTS, "eta")),
+        "p5_daily": lambda s, d: _nine(percentiles.percentiles(table(s, d, "results"), _DAILY, "eta")).withColumn("run_date", F.col("run_date").cast("string")),
+        "p5_loads": lambda s, d: _nine(percentiles.percentiles(table(s, d, "samples"), _LOADS, "L")),
         "p5_combined": _combined,
         "p5_combined_loads": _whole_l,
         "p6_packing": lambda s, d: packing.pack(table(s, d, "documents")),
+        "p6_quality": lambda s, d: packing.pack_quality(packing.pack(table(s, d, "documents"))),
         "p7_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
         "p7_matches": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p7_clean": _clean,
@@ -48,7 +54,7 @@ def _exact(source: str, value: str, keys: str) -> str:
 WITH q AS (
   SELECT {keys}, count({value}) AS n, quantile_cont({value}, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS v
   FROM {source} WHERE {value} IS NOT NULL AND NOT isnan({value}) GROUP BY {keys})
-SELECT {keys}, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS p, unnest(v) AS "value", n, 0.0::DOUBLE AS rank_error FROM q"""
+SELECT {keys}, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS p, round(unnest(v), 9) AS "value", n, 0.0::DOUBLE AS rank_error FROM q"""
 
 
 def oracle_sql() -> dict:

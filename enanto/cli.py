@@ -1,4 +1,4 @@
-"""python -m enanto.cli validate|prepare|run|audit PATH ...: dataset folders from the command line."""
+"""python -m enanto.cli validate|prepare|run|audit|report PATH ...: dataset folders from the command line."""
 
 from __future__ import annotations
 
@@ -69,6 +69,29 @@ def audit(spark, out: str) -> dict:
     return {"decision": "accept" if head["has_knee"] and not why else "reject", "reasons": why, "gamma": head["gamma"], "eta_median": eta}
 
 
+def report(spark, out: str) -> str:
+    """An HTML page of a finished run: its decision, its curve as an inline drawing, and its rows (one per size)."""
+    import html
+    import math
+
+    rows = [r.asDict() for r in spark.read.parquet(os.path.join(out, "results.parquet")).orderBy("L").collect()]
+    xy = [(math.log(r["L"]), math.log(max(r["eta"], 1e-12))) for r in rows if r["L"] > 0 and r["eta"] is not None]
+    drawing = ""
+    if xy:
+        (x0, x1), (y0, y1) = ((min(v), max(v)) for v in zip(*xy))
+        at = [(20 + 560 * (x - x0) / max(x1 - x0, 1e-12), 280 - 260 * (y - y0) / max(y1 - y0, 1e-12)) for x, y in xy]
+        line = " ".join(f"{x:.1f},{y:.1f}" for x, y in at)
+        dots = "".join(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="3"/>' for x, y in at)
+        drawing = f'<svg width="600" height="300" role="img" aria-label="ln eta against ln L"><polyline points="{line}" fill="none" stroke="black"/>{dots}</svg>'
+    names = list(rows[0]) if rows else []
+    cells = "".join("<tr>" + "".join(f"<td>{html.escape(str(r[n]))}</td>" for n in names) + "</tr>" for r in rows)
+    head = "".join(f"<th>{html.escape(n)}</th>" for n in names)
+    page = f"<!doctype html><title>Run</title><p>{html.escape(json.dumps(audit(spark, out), default=str))}</p>{drawing}<table><tr>{head}</tr>{cells}</table>"
+    with open(os.path.join(out, "report.html"), "w") as f:
+        f.write(page)
+    return page
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="enanto")
     sub = p.add_subparsers(dest="command", required=True)
@@ -80,6 +103,8 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--out", required=True)
     a = sub.add_parser("audit")
     a.add_argument("out")
+    h = sub.add_parser("report")
+    h.add_argument("out")
     c = sub.add_parser("prepare")
     c.add_argument("table")
     c.add_argument("--out", required=True)
@@ -95,6 +120,8 @@ def main(argv: list[str] | None = None) -> int:
             datasets.write_dataset(datasets.read_table(spark, ns.table), ns.out, ns.domain, os.path.basename(ns.out.rstrip("/")))
         elif ns.command == "run":
             print(json.dumps(run(spark, ns.path, ns.out), default=str))
+        elif ns.command == "report":
+            report(spark, ns.out)
         else:
             print(json.dumps(audit(spark, ns.out), default=str))
         return 0

@@ -55,6 +55,47 @@ def eta_models(size: Column, key: Column) -> dict[str, Column]:
     }
 
 
+def noises(key: Column, scale: float = 0.02) -> dict[str, Column]:
+    """Gaussian, lognormal, Laplace and Student's t (3 degrees) deviates of the scale, from the key."""
+
+    def normal(tag: str) -> Column:
+        return F.sqrt(-2.0 * F.log(uniform(F.lit(tag + "1"), key))) * F.cos(2.0 * math.pi * uniform(F.lit(tag + "2"), key))
+
+    u = uniform(F.lit("l"), key) - 0.5
+    z, a, b, c = (normal(t) for t in ("z", "p", "q", "r"))
+    return {
+        "gaussian": scale * z,
+        "lognormal": F.exp(scale * z) - 1.0,
+        "laplace": -scale / math.sqrt(2.0) * F.signum(u) * F.log(1.0 - 2.0 * F.abs(u)),
+        "student_t": scale * z / F.sqrt((a * a + b * b + c * c) / 3.0),
+    }
+
+
+def coloured_noise(points: DataFrame, series: str, alpha: float = 1.0) -> DataFrame:
+    """Noise with a 1/f^alpha power spectrum along each series, z-scored; 0 for fewer than 4 points."""
+    import numpy as np
+    import pandas as pd
+
+    from .knees import _seed
+
+    kind = points.schema[series].dataType.simpleString()
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        n = len(pdf)
+        noise = np.zeros(n)
+        if n > 3:
+            rng = np.random.default_rng(_seed(key[0]))
+            f = np.fft.rfftfreq(n)
+            f[0] = f[1]
+            x = np.fft.irfft((rng.normal(size=len(f)) + 1j * rng.normal(size=len(f))) * f ** (-alpha / 2), n=n)
+            noise = (x - x.mean()) / max(x.std(), 1e-12)
+        pdf["noise"] = noise
+        return pdf[[series, "i", "noise"]]
+
+    return points.select(series, "i").groupBy(series).applyInPandas(one, f"`{series}` {kind}, i long, noise double")
+
+
 def modelled(keys: DataFrame) -> DataFrame:
     """Long table (case_id, L, model, eta) of all models over the sizes of ``keys`` (case_id, L)."""
     k = F.concat_ws("|", F.col("case_id"), F.round(F.col("L") * 10_000).cast("long").cast("string"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import median
 from ..functions.scalars import finite, floor_to, round_half_even, safe_div, safe_log, truthy
-from ..operators import curve, evaluation, knees, pairing, resampling, spatial
+from ..operators import curve, evaluation, generate, knees, pairing, resampling, spatial
 from ..session import table
 from . import pipeline, spatial as spatial_plans
-from .contrast import HINGE, LINE, PAIRS, pairs, rounded
+from .contrast import HINGE, LINE, PAIRS, POINTS, pairs, points, rounded
 from .evaluation import _RUNS, _runs
 
 AGREE = 0.35
@@ -152,8 +152,17 @@ def _scalars(s, d):
     )
 
 
+def _noise_models(s, d):
+    """The four deviates of each run and size."""
+    x = points(s, d)
+    key = F.concat_ws("|", F.col("run_id").cast("string"), F.col("i").cast("string"))
+    return rounded(x.select("run_id", "i", *[c.alias(n) for n, c in generate.noises(key).items()]))
+
+
 def queries() -> dict:
     return {
+        "noise_models": _noise_models,
+        "coloured_noise": lambda s, d: rounded(generate.coloured_noise(points(s, d), "run_id")),
         "mode_candidates": lambda s, d: rounded(_mode_candidates(s, d)),
         "mode_acceptance": lambda s, d: rounded(_mode_acceptance(s, d)),
         "spectral_knees": lambda s, d: rounded(_spectral_knees(s, d), 4),
@@ -197,7 +206,12 @@ def oracle_sql() -> dict:
     spec = spec[: spec.rindex(" SELECT case_id, round(freq")].replace("idx / 8.0", "idx / 16.0").replace("seg * 8", "seg * 16").replace("c = 16", "c = 32").replace("range(9)", "range(17)").replace("IN (0, 8)", "IN (0, 16)").replace("f / 16.0", "f / 32.0")
     spec = spec.replace(repr(2 * math.pi / 16), repr(2 * math.pi / 32)).replace(repr(sum((0.5 - 0.5 * math.cos(2 * math.pi * k / 16)) ** 2 for k in range(16))), repr(sum((0.5 - 0.5 * math.cos(2 * math.pi * k / 32)) ** 2 for k in range(32))))
     tf = ", p AS (SELECT case_id AS run_id, row_number() OVER (PARTITION BY case_id ORDER BY freq) - 1 AS i, count(*) OVER (PARTITION BY case_id) AS n_points, freq AS L, ln(freq) AS x, ln(greatest(power, 1e-12)) AS y FROM sp WHERE freq > 0)"
+    nu = lambda tag: pipeline._u(tag, "k")
+    no = lambda t: f"(sqrt(-2 * ln({nu(t + '1')})) * cos({2 * math.pi!r}::DOUBLE * {nu(t + '2')}))"
     return {
+        "noise_models": f"""WITH {POINTS}, x AS (SELECT run_id, i, run_id::VARCHAR || '|' || i::VARCHAR AS k FROM p), y AS (SELECT run_id, i, {no('z')} AS z, {no('p')} AS a, {no('q')} AS b, {no('r')} AS c, {nu('l')} - 0.5::DOUBLE AS u FROM x)
+            SELECT run_id, i, round(0.02::DOUBLE * z, 6) AS gaussian, round(exp(0.02::DOUBLE * z) - 1, 6) AS lognormal, round(-0.02::DOUBLE / sqrt(2.0::DOUBLE) * sign(u) * ln(1 - 2 * abs(u)), 6) AS laplace,
+              round(0.02::DOUBLE * z / sqrt((a * a + b * b + c * c) / 3), 6) AS student_t FROM y""",
         "mode_candidates": f"WITH {_RANKED} SELECT run_id, mode, k, round(L_k, 6) AS \"L_k\", round(delta_bic, 6) AS delta_bic, round(delta_gamma, 6) AS delta_gamma, rank FROM rk",
         "mode_acceptance": f"""WITH {_RANKED}, g AS (SELECT run_id, count(*) AS n, median(L_k) AS m, min(L_k) AS lo, max(L_k) AS hi, min(delta_bic) AS lg FROM rk WHERE rank = 1 GROUP BY 1)
             SELECT run_id, n AS n_modes, round(m, 6) AS "L_mid", round(greatest(hi - m, m - lo) / greatest(m, 1e-12), 6) AS disagreement, n = 2 AND greatest(hi - m, m - lo) / greatest(m, 1e-12) <= {AGREE} AND lg >= 10 AS accepted FROM g""",

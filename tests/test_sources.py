@@ -25,6 +25,8 @@ def test_dataset_round_trip_and_commands(spark, tmp_path):
     assert 0.5 < meta["gamma"] < 1.4
     assert cli.audit(spark, str(tmp_path / "out"))["decision"] in ("accept", "reject")
     assert json.load(open(tmp_path / "out/metadata.json"))["dataset"] == "one"
+    page = cli.report(spark, str(tmp_path / "out"))
+    assert page.count("<circle") == 8 and page.count("<tr>") == 9
 
 
 def test_invalid_datasets(spark, tmp_path):

@@ -211,6 +211,7 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHO
     pages = seen.groupBy("h", "left", "w").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo < hi")
     hit = seen.join(pages, ["h", "left", "w"], "left_semi")
     lefts = hit.groupBy(F.col("h").alias("__h"), F.col("page_id").alias("__p"), F.col("around").alias("__r")).agg(F.collect_set("left").alias("lefts"))  # at most length - anchor + 1
+    lefts = written(lefts, "lefts")  # of known size, so that Spark can tell whether all anchors need to move to meet it
     j = occurrences.join(lefts, (F.col("h") == F.col("__h")) & (F.col("page_id") == F.col("__p")) & (F.col("around") == F.col("__r")))
     begin = j.select("doc_id", F.explode("lefts").alias("left"), "place").select("doc_id", (F.col("place") - F.col("left")).alias("start")).distinct()
     w = Window.partitionBy("doc_id").orderBy("start")  # the windows of one text

@@ -6,7 +6,8 @@ anchors of different pages are joined by hash; only where a hash occurs in more
 anchor extends both ways one character at a time: its neighbourhood is laid out as the windows of ``length`` characters
 around it, and two anchors extend to a shared span exactly where they have such a window in common. Windows are grouped by
 hash, so no two records are ever compared pair by pair, and overlapping shared windows of a record join to its maximal
-shared spans. Only pages that do share a span are paired in the end, once for each set of pages.
+shared spans. Anchors with the same neighbourhood are one, whatever the number of their copies, and carry the set of their
+pages as a mergeable signature. Only pages that do share a span are paired in the end, once for each two sets of pages.
 """
 
 from __future__ import annotations
@@ -143,23 +144,38 @@ def _occurrences(documents: DataFrame, length: int, anchor: int, once: bool) ->
     return used.select("page_id", "doc_id", "text").mapInArrow(run, _OCC)
 
 
-def _shared_anchors(distinct: DataFrame) -> DataFrame:
-    """Those of the distinct anchors (h, page_id, around, doc_id, place) whose hash occurs in more than one page."""
-    shared = distinct.groupBy("h").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).where("a < b").select(F.col("h").alias("__h"))
-    return distinct.join(shared, F.col("h") == F.col("__h"), "left_semi")
+def _neighbourhoods(distinct: DataFrame) -> DataFrame:
+    """Anchors by neighbourhood: h, around, a place to read it at (doc_id, place), its pages' range lo..hi and their set ``ps``.
+
+    Only those whose anchor occurs in more than one page. Two sets of pages have the same ``ps`` where number, sum and
+    exclusive or of the pages' hashes and their range agree.
+    """
+    c = distinct.groupBy("h", "around").agg(
+        F.min(F.struct("doc_id", "place")).alias("rep"),
+        F.count("*").alias("n"),
+        F.sum(F.xxhash64("page_id").cast("decimal(38,0)")).alias("s"),
+        F.bit_xor(F.xxhash64("page_id", F.lit(1))).alias("x"),
+        F.min("page_id").alias("lo"),
+        F.max("page_id").alias("hi"),
+    )
+    c = written(c.select("h", "around", "rep.doc_id", "rep.place", "lo", "hi", F.xxhash64("n", F.col("s").cast("string"), "x", "lo", "hi").alias("ps")), "neighbourhoods")
+    shared = c.groupBy("h").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select(F.col("h").alias("__h"))
+    return c.join(shared, F.col("h") == F.col("__h"), "left_semi")
+
+
+_WINDOW = ("around", "lo", "hi", "ps")
 
 
 def _windows(candidates: DataFrame, documents: DataFrame, length: int, anchor: int) -> DataFrame:
-    """The windows of ``length`` characters around each candidate: h, left (characters before the anchor), hash, page_id, around."""
-    by_doc = candidates.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("h", "around", "place")).alias("anchors"))  # as many as one text has
+    """The windows of ``length`` characters around each candidate: h, left (characters before the anchor), hash w, and its own around, lo, hi, ps."""
+    by_doc = candidates.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("h", "place", *_WINDOW)).alias("anchors"))  # as many as one text has
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lefts = np.arange(length - anchor + 1)
         for b in batches:
-            for page, text, anchors in zip(b["page_id"].to_pylist(), b["text"].to_pylist(), b["anchors"].to_pylist()):
-                h, around, place = (np.array([a[k] for a in anchors], np.int64) for k in ("h", "around", "place"))
-                order = np.argsort(place, kind="stable")
-                h, around, place = h[order], around[order], place[order]
+            for text, anchors in zip(b["text"].to_pylist(), b["anchors"].to_pylist()):
+                anchors.sort(key=lambda a: a["place"])
+                h, place, *own = (np.array([a[k] for a in anchors], np.int64) for k in ("h", "place", *_WINDOW))
                 s = 0
                 while s < len(h):
                     # Anchors near each other share the hashes of the stretch around them.
@@ -171,13 +187,13 @@ def _windows(candidates: DataFrame, documents: DataFrame, length: int, anchor: i
                     i, left = np.nonzero((start >= 0) & (start + length <= len(part)))
                     begin = start[i, left]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[s + i]), pa.array(left.astype(np.int32)), pa.array(hashes.of(begin, begin + length).view(np.int64)), pa.array(np.full(len(i), page, np.int64)), pa.array(around[s + i])],
-                        names=["h", "left", "w", "page_id", "around"],
+                        [pa.array(h[s + i]), pa.array(left.astype(np.int32)), pa.array(hashes.of(begin, begin + length).view(np.int64)), *[pa.array(x[s + i]) for x in own]],
+                        names=["h", "left", "w", *_WINDOW],
                     )
                     s = e
 
-    texts = documents.where(F.col("page_id").isNotNull()).select("page_id", "doc_id", "text")
-    return texts.join(by_doc, F.col("doc_id") == F.col("__doc")).select("page_id", "text", "anchors").mapInArrow(extend, "h bigint, left int, w bigint, page_id bigint, around bigint")
+    texts = documents.where(F.col("page_id").isNotNull()).select("doc_id", "text")
+    return texts.join(by_doc, F.col("doc_id") == F.col("__doc")).select("text", "anchors").mapInArrow(extend, "h bigint, left int, w bigint, around bigint, lo bigint, hi bigint, ps bigint")
 
 
 def _distinct_anchors(occurrences: DataFrame) -> DataFrame:
@@ -192,27 +208,33 @@ def sharing_pages(documents: DataFrame, length: int = LENGTH, anchor: int = ANCH
     ``length`` share nothing. Repeated revisions and copies within a page count once. An empty table gives no rows.
     """
     distinct = written(_distinct_anchors(_occurrences(documents, length, anchor, once=True)), "anchors")
-    seen = _windows(_shared_anchors(distinct), documents, length, anchor).select("h", "left", "w", "page_id").distinct()
-    seen = written(seen, "windows")
-    # Windows with the same set of pages tell the same: one of them is kept for each set.
-    sets = seen.groupBy("h", "left", "w").agg(F.count("*").alias("n"), F.sum(F.xxhash64("page_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("page_id", F.lit(1))).alias("x"), F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("n > 1")
-    kept = sets.groupBy("n", "s", "x", "lo", "hi").agg(F.min(F.struct("h", "left", "w")).alias("k")).select("k.*")
-    member = seen.join(kept, ["h", "left", "w"])
-    a = member.withColumnRenamed("page_id", "page_id_a")
-    b = member.withColumnRenamed("page_id", "page_id_b")
-    return a.join(b, ["h", "left", "w"]).where("page_id_a < page_id_b").select("page_id_a", "page_id_b").distinct()
+    places = _neighbourhoods(distinct)
+    seen = written(_windows(places, documents, length, anchor).select("h", "left", "w", "ps", "lo", "hi").distinct(), "windows")
+    # Sets of pages that meet: in one window two different sets, or one set of several pages with itself.
+    classes = seen.groupBy("h", "left", "w").agg(F.count("*").alias("n"), F.sum(F.col("ps").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("ps")).alias("x"), F.min("ps").alias("a"), F.max("ps").alias("b")).where("n > 1")
+    kept = classes.groupBy("n", "s", "x", "a", "b").agg(F.min(F.struct("h", "left", "w")).alias("k")).select("k.*")
+    member = seen.join(kept, ["h", "left", "w"]).select("h", "left", "w", "ps")
+    cross = member.withColumnRenamed("ps", "ps_a").join(member.withColumnRenamed("ps", "ps_b"), ["h", "left", "w"]).where("ps_a < ps_b").select("ps_a", "ps_b")
+    alone = seen.where("lo < hi").select(F.col("ps").alias("ps_a"), F.col("ps").alias("ps_b"))
+    met = cross.unionByName(alone).distinct()
+    # The pages of a set are read from one neighbourhood that has it.
+    named = places.groupBy("ps").agg(F.min(F.struct("h", "around")).alias("k")).select(F.col("ps").alias("__ps"), F.col("k.h").alias("__h"), F.col("k.around").alias("__r"))
+    pages = distinct.join(named, (F.col("h") == F.col("__h")) & (F.col("around") == F.col("__r"))).select("__ps", "page_id")
+    a = pages.select(F.col("__ps").alias("ps_a"), F.col("page_id").alias("pa"))
+    b = pages.select(F.col("__ps").alias("ps_b"), F.col("page_id").alias("pb"))
+    both = met.join(a, "ps_a").join(b, "ps_b").where("pa <> pb")
+    return both.select(F.least("pa", "pb").alias("page_id_a"), F.greatest("pa", "pb").alias("page_id_b")).distinct()
 
 
 def shared_spans(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, start, end of the maximal stretches of each revision made of spans that revisions of other pages have too."""
     occurrences = written(_occurrences(documents, length, anchor, once=False), "occurrences")
-    distinct = _distinct_anchors(occurrences)
-    seen = _windows(_shared_anchors(written(distinct, "anchors")), documents, length, anchor)
-    pages = seen.groupBy("h", "left", "w").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo < hi")
+    seen = written(_windows(_neighbourhoods(_distinct_anchors(occurrences)), documents, length, anchor).select("h", "left", "w", "around", "lo", "hi"), "windows")
+    pages = seen.groupBy("h", "left", "w").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b")
     hit = seen.join(pages, ["h", "left", "w"], "left_semi")
-    lefts = hit.groupBy(F.col("h").alias("__h"), F.col("page_id").alias("__p"), F.col("around").alias("__r")).agg(F.collect_set("left").alias("lefts"))  # at most length - anchor + 1
+    lefts = hit.groupBy(F.col("h").alias("__h"), F.col("around").alias("__r")).agg(F.collect_set("left").alias("lefts"))  # at most length - anchor + 1
     lefts = written(lefts, "lefts")  # of known size, so that Spark can tell whether all anchors need to move to meet it
-    j = occurrences.join(lefts, (F.col("h") == F.col("__h")) & (F.col("page_id") == F.col("__p")) & (F.col("around") == F.col("__r")))
+    j = occurrences.join(lefts, (F.col("h") == F.col("__h")) & (F.col("around") == F.col("__r")))
     begin = j.select("doc_id", F.explode("lefts").alias("left"), "place").select("doc_id", (F.col("place") - F.col("left")).alias("start")).distinct()
     w = Window.partitionBy("doc_id").orderBy("start")  # the windows of one text
     marked = begin.withColumn("new", F.when(F.col("start") > F.lag("start").over(w) + length, 1).otherwise(0))

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import apply_groups
 from .resampling import coin, draw
 
 WIDE = 16.0**7
@@ -93,7 +94,7 @@ def coloured_noise(points: DataFrame, series: str, alpha: float = 1.0) -> DataFr
         pdf["noise"] = noise
         return pdf[[series, "i", "noise"]]
 
-    return points.select(series, "i").groupBy(series).applyInPandas(one, f"`{series}` {kind}, i long, noise double")
+    return apply_groups(points.select(series, "i"), [series], one, f"`{series}` {kind}, i long, noise double")
 
 
 def modelled(keys: DataFrame) -> DataFrame:

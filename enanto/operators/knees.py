@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import apply_groups
+
 # Defaults that change results.
 KNEE = {"bic_delta_min": 10.0, "knee_strength_min": 0.5, "knee_p_min": 0.35, "bootstrap_n": 200, "bootstrap_cov_max": 0.25, "edge_buffer_frac": 0.15, "min_side": 3, "min_frac": 0.2, "slope_abs_max": 6.0, "rho": 1.5}
 HUBER_DELTA = 1.5
@@ -176,7 +178,7 @@ def diagnose(points: DataFrame, series: str, options: dict | None = None, least:
             gamma, icept = huber_line(np.log(L[keep]), y[keep])
         return pd.DataFrame([{series: key[0], **k, "gamma": gamma, "intercept": icept, "n_fit": int(keep.sum())}])
 
-    return points.select(series, "L", "y").groupBy(series).applyInPandas(one, f"`{series}` {kind}, {_KNEE_SCHEMA}")
+    return apply_groups(points.select(series, "L", "y"), [series], one, f"`{series}` {kind}, {_KNEE_SCHEMA}")
 
 
 def phase_scrambled(points: DataFrame, series: str) -> DataFrame:
@@ -191,7 +193,7 @@ def phase_scrambled(points: DataFrame, series: str) -> DataFrame:
         pdf["y_scrambled"] = np.fft.irfft(np.abs(f) * np.exp(1j * phase), n=len(pdf))
         return pdf[[series, "i", "y", "y_scrambled"]]
 
-    return points.select(series, "i", "y").groupBy(series).applyInPandas(one, f"`{series}` {kind}, i long, y double, y_scrambled double")
+    return apply_groups(points.select(series, "i", "y"), [series], one, f"`{series}` {kind}, i long, y double, y_scrambled double")
 
 
 SEGMENT = 64

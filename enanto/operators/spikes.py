@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_micros
-from ..session import written
+from ..session import map_arrow, written
 
 # Limits fixed by the problem statement.
 STUCK_RUN = 10
@@ -293,7 +293,7 @@ def implausible_readings(samples: DataFrame, cases: DataFrame, domains: DataFram
     readings = fair.groupBy(*_SERIES, "us").agg(F.min_by("o", first).alias("o"), F.min("sample_id").alias("first_id"), F.max("sample_id").alias("last_id"), F.count("*").alias("n_rows"), F.min("step_s").alias("step_s"))
     cut = _chunks(readings, _hot_buckets(fair)).repartition(*_SERIES, "chunk").sortWithinPartitions(*_SERIES, "chunk", "us")
     # Written once: the chunked series' readings are read twice below, and the judgement isn't made again.
-    judged = written(cut.mapInArrow(_judge_batches, _OUT), "judged")
+    judged = written(map_arrow(cut, _judge_batches, _OUT), "judged")
     pending = judged.where(F.col("kind") == "pending")
     mine = lambda c: F.percentile_approx(F.when(F.col("kind") == "pending", F.col(c)), 0.5, 10_000)
     # Of a chunked series all readings are here; many rows may still be few readings.

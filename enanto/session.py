@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _OWN: dict[str, str | None] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "enanto", master: str | None = None, shuffle_partitions: int | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -28,6 +31,32 @@ def build_session(app: str = "enanto", master: str | None = None, shuffle_partit
     return b.config(map=conf or {}).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give every executor this package, once per application, so that its workers can import it wherever they start."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="enanto-ship-")) / "enanto.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(at))
+    _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def apply_groups(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """``applyInPandas`` with this package at hand in the workers; groups are bounded by their callers."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInPandas(function, schema)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
     at = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)

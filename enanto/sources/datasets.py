@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 REQUIRED = ("schema_version", "domain", "id", "columns")
 ROLES = {"group": "case_id", "time": "t", "size": "L", "handedness": "hand", "observable": ["O"]}
 #: Defaults that change results; a manifest's ``analysis``, a file and explicit overrides are merged over them in that order.
@@ -107,6 +109,7 @@ def by_role(samples: DataFrame, spec: dict) -> tuple[DataFrame, dict]:
 def with_arrays(samples: DataFrame, root: str | None = None) -> DataFrame:
     """Adds O_array: the mean of the .npy array at O_path (null where there is none; NaN elements spread)."""
     paths = F.col("O_path") if root is None else F.concat(F.lit(root.rstrip("/") + "/"), F.col("O_path"))
+    ship(samples.sparkSession)
     wanted = samples.select(paths.alias("__p")).where("__p is not null").distinct()
 
     @F.pandas_udf("double")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
+
 # Limits fixed by the problem statement.
 VERBATIM = 12
 STRETCH = 24
@@ -225,7 +227,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 yield found()
 
         schema = "doc_id bigint, item_id bigint, n_words bigint, kind string"
-        one = documents.select("doc_id", "text").mapInArrow(search, schema)
+        one = map_arrow(documents.select("doc_id", "text"), search, schema)
         out = one if out is None else out.unionByName(one)
     # One row per pair even where a document or item comes more than once; few rows are left here.
     return out.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.max("kind").alias("kind"))

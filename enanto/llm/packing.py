@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import apply_groups, map_arrow, written
 
 CAPACITY = 2048
 BLOCK = 40_000
@@ -49,7 +49,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(count, "doc_id bigint, n_tokens bigint")
+    return map_arrow(documents.select("doc_id", "text"), count, "doc_id bigint, n_tokens bigint")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -163,7 +163,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
         pdf["container_id"] = "b" + pdf["block"].astype(str) + "-" + pd.Series(bins, index=pdf.index).astype(str)
         return pdf.rename(columns={"size": "n_tokens"})[["doc_id", "piece", "start_token", "n_tokens", "container_id"]]
 
-    packed = blocked.groupBy("block").applyInPandas(fill, "doc_id bigint, piece bigint, start_token bigint, n_tokens bigint, container_id string")
+    packed = apply_groups(blocked, ["block"], fill, "doc_id bigint, piece bigint, start_token bigint, n_tokens bigint, container_id string")
     return packed.unionByName(whole)
 
 

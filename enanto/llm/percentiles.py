@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import map_arrow, written
 
 POINTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 #: Rank error a summary may have, as a share of its own rows.
@@ -66,7 +66,7 @@ class SortedRuns:
         key = F.to_json(F.struct(*self.g), {"ignoreNullFields": "false"}) if self.g else F.lit("")
         x = x.repartitionByRange(*self.g, "__v").sortWithinPartitions(*self.g, "__v").select("*", key.alias("__key"), F.spark_partition_id().alias("__pid"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema) + ", `__upto` bigint"
-        self.rows = written(x.mapInArrow(_running, schema).drop("__key"), "runs")
+        self.rows = written(map_arrow(x, _running, schema).drop("__key"), "runs")
 
     def parts(self) -> DataFrame:
         """Per partition and group: offset of the group's rows before it, and the group's total n."""

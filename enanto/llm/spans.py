@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import map_arrow, written
 
 LENGTH = 200  # fixed by the problem statement
 ANCHOR = 64
@@ -141,7 +141,7 @@ def _occurrences(documents: DataFrame, length: int, anchor: int, once: bool) ->
             yield batch(held)
 
     used = documents.where(F.col("page_id").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") >= length))
-    return used.select("page_id", "doc_id", "text").mapInArrow(run, _OCC)
+    return map_arrow(used.select("page_id", "doc_id", "text"), run, _OCC)
 
 
 def _neighbourhoods(distinct: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def _windows(candidates: DataFrame, documents: DataFrame, length: int, anchor: i
                     s = e
 
     texts = documents.where(F.col("page_id").isNotNull()).select("doc_id", "text")
-    return texts.join(by_doc, F.col("doc_id") == F.col("__doc")).select("text", "anchors").mapInArrow(extend, "h bigint, left int, w bigint, around bigint, lo bigint, hi bigint, ps bigint")
+    return map_arrow(texts.join(by_doc, F.col("doc_id") == F.col("__doc")).select("text", "anchors"), extend, "h bigint, left int, w bigint, around bigint, lo bigint, hi bigint, ps bigint")
 
 
 def _distinct_anchors(occurrences: DataFrame) -> DataFrame:

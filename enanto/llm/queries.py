@@ -22,8 +22,11 @@ def _combined(s, d):
 
 
 def _whole_l(s, d):
-    loads = percentiles.summarise(table(s, d, "samples"), _LOADS, "L")
-    return percentiles.combine(loads, [], _LOADS)
+    """Each load's percentiles of L beside those of all loads, which are combined from the loads' summaries."""
+    runs = percentiles.SortedRuns(table(s, d, "samples"), _LOADS, "L")
+    whole = percentiles.combine(runs.summaries(), [], _LOADS)
+    w = whole.select(F.col("p").alias("__p"), F.col("value").alias("value_of_all"), F.col("n").alias("n_of_all"), F.col("rank_error").alias("rank_error_of_all"))
+    return _nine(runs.percentiles()).join(w, F.col("p") == F.col("__p")).drop("__p")
 
 
 def _clean(s, d):

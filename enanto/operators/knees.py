@@ -32,10 +32,13 @@ def _robust_z(v: np.ndarray) -> np.ndarray:
 
 
 def _lag1(r: np.ndarray) -> np.ndarray:
-    a = r[..., :-1] - r[..., :-1].mean(axis=-1, keepdims=True)
-    b = r[..., 1:] - r[..., 1:].mean(axis=-1, keepdims=True)
-    d = np.sqrt((a * a).sum(-1) * (b * b).sum(-1))
-    return np.where(d > TINY, (a * b).sum(-1) / np.maximum(d, TINY), 0.0)
+    a, b = r[..., :-1], r[..., 1:]
+    n = a.shape[-1]
+    sa, sb = a.sum(-1), b.sum(-1)
+    dot = lambda p, q: np.einsum("...n,...n->...", p, q)
+    va, vb = dot(a, a) - sa * sa / n, dot(b, b) - sb * sb / n
+    d = np.sqrt(np.maximum(va, 0.0) * np.maximum(vb, 0.0))
+    return np.where(d > TINY, (dot(a, b) - sa * sb / n) / np.maximum(d, TINY), 0.0)
 
 
 def _bic(rss: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -50,19 +53,25 @@ def _candidates(x: np.ndarray, y: np.ndarray, L: np.ndarray, ks: np.ndarray, o:
     b = np.where(sxx > TINY, (xc * yc).sum(-1) / np.maximum(sxx, TINY), 0.0)
     r0 = yc - b[..., None] * xc
     bic0, ac0 = _bic((r0 * r0).sum(-1), n, 2), _lag1(r0)
-    d = x[:, None, :] - x[:, ks][:, :, None]
-    u, v = np.minimum(d, 0.0), np.maximum(d, 0.0)
-    u, v = u - u.mean(-1, keepdims=True), v - v.mean(-1, keepdims=True)
-    w = yc[:, None, :]
-    uu, vv, uv, uy, vy = (u * u).sum(-1), (v * v).sum(-1), (u * v).sum(-1), (u * w).sum(-1), (v * w).sum(-1)
+    # Moments of both sides of every break from running sums.
+    xk = xc[:, ks]
+    nl, nr = ks + 1.0, n - ks - 1.0
+    sx, sxx_, sy, sxy = (np.cumsum(q, axis=-1) for q in (xc, xc * xc, yc, xc * yc))
+    lx, lxx, ly, lxy = (q[:, ks] for q in (sx, sxx_, sy, sxy))
+    rx, rxx, ry, rxy = (q[:, -1:] - q[:, ks] for q in (sx, sxx_, sy, sxy))
+    su, sv = lx - nl * xk, rx - nr * xk
+    uu, vv, uv = lxx - 2 * xk * lx + nl * xk * xk - su * su / n, rxx - 2 * xk * rx + nr * xk * xk - sv * sv / n, -su * sv / n
+    uy, vy = lxy - xk * ly, rxy - xk * ry
     det = uu * vv - uv * uv
-    good = det > 1e-12 * np.maximum(uu * vv, TINY)
+    good = det > 1e-10 * np.maximum(uu * vv, TINY)
     safe = np.where(good, det, 1.0)
     # Where one side has no extent its slope is 0, as the least-norm solution has it.
-    left = np.where(good, (uy * vv - vy * uv) / safe, np.where(uu > TINY, uy / np.maximum(uu, TINY), 0.0))
-    right = np.where(good, (vy * uu - uy * uv) / safe, np.where((vv > TINY) & (uu <= TINY), vy / np.maximum(vv, TINY), 0.0))
-    r = w - left[..., None] * u - right[..., None] * v
-    bic1 = _bic((r * r).sum(-1), n, 3)
+    left = np.where(good, (uy * vv - vy * uv) / safe, np.where(uu > 1e-10, uy / np.maximum(uu, TINY), 0.0))
+    right = np.where(good, (vy * uu - uy * uv) / safe, np.where((vv > 1e-10) & (uu <= 1e-10), vy / np.maximum(vv, TINY), 0.0))
+    d = xc[:, None, :] - xk[:, :, None]
+    r = yc[:, None, :] - d * np.where(d < 0, left[..., None], right[..., None])
+    r -= r.mean(-1, keepdims=True)
+    bic1 = _bic(np.einsum("rkn,rkn->rk", r, r), n, 3)
     gain, bend, calm = bic0[:, None] - bic1, np.abs(right - left), np.abs(ac0)[:, None] - np.abs(_lag1(r))
     lk = L[:, ks]
     lo, hi = L[:, :1], L[:, -1:]

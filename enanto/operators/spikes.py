@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_micros
-from ..session import map_arrow, written
+from ..session import kernel_partitions, map_arrow, written
 
 # Limits fixed by the problem statement.
 STUCK_RUN = 10
@@ -291,7 +291,7 @@ def implausible_readings(samples: DataFrame, cases: DataFrame, domains: DataFram
     fair = rows.where(~F.col("impossible"))
     first = F.coalesce("sample_id", F.lit(2**63 - 1))
     readings = fair.groupBy(*_SERIES, "us").agg(F.min_by("o", first).alias("o"), F.min("sample_id").alias("first_id"), F.max("sample_id").alias("last_id"), F.count("*").alias("n_rows"), F.min("step_s").alias("step_s"))
-    cut = _chunks(readings, _hot_buckets(fair)).repartition(*_SERIES, "chunk").sortWithinPartitions(*_SERIES, "chunk", "us")
+    cut = _chunks(readings, _hot_buckets(fair)).repartition(kernel_partitions(samples.sparkSession), *_SERIES, "chunk").sortWithinPartitions(*_SERIES, "chunk", "us")
     # Written once: the chunked series' readings are read twice below, and the judgement isn't made again.
     judged = written(map_arrow(cut, _judge_batches, _OUT), "judged")
     pending = judged.where(F.col("kind") == "pending")

@@ -54,7 +54,13 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 def apply_groups(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
     """``applyInPandas`` with this package at hand in the workers; groups are bounded by their callers."""
     ship(df.sparkSession)
-    return df.groupBy(*keys).applyInPandas(function, schema)
+    return df.repartition(kernel_partitions(df.sparkSession), *keys).groupBy(*keys).applyInPandas(function, schema)
+
+
+def kernel_partitions(spark: SparkSession) -> int:
+    """As many partitions as the session sets: rows that are few and small may still be much work in Python, so they
+    aren't put together by their size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def scratch_dir(spark: SparkSession) -> str:

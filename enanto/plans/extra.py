@@ -159,8 +159,46 @@ def _noise_models(s, d):
     return rounded(x.select("run_id", "i", *[c.alias(n) for n, c in generate.noises(key).items()]))
 
 
+def _macro_auroc(s, d):
+    """One-against-rest area under the curve of each stability class by a score from gamma, and their mean over classes."""
+    g = F.col("gamma")
+    scores = F.array(*[F.struct(F.lit(c).alias("label"), v.alias("score")) for c, v in (("stable", g), ("forbidden", -g), ("marginal", -F.abs(g)))])
+    x = _runs(s, d).where("stability_class is not null").select("stability_class", F.inline(scores)).withColumn("hit", F.col("stability_class") == F.col("label"))
+    a = evaluation.auroc(x, "label", "score", "hit")
+    return rounded(a.withColumn("macro", F.avg("auroc").over(Window.partitionBy(F.lit(0)))))  # three rows
+
+
+def _scale_audit(s, d):
+    """Per domain: cases, those with at least five sizes, the median number of sizes, and the sizes most cases have."""
+    x = pairing.with_domain(pairing.fit_readings(table(s, d, "samples")), table(s, d, "cases"))
+    sizes = x.groupBy("domain", "case_id", "L").agg(F.count("*").alias("c"))
+    per = sizes.groupBy("domain", "case_id").agg(F.count("*").alias("n")).groupBy("domain").agg(F.count("*").alias("n_cases"), F.count_if(F.col("n") >= 5).alias("n_pass"), median(F.col("n").cast("double")).alias("median_sizes"))
+    common = sizes.groupBy(F.col("domain").alias("__d"), "L").agg(F.count("*").alias("k"))
+    most = common.groupBy("__d").agg(F.max_by("L", F.struct("k", -F.col("L"))).alias("commonest_size"), F.count("*").alias("n_sizes"))
+    return rounded(per.join(most, F.col("domain").eqNullSafe(F.col("__d"))).drop("__d"))
+
+
+_NO_KNEE, _KNEE = ("power_law", "parity_null"), ("hybrid_knee",)
+
+
+def _robustness(s, d):
+    """By number of sizes of a run (in fives): false positive and negative knee rates, and the 90 % point of its spread.
+
+    Tests without a knee by construction are the negatives, those with one the positives; a rate without a base is null.
+    """
+    n = table(s, d, "results").where("run_id is not null").groupBy(F.col("run_id").alias("__r")).agg(F.count_distinct("L").alias("n"))
+    r = _runs(s, d).join(n, F.col("run_id") == F.col("__r")).withColumn("n_sizes", (F.floor(F.col("n") / 5) * 5).cast("long"))
+    no, yes = F.col("test_name").isin(*_NO_KNEE), F.col("test_name").isin(*_KNEE)
+    hit = F.col("knee_detected").cast("double")
+    g = r.groupBy("n_sizes").agg(F.count("*").alias("n_runs"), F.avg(F.when(no, hit)).alias("fp_rate"), F.avg(F.when(yes, 1.0 - hit)).alias("fn_rate"), F.percentile_approx("spread", 0.9, 1_000_000).alias("spread_p90"))
+    return rounded(g)
+
+
 def queries() -> dict:
     return {
+        "macro_auroc": _macro_auroc,
+        "scale_audit": _scale_audit,
+        "robustness_rates": _robustness,
         "noise_models": _noise_models,
         "coloured_noise": lambda s, d: rounded(generate.coloured_noise(points(s, d), "run_id")),
         "mode_candidates": lambda s, d: rounded(_mode_candidates(s, d)),
@@ -209,6 +247,19 @@ def oracle_sql() -> dict:
     nu = lambda tag: pipeline._u(tag, "k")
     no = lambda t: f"(sqrt(-2 * ln({nu(t + '1')})) * cos({2 * math.pi!r}::DOUBLE * {nu(t + '2')}))"
     return {
+        "macro_auroc": f"""WITH {_RUNS}, x AS (SELECT stability_class, unnest(['stable', 'forbidden', 'marginal']) AS label, unnest([gamma, -gamma, -abs(gamma)]) AS score FROM runs WHERE stability_class IS NOT NULL AND isfinite(gamma)),
+            c AS (SELECT label, count(*) FILTER (stability_class = label) AS np, count(*) FILTER (stability_class <> label) AS nn FROM x GROUP BY 1),
+            w AS (SELECT a.label, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS wins FROM x a JOIN x b ON a.label = b.label AND a.stability_class = a.label AND b.stability_class <> b.label GROUP BY 1),
+            u AS (SELECT c.label, np, nn, wins / nullif(np * nn, 0) AS auc FROM c LEFT JOIN w ON c.label = w.label)
+            SELECT label, np AS n_pos, nn AS n_neg, round(auc, 6) AS auroc, round(avg(auc) OVER (), 6) AS macro FROM u""",
+        "scale_audit": f"""WITH z AS (SELECT domain, s.case_id, L, count(*) AS c FROM samples s LEFT JOIN cases k ON s.case_id = k.case_id WHERE {_FIT.replace('case_id', 's.case_id')} GROUP BY 1, 2, 3),
+            p AS (SELECT domain, case_id, count(*) AS n FROM z GROUP BY 1, 2), m AS (SELECT domain, L, count(*) AS k FROM z GROUP BY 1, 2),
+            b AS (SELECT domain, L, count(*) OVER (PARTITION BY domain) AS ns, row_number() OVER (PARTITION BY domain ORDER BY k DESC, L) AS rk FROM m)
+            SELECT p.domain, count(*) AS n_cases, count(*) FILTER (n >= 5) AS n_pass, round(median(n), 6) AS median_sizes, round(any_value(b.L), 6) AS commonest_size, any_value(ns) AS n_sizes
+            FROM p JOIN b ON p.domain IS NOT DISTINCT FROM b.domain AND rk = 1 GROUP BY p.domain""",
+        "robustness_rates": f"""WITH {_RUNS}, n AS (SELECT run_id, count(DISTINCT L) AS n FROM results GROUP BY 1)
+            SELECT (n // 5) * 5 AS n_sizes, count(*) AS n_runs, round(avg(CASE WHEN test_name IN ('power_law', 'parity_null') THEN knee_detected::INT END), 6) AS fp_rate,
+              round(avg(CASE WHEN test_name = 'hybrid_knee' THEN 1 - knee_detected::INT END), 6) AS fn_rate, round(quantile_disc(spread, 0.9), 6) AS spread_p90 FROM runs JOIN n ON runs.run_id = n.run_id GROUP BY 1""",
         "noise_models": f"""WITH {POINTS}, x AS (SELECT run_id, i, run_id::VARCHAR || '|' || i::VARCHAR AS k FROM p), y AS (SELECT run_id, i, {no('z')} AS z, {no('p')} AS a, {no('q')} AS b, {no('r')} AS c, {nu('l')} - 0.5::DOUBLE AS u FROM x)
             SELECT run_id, i, round(0.02::DOUBLE * z, 6) AS gaussian, round(exp(0.02::DOUBLE * z) - 1, 6) AS lognormal, round(-0.02::DOUBLE / sqrt(2.0::DOUBLE) * sign(u) * ln(1 - 2 * abs(u)), 6) AS laplace,
               round(0.02::DOUBLE * z / sqrt((a * a + b * b + c * c) / 3), 6) AS student_t FROM y""",

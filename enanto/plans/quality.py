@@ -55,6 +55,45 @@ g AS (
 """
 
 
+_KEY = "case_id, L, hand"
+_NONE = "'-infinity'::DOUBLE"
+
+
+def _spike_sql() -> str:
+    """The rule itself, over whole series and without the candidates' screen."""
+
+    def frame(a: str, b: str) -> str:
+        return f"(PARTITION BY {_KEY} ORDER BY t ROWS BETWEEN {a} AND {b})"
+
+    sides, devs = [], []
+    for w in (1, 2, 3):
+        ahead, run = frame(f"{w} FOLLOWING", f"{w + 4} FOLLOWING"), frame("CURRENT ROW", f"{w - 1} FOLLOWING")
+        sides.append(
+            f"median(o) OVER {ahead} AS a{w}, count(o) OVER {ahead} AS na{w}, min(o) OVER {run} AS mn{w}, max(o) OVER {run} AS mx{w}, max(stuck::INT) OVER {run} AS st{w}, lead(o, {w}) OVER (PARTITION BY {_KEY} ORDER BY t) AS nx{w}"
+        )
+        up, down = f"(mn{w} - greatest(b, a{w}))", f"(least(b, a{w}) - mx{w})"
+        devs.append(
+            f"CASE WHEN nb >= 3 AND na{w} >= 3 AND st{w} = 0 THEN greatest(CASE WHEN greatest(pv, nx{w}) - greatest(b, a{w}) > 0.5 * {up} THEN {_NONE} ELSE {up} END, CASE WHEN least(b, a{w}) - least(pv, nx{w}) > 0.5 * {down} THEN {_NONE} ELSE {down} END) ELSE {_NONE} END AS d{w}"
+        )
+    whole = ", ".join(f"max(d{w}) OVER {frame(f'{w - 1} PRECEDING', 'CURRENT ROW')}" for w in (1, 2, 3))
+    return f"""
+WITH e AS (
+  SELECT sample_id, s.case_id, t, L, hand, O AS o, coalesce(O < o_min OR O > o_max, false) OR isinf(O) AS impossible
+  FROM samples s LEFT JOIN cases c ON s.case_id = c.case_id LEFT JOIN domains d ON c.domain = d.domain
+  WHERE s.case_id IS NOT NULL AND t IS NOT NULL AND L IS NOT NULL AND NOT isnan(L) AND O IS NOT NULL AND NOT isnan(O) AND hand IN ('L', 'R')),
+r AS (SELECT {_KEY}, t, arg_min(o, sample_id) AS o FROM e WHERE NOT impossible GROUP BY {_KEY}, t),
+g AS (SELECT *, (o IS DISTINCT FROM lag(o) OVER (PARTITION BY {_KEY} ORDER BY t))::INT AS chg FROM r),
+h AS (SELECT *, sum(chg) OVER (PARTITION BY {_KEY} ORDER BY t) AS run FROM g),
+k AS (SELECT *, count(*) OVER (PARTITION BY {_KEY}, run) >= 10 AS stuck, count(*) OVER (PARTITION BY {_KEY}) AS n, median(o) OVER {frame('3 PRECEDING', '3 FOLLOWING')} AS lev FROM h),
+c AS (SELECT {_KEY}, 1.4826 * median(abs(o - lev)) FILTER (NOT stuck) AS scatter FROM k GROUP BY {_KEY}),
+x AS (SELECT *, lag(o) OVER (PARTITION BY {_KEY} ORDER BY t) AS pv, median(o) OVER {frame('5 PRECEDING', '1 PRECEDING')} AS b, count(o) OVER {frame('5 PRECEDING', '1 PRECEDING')} AS nb, {', '.join(sides)} FROM k),
+y AS (SELECT {_KEY}, t, o, n, stuck, {', '.join(devs)} FROM x),
+z AS (SELECT *, greatest({whole}) AS dev FROM y),
+f AS (SELECT z.case_id, z.L, z.hand, t, CASE WHEN stuck THEN 'stuck' ELSE 'spike' END AS kind FROM z JOIN c ON z.case_id = c.case_id AND z.L = c.L AND z.hand = c.hand WHERE stuck OR (n >= 40 AND dev > 12 * scatter))
+SELECT sample_id, 'impossible' AS kind FROM e WHERE impossible
+UNION ALL SELECT sample_id, kind FROM e JOIN f ON e.case_id = f.case_id AND e.L = f.L AND e.hand = f.hand AND e.t = f.t WHERE NOT impossible"""
+
+
 def queries() -> dict:
     return {
         "p1_found": lambda s, d: parse.failed_lines(table(s, d, "raw_samples")),
@@ -110,6 +149,7 @@ SELECT load_id, 'L' AS column_name, count(*) AS n_rows, count(*) FILTER (L IS NU
   count(*) FILTER (isinf(L)) AS n_violations, count(DISTINCT L) AS n_distinct FROM samples GROUP BY 1
 UNION ALL SELECT load_id, 'O', count(*), count(*) FILTER (O IS NULL OR isnan(O)), count(*) FILTER (isinf(O)), count(DISTINCT O) FROM samples GROUP BY 1
 UNION ALL SELECT load_id, 'hand', count(*), count(*) FILTER (hand IS NULL), count(*) FILTER (hand NOT IN ('L', 'R')), count(DISTINCT hand) FROM samples GROUP BY 1""",
+        "p3_found": _spike_sql(),
         "p4_found": _P4 + "SELECT case_id, g AS slot_s FROM g WHERE g <> slot_s",
         "p4_grid": _P4
         + """SELECT case_id, g AS slot_s, CASE WHEN g = slot_s THEN 'observed' ELSE 'filled' END AS status,

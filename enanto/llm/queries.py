@@ -60,8 +60,27 @@ WITH q AS (
 SELECT {keys}, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS p, round(unnest(v), 9) AS "value", n, 0.0::DOUBLE AS rank_error FROM q"""
 
 
+#: All windows of 200 characters, and those that more than one page has.
+_SHARED = """
+WITH u AS (SELECT doc_id, page_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE page_id IS NOT NULL AND doc_id IS NOT NULL AND length(text) >= 200),
+w AS (SELECT doc_id, page_id, i, md5_number(substr(text, i, 200)) AS h FROM u),
+m AS (SELECT h FROM w GROUP BY 1 HAVING min(page_id) < max(page_id)),
+s AS (SELECT DISTINCT doc_id, page_id, i, w.h FROM w JOIN m ON w.h = m.h)"""
+
+
 def oracle_sql() -> dict:
     return {
+        "p8_found": _SHARED
+        + """, p AS (SELECT DISTINCT page_id, h FROM s)
+            SELECT DISTINCT a.page_id AS page_id_a, b.page_id AS page_id_b FROM p a JOIN p b ON a.h = b.h AND a.page_id < b.page_id""",
+        "p8_spans": _SHARED
+        + """, g AS (SELECT doc_id, i, (i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200)::INT AS new FROM s),
+            r AS (SELECT doc_id, i, sum(coalesce(new, 0)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g)
+            SELECT doc_id, (min(i) - 1)::INT AS "start", (max(i) + 199)::INT AS "end" FROM r GROUP BY doc_id, run""",
+        "p8_shares": _SHARED
+        + """, c AS (SELECT doc_id, least(coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 200), 200) AS k FROM s),
+            t AS (SELECT doc_id, sum(k)::BIGINT AS k FROM c GROUP BY 1)
+            SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(k, 0) AS shared_chars, coalesce(k, 0) / nullif(coalesce(length(text), 0), 0) AS share FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""",
         "p5_percentiles": _exact("results", "eta", "test_name"),
         "p5_daily": _exact("(SELECT test_name, run_date::VARCHAR AS run_date, eta FROM results)", "eta", "test_name, run_date"),
         "p5_loads": _exact("samples", "L", "load_id"),

@@ -7,14 +7,27 @@ in one task.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairing import contrast
 from ..functions.aggregates import median
+from ..functions.scalars import LOG_FLOOR
+from ..session import apply_groups, kernel_partitions, map_arrow
 
 SEED = 42
 BLOCK = 4096  # rows that are shuffled together at most, on average
+#: The same in the kernels at the reference's counts: groups up to this size are permuted as a whole.
+KERNEL_BLOCK = 1_000_000
+# The reference's counts and limits.
+N_PERM, N_NULL, N_SLOPES = 200, 200, 2000
+ALPHA, ETA_MIN, DIRECTION_MIN = 0.05, 0.03, 0.30
 
 
 def draw(*key: Column, digits: int = 7) -> Column:
@@ -150,3 +163,130 @@ def scaled(points: DataFrame, series: str, eps: float = 1e-12) -> DataFrame:
     sd, lo, hi = F.stddev_pop("y").over(w), F.min("y").over(w), F.max("y").over(w)
     z = F.when(sd < eps, 0.0).otherwise((F.col("y") - F.avg("y").over(w)) / sd)
     return points.select(series, "i", z.alias("zscore"), F.when(hi - lo < eps, 0.0).otherwise((F.col("y") - lo) / (hi - lo)).alias("minmax"))
+
+
+# -- kernels at the reference's counts ---------------------------------------------------------------------------------
+
+
+def _rng(*key) -> np.random.Generator:
+    return np.random.default_rng(zlib.crc32(":".join(map(str, (SEED, *key))).encode()))
+
+
+def _eta(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.abs(left - right) / np.maximum((left + right) / 2.0, LOG_FLOOR)
+
+
+def parity_significance(pairs: DataFrame, by: str, n: int = N_PERM, alpha: float = ALPHA, eta_min: float = ETA_MIN, direction_min: float = DIRECTION_MIN) -> DataFrame:
+    """Per group median eta and |mean sign| against ``n`` permutations of O_R within each size and ``n`` rounds of random swaps.
+
+    Each task permutes whole sizes of a group (blocks of about ``KERNEL_BLOCK`` pairs of larger ones) and gives one row a
+    replicate: a median reaches the observed one by the number of eta at or above that and, where exactly half are, by
+    the two next to it, and those add up over sizes. So no permuted value is shuffled. p is (1 + #) / (n + 1).
+    """
+    obs = pairs.groupBy(F.col(by).alias("__by")).agg(median(F.col("eta")).alias("mirror_stat"))
+    x = pairs.select(by, "L", "O_L", "O_R", key_of(pairs).alias("k"))
+    sizes = x.groupBy(F.col(by).alias("__n_by"), F.col("L").alias("__n_L")).agg(F.ceil(F.count("*") / KERNEL_BLOCK).alias("__blocks"))
+    x = x.join(sizes, F.col(by).eqNullSafe(F.col("__n_by")) & (F.col("L") == F.col("__n_L"))).withColumn("b", F.pmod(F.xxhash64("k"), F.col("__blocks")))
+    x = x.join(obs, F.col(by).eqNullSafe(F.col("__by")))
+    x = x.select(by, "L", "b", "O_L", "O_R", F.xxhash64("k").alias("h"), "mirror_stat")
+    kind = pairs.schema[by].dataType.simpleString()
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "O_L", "O_R"])
+        left, right, stat = pdf["O_L"].to_numpy(float), pdf["O_R"].to_numpy(float), float(pdf["mirror_stat"].iloc[0])
+        sign = np.sign(left - right).astype(np.int8)
+        rng = _rng("parity", *key)
+        out = {c: [] for c in ("reach", "above", "below", "swapped")}
+        for _ in range(n):
+            e = _eta(left, right[rng.permutation(len(right))])
+            up = e >= stat
+            out["reach"].append(int(up.sum()))
+            out["above"].append(float(e[up].min()) if up.any() else None)
+            out["below"].append(float(e[~up].max()) if not up.all() else None)
+            swap = np.unpackbits(np.frombuffer(rng.bytes((len(left) + 7) // 8), np.uint8), count=len(left)).view(bool)
+            out["swapped"].append(int(np.where(swap, -sign, sign).sum(dtype=np.int64)))
+        return pd.DataFrame({by: key[0], "rep": np.arange(n), "n": len(left), "dir": int(sign.sum(dtype=np.int64)), **{c: pd.array(v, "Float64" if c in ("above", "below") else "Int64") for c, v in out.items()}})
+
+    r = apply_groups(x, [by, "L", "b"], one, f"`{by}` {kind}, rep int, n long, dir long, reach long, above double, below double, swapped long")
+    m = r.groupBy(by, "rep").agg(*[F.sum(c).alias(c) for c in ("n", "dir", "reach", "swapped")], F.min("above").alias("above"), F.max("below").alias("below"))
+    m = m.join(obs, F.col(by).eqNullSafe(F.col("__by")))
+    twice, stat = 2 * F.col("reach"), F.col("mirror_stat")
+    as_large = (twice > F.col("n")) | ((twice == F.col("n")) & ((F.col("above") + F.col("below")) / 2.0 >= stat))
+    p = lambda c: (F.count_if(c) + 1) / F.lit(n + 1)
+    g = m.groupBy(by, "mirror_stat").agg(F.max("n").alias("n_pairs"), F.max(F.abs("dir") / F.col("n")).alias("obs_dir"), p(as_large).alias("p_perm"), p(F.abs("swapped") >= F.abs("dir")).alias("p_dir"))
+    mirror, direction = (F.col("p_perm") < alpha) & (stat >= eta_min), (F.col("p_dir") < alpha) & (F.col("obs_dir") >= direction_min)
+    return g.select(by, "n_pairs", "mirror_stat", "obs_dir", "p_perm", "p_dir", mirror.alias("mirror_pass"), direction.alias("direction_pass"), (mirror | direction).alias("signal_pass"))
+
+
+def _per_series(points: DataFrame, series: str, fields: str, one) -> DataFrame:
+    """Rows (dicts of arrays) that ``one(key, x, y)`` makes of each series' points in their order; many series a task."""
+    kind = points.schema[series].dataType.simpleString()
+    curves = points.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("p"))  # one curve
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = {c: [] for c in (series, *names)}
+            for key, p in zip(b[series].to_pylist(), b["p"].to_pylist()):
+                got = one(key, np.array([e["x"] for e in p], float), np.array([e["y"] for e in p], float))
+                rows = len(got[names[0]])
+                kept[series] += [key] * rows
+                for c in names:
+                    kept[c] += list(got[c])
+            types = [b.schema.field(series).type, *[pa.int32() if f.endswith(" int") else pa.int64() if f.endswith(" long") else pa.float64() for f in fields.split(", ")]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(kept.values(), types)], names=[series, *names])
+
+    return map_arrow(curves.repartition(kernel_partitions(points.sparkSession), series), run, f"`{series}` {kind}, {fields}")
+
+
+def _slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least-squares slope of each row; NaN where x doesn't vary."""
+    dx = x - x.mean(axis=1, keepdims=True)
+    flat = (x == x[:, :1]).all(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = (dx * (y - y.mean(axis=1, keepdims=True))).sum(axis=1) / (dx * dx).sum(axis=1)
+    g[flat] = np.nan
+    return g
+
+
+def slope_intervals(points: DataFrame, series: str, n: int = N_SLOPES, alpha: float = ALPHA) -> DataFrame:
+    """:func:`bootstrap_slopes` at the reference's count, all resamples of a series at once."""
+
+    def one(key, x, y):
+        j = _rng("slopes", key).integers(0, len(x), (n, len(x)))
+        g = _slopes(x[j], y[j])
+        g = g[~np.isnan(g)]
+        if not len(g):
+            return {"n_reps": [], "lo": [], "hi": []}
+        lo, hi = np.quantile(g, [alpha / 2, 1 - alpha / 2])
+        return {"n_reps": [len(g)], "lo": [float(lo)], "hi": [float(hi)]}
+
+    return _per_series(points, series, "n_reps long, lo double, hi double", one)
+
+
+def gamma_significance(points: DataFrame, series: str, n: int = N_NULL) -> DataFrame:
+    """Slope of each series against slopes with y shuffled over its sizes, at the reference's count of nulls."""
+
+    def one(key, x, y):
+        gamma = _slopes(x[None], y[None])[0]
+        if np.isnan(gamma):
+            return {c: [None] for c in ("gamma", "null_mean", "p_value")}
+        order = np.argsort(_rng("gamma", key).random((n, len(x))), axis=1)
+        g = _slopes(np.broadcast_to(x, order.shape), y[order])
+        reach = int((np.abs(np.round(g, 9)) >= np.abs(np.round(gamma, 9))).sum())
+        return {"gamma": [float(gamma)], "null_mean": [float(g.mean())], "p_value": [(reach + 1) / (n + 1)]}
+
+    return _per_series(points, series, "gamma double, null_mean double, p_value double", one)
+
+
+def block_means(points: DataFrame, series: str, n: int = N_NULL) -> DataFrame:
+    """:func:`block_bootstrap` at the reference's count of nulls."""
+
+    def one(key, x, y):
+        size = max(2, int(np.sqrt(len(y))))
+        i = np.arange(len(y))
+        start = _rng("blocks", key).integers(0, max(1, len(y) - size + 1), (n, len(y) // size + 1))
+        j = np.minimum(start[:, i // size] + i % size, len(y) - 1)
+        return {"rep": range(n), "mean_y": y[j].mean(axis=1).tolist(), "n": [len(y)] * n}
+
+    return _per_series(points, series, "rep int, mean_y double, n long", one)

@@ -20,9 +20,13 @@ def queries() -> dict:
         "null_mirror_swap": lambda s, d: resampling.mirror_swap(pairing.fit_readings(table(s, d, "samples"))),
         "direction_null": lambda s, d: rounded(resampling.direction_null(_by_domain(s, d), ["domain"])),
         "permutation_null": lambda s, d: rounded(resampling.permutation_null(_by_domain(s, d), ["domain"])),
+        "parity_significance": lambda s, d: rounded(resampling.parity_significance(_by_domain(s, d), "domain")),
         "null_time_shuffle": lambda s, d: resampling.time_shuffle(pairing.fit_readings(table(s, d, "samples"))),
         "bootstrap_slopes": fit(resampling.bootstrap_slopes),
         "block_bootstrap": fit(resampling.block_bootstrap),
+        "slope_intervals": fit(resampling.slope_intervals),
+        "gamma_significance": fit(resampling.gamma_significance),
+        "block_means": fit(resampling.block_means),
         "reversed_series": fit(resampling.reversed_series),
         "moving_averages": fit(resampling.moving_averages),
         "zscore_minmax": fit(resampling.scaled),

@@ -56,15 +56,18 @@ def line_fits(points: DataFrame, series: str, least: int = 3) -> DataFrame:
     return out.withColumn("bic", bic(F.col("rss"), F.col("n"), 2))
 
 
-def hinge_fits(points: DataFrame, series: str, least_side: int = 3, least_share: float = 0.2) -> DataFrame:
+def hinge_fits(points: DataFrame, series: str, least_side: int = 3, least_share: float = 0.2, apart: int | None = None) -> DataFrame:
     """Two joined lines with the break at each admissible point: slopes, rss and bic per candidate.
 
-    A candidate has at least ``least_side`` points and that share of all on either side (itself on the left). The
-    three-parameter fit is solved from centred moments; a series has some tens of points, so has its list of candidates.
+    A candidate has at least ``least_side`` points and that share of all on either side (itself on the left); where
+    ``apart`` is given, every point with so many others on either side is one instead. The three-parameter fit is solved from centred moments; a series has some tens of points, so has its list of candidates.
     """
     c = points.where((F.col("i") >= 1) & (F.col("i") < F.col("n_points") - 1))
     left, right = F.col("i") + 1, F.col("n_points") - F.col("i") - 1
-    c = c.where((left >= least_side) & (right >= least_side) & (left >= least_share * F.col("n_points")) & (right >= least_share * F.col("n_points")))
+    if apart is None:
+        c = c.where((left >= least_side) & (right >= least_side) & (left >= least_share * F.col("n_points")) & (right >= least_share * F.col("n_points")))
+    else:
+        c = c.where((left > apart) & (right >= apart))
     c = c.select(F.col(series).alias("__s"), F.col("i").alias("k"), F.col("L").alias("L_k"), F.col("x").alias("xk"))
     j = points.join(c, F.col(series) == F.col("__s"))
     d = F.col("x") - F.col("xk")
@@ -87,11 +90,11 @@ def hinge_fits(points: DataFrame, series: str, least_side: int = 3, least_share:
     return out.withColumn("bic", bic(F.col("rss"), F.col("n"), 3))
 
 
-def knee_candidates(points: DataFrame, series: str, slope_max: float = 6.0, edge_least: float = 0.15) -> DataFrame:
+def knee_candidates(points: DataFrame, series: str, slope_max: float = 6.0, edge_least: float = 0.15, apart: int | None = None) -> DataFrame:
     """Hinge candidates with their gain over the line, change of slope, distance from the edges, sanity and reasons."""
     line = line_fits(points, series).select(F.col(series).alias("__s"), F.col("bic").alias("bic_line"))
     ends = points.groupBy(F.col(series).alias("__e")).agg(F.min("L").alias("lo"), F.max("L").alias("hi"))
-    h = hinge_fits(points, series).join(line, F.col(series) == F.col("__s")).join(ends, F.col(series) == F.col("__e"))
+    h = hinge_fits(points, series, apart=apart).join(line, F.col(series) == F.col("__s")).join(ends, F.col(series) == F.col("__e"))
     edge = F.least(F.col("L_k") - F.col("lo"), F.col("hi") - F.col("L_k")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(LOG_FLOOR))
     h = h.withColumn("edge_fraction", edge).withColumn("delta_bic", F.col("bic_line") - F.col("bic"))
     steep = (F.abs("slope_left") > slope_max) | (F.abs("slope_right") > slope_max)

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import apply_groups
+from ..session import apply_groups, kernel_partitions, map_arrow
 
 # Defaults that change results.
 KNEE = {"bic_delta_min": 10.0, "knee_strength_min": 0.5, "knee_p_min": 0.35, "bootstrap_n": 200, "bootstrap_cov_max": 0.25, "edge_buffer_frac": 0.15, "min_side": 3, "min_frac": 0.2, "slope_abs_max": 6.0, "rho": 1.5}
@@ -234,6 +236,74 @@ def spectra(grid: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return s.groupBy("case_id", "f").agg(F.avg("p").alias("p"), F.count("*").alias("n_segments")).select("case_id", (F.col("f") / float(segment)).alias("freq"), (F.col("p") * twice / norm).alias("power"), "n_segments")
 
 
+STRETCH_BLOCK = 4096  # steps that are looked at together
+
+
+def _stretches(grid: DataFrame) -> DataFrame:
+    """case_id, value, first (index of the first step of the unbroken stretch) and rel (steps since) of each slot with a value.
+
+    Stretches are found within blocks of ``STRETCH_BLOCK`` steps; one that reaches a block from the one before takes its
+    start from a window over one row per block.
+    """
+    index = F.expr("slot_s div step_s")
+    x = grid.where(F.col("value").isNotNull()).select("case_id", "value", index.alias("idx"), F.expr(f"cast(floor((slot_s div step_s) / {STRETCH_BLOCK}D) as bigint)").alias("blk"))
+    w = Window.partitionBy("case_id", "blk").orderBy("idx")
+    fresh = F.coalesce(F.col("idx") != F.lag("idx").over(w) + 1, F.lit(True))
+    x = x.withColumn("fresh", fresh).withColumn("own", F.max(F.when(F.col("fresh"), F.col("idx"))).over(w))
+    b = x.groupBy("case_id", "blk").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.max("own").alias("last"))
+    o = Window.partitionBy("case_id").orderBy("blk")
+    b = b.withColumn("joined", F.coalesce(F.lag("hi").over(o) + 1 == F.col("lo"), F.lit(False)))
+    # A block that is all one stretch and goes on from the one before passes on where that began.
+    b = b.withColumn("anchor", F.when(~(F.col("joined") & (F.col("last") == F.col("lo"))), F.col("last")))
+    b = b.withColumn("began", F.last("anchor", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1)))
+    b = b.where("joined").select(F.col("case_id").alias("__c"), F.col("blk").alias("__b"), "lo", "began")
+    j = x.join(b, (F.col("case_id") == F.col("__c")) & (F.col("blk") == F.col("__b")), "left")
+    first = F.when(F.col("own") == F.col("lo"), F.col("began")).otherwise(F.col("own"))
+    return j.select("case_id", "value", F.coalesce(first, F.col("own")).alias("first"), "idx").withColumn("rel", F.col("idx") - F.col("first")).drop("idx")
+
+
+def welch(grid: DataFrame, most: int = 256, least_steps: int = 8, halved: int | None = None) -> DataFrame:
+    """Welch power per case and frequency with the reference's segments: case_id, freq, power, segment, n_segments.
+
+    A segment has ``most`` steps, or all of the case's longest unbroken stretch where that is shorter; with ``halved``
+    half of that stretch, though at least ``halved`` steps. Segments overlap by half and start with each stretch; what is
+    left of a stretch doesn't count. Each is centred, windowed (periodic Hann) and transformed by FFT, many per task.
+    Cases without ``least_steps`` unbroken steps give no rows. Densities are doubled for all but the first frequency and,
+    for even segments, the last.
+    """
+    x = _stretches(grid)
+    longest = x.groupBy("case_id", "first").agg(F.count("*").alias("n")).groupBy(F.col("case_id").alias("__s")).agg(F.max("n").cast("int").alias("n")).where(F.col("n") >= least_steps)
+    size = F.col("n") if halved is None else F.least(F.greatest(F.lit(halved), F.expr("n div 2")), F.col("n"))
+    x = x.join(longest.select("__s", F.least(F.lit(most), size).cast("int").alias("segment")), F.col("case_id") == F.col("__s")).drop("__s")
+    hop = F.expr("segment - segment div 2")
+    span = F.expr(f"({STRETCH_BLOCK} div (segment - segment div 2)) * (segment - segment div 2)")
+    x = x.withColumn("chunk", F.floor(F.col("rel") / span).cast("long"))
+    also = (F.col("chunk") > 0) & (F.col("rel") - F.col("chunk") * span < F.col("segment") - hop)
+    x = x.withColumn("chunk", F.explode(F.when(also, F.array("chunk", F.col("chunk") - 1)).otherwise(F.array("chunk"))))
+    c = x.groupBy("case_id", "segment", "first", "chunk").agg(F.sort_array(F.collect_list(F.struct("rel", "value"))).alias("v")).select("case_id", "segment", F.col("v.value").alias("v"))  # at most STRETCH_BLOCK and half a segment
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total: dict = {}
+            for case, n, v in zip(b["case_id"].to_pylist(), b["segment"].to_pylist(), b["v"]):
+                v = v.values.to_numpy(zero_copy_only=False)
+                if len(v) < n:
+                    continue
+                s = np.lib.stride_tricks.sliding_window_view(v, n)[:: n - n // 2]
+                w = 0.5 - 0.5 * np.cos(2.0 * math.pi * np.arange(n) / n)
+                p = (np.abs(np.fft.rfft((s - s.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2).sum(axis=0) / (w * w).sum()
+                p[1 : (n + 1) // 2] *= 2.0
+                at = total.setdefault((case, n), [np.zeros(len(p)), 0])
+                at[0] += p
+                at[1] += len(s)
+            rows = [(case, n, f, float(q), k) for (case, n), (p, k) in total.items() for f, q in enumerate(p)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(col), t) for col, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64()))], names=["case_id", "segment", "f", "p", "k"])
+
+    parts = map_arrow(c.repartition(kernel_partitions(grid.sparkSession)), run, "case_id string, segment int, f int, p double, k long")
+    g = parts.groupBy("case_id", "segment", "f").agg((F.sum("p") / F.sum("k")).alias("power"), F.sum("k").alias("n_segments"))
+    return g.select("case_id", (F.col("f") / F.col("segment")).alias("freq"), "power", "segment", "n_segments")
+
+
 def ticks(spectrum: DataFrame, top: int = 3) -> DataFrame:
     """Per case the angular frequencies of its strongest peaks (ascending), R = peak / total, ridge = peak / median, band of 10 %."""
     s = spectrum.where("freq > 0")

@@ -50,6 +50,13 @@ def _spectral_knees(s, d):
     return curve.knee_candidates(p, "case_id").select("case_id", "k", "L_k", "delta_bic", "slope_left", "slope_right", "sanity_ok")
 
 
+def _spectral_knees_full(s, d):
+    """The same over segments of up to 128 steps, at every frequency with three others on either side."""
+    sp = knees.welch(pipeline._steps(s, d), 128, 24, 16).where("freq > 0 and power > 0")
+    p = curve.log_points(sp.select("case_id", F.col("freq").alias("L"), F.col("power").alias("eta"), F.col("n_segments").alias("n")), "case_id").where("n_points >= 10")
+    return curve.knee_candidates(p, "case_id", apart=3).select("case_id", "k", "L_k", "delta_bic", "slope_left", "slope_right", "sanity_ok")
+
+
 def kolmogorov(lam: Column, terms: int = 100) -> Column:
     """Asymptotic p value of a Kolmogorov-Smirnov distance scaled by the root of the effective size."""
     total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * lam * lam))
@@ -204,6 +211,7 @@ def queries() -> dict:
         "mode_candidates": lambda s, d: rounded(_mode_candidates(s, d)),
         "mode_acceptance": lambda s, d: rounded(_mode_acceptance(s, d)),
         "spectral_knees": lambda s, d: rounded(_spectral_knees(s, d), 4),
+        "spectral_knees_full": lambda s, d: rounded(_spectral_knees_full(s, d), 4),
         "ks_hands": _ks_hands,
         "null_spatial_shuffle": _spatial_shuffle,
         "null_fake_mirror": _fake_mirror,

@@ -101,6 +101,8 @@ def queries() -> dict:
         "null_gamma": _null_gamma,
         "spectra": lambda s, d: rounded(knees.spectra(_steps(s, d), 16)),
         "ticks": lambda s, d: rounded(knees.ticks(knees.spectra(_steps(s, d), 16))),
+        "spectra_full": lambda s, d: rounded(knees.welch(_steps(s, d))),
+        "ticks_full": lambda s, d: rounded(knees.ticks(knees.welch(_steps(s, d)))),
         "phase_scrambled": lambda s, d: rounded(knees.phase_scrambled(points(s, d), S)),
         "eta_models": lambda s, d: rounded(_models(s, d)),
         "synthetic_pairs": lambda s, d: rounded(generate.synthetic_pairs(_models(s, d))),

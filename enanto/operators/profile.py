@@ -7,7 +7,7 @@ holds a third of all rows is combined on the map side first, so it never meets i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
@@ -25,30 +25,62 @@ POINT_FACTOR = 1.8
 LEFT_SHARE = (0.35, 0.65)
 
 
-def _numeric(c: str) -> list[Column]:
+def _numeric(c: str, centred: bool = False) -> list[Column]:
     x = F.col(f"`{c}`")
     ok = F.when(finite(x), x)
+    if centred:
+        # Readings that can't be (out_O) stay out of the sums, which are of deviations from the domain's centre.
+        fair = F.when(~F.col("__out_O"), ok) if c == "O" else ok
+        d = fair - F.col(f"__centre_{c}")
+        return [F.count(d).alias(f"{c}_s0"), *[F.sum(p).alias(f"{c}_s{i}") for i, p in enumerate((d, d * d, d * d * d, d * d * d * d), 1)], F.max(f"__centre_{c}").alias(f"{c}_centre"), *_counts(c, x, ok)]
     return [
-        F.count_if(x.isNull()).alias(f"{c}_null"),
-        F.count_if(F.isnan(x)).alias(f"{c}_nan"),
         F.count(ok).alias(f"{c}_s0"),
         F.sum(ok).alias(f"{c}_s1"),
         F.sum(ok * ok).alias(f"{c}_s2"),
         F.sum(ok * ok * ok).alias(f"{c}_s3"),
         F.sum(ok * ok * ok * ok).alias(f"{c}_s4"),
+        *_counts(c, x, ok),
+    ]
+
+
+def _counts(c: str, x: Column, ok: Column) -> list[Column]:
+    return [
+        F.count_if(x.isNull()).alias(f"{c}_null"),
+        F.count_if(F.isnan(x)).alias(f"{c}_nan"),
         F.min(ok).alias(f"{c}_min"),
         F.max(ok).alias(f"{c}_max"),
         F.percentile_approx(ok, list(POINTS), ACCURACY).alias(f"{c}_q"),
     ]
 
 
-def load_stats(samples: DataFrame) -> DataFrame:
-    """One row per load_id (null is a load of its own): counts, power sums, ranges and quantile points of L, hand and O."""
+def _centred(samples: DataFrame, loads: DataFrame, domains: DataFrame) -> DataFrame:
+    """Samples with ``__out_O`` (O finite, but outside its domain's range) and a centre of L and O per domain of the load.
+
+    The centre is the mean of the domain's possible readings; loads that aren't listed share one and have no range.
+    """
+    names = loads.groupBy(F.col("load_id").alias("__load")).agg(F.min("domain").alias("__domain"))
+    known = domains.groupBy(F.col("domain").alias("__of")).agg(F.min("o_min").alias("__lo"), F.max("o_max").alias("__hi"))
+    names = names.join(known, F.col("__domain") == F.col("__of"), "left").drop("__of")
+    x = samples.select("load_id", "L", "hand", "O").join(names, F.col("load_id") == F.col("__load"), "left").drop("__load")
+    x = x.withColumn("__out_O", finite(F.col("O")) & F.coalesce((F.col("O") < F.col("__lo")) | (F.col("O") > F.col("__hi")), F.lit(False)))
+    x = x.withColumn("__out_O", F.coalesce("__out_O", F.lit(False))).drop("__lo", "__hi")
+    mid = x.groupBy(F.col("__domain").alias("__m")).agg(
+        F.coalesce(F.avg(F.when(finite(F.col("L")), F.col("L"))), F.lit(0.0)).alias("__centre_L"),
+        F.coalesce(F.avg(F.when(finite(F.col("O")) & ~F.col("__out_O"), F.col("O"))), F.lit(0.0)).alias("__centre_O"),
+    )
+    return x.join(mid, F.col("__domain").eqNullSafe(F.col("__m"))).drop("__m")
+
+
+def load_stats(samples: DataFrame, centred: bool = False) -> DataFrame:
+    """One row per load_id (null is a load of its own): counts, power sums, ranges and quantile points of L, hand and O.
+
+    With ``centred`` samples come from :func:`_centred`, and the sums are of possible readings about the domain's centre.
+    """
     hand = F.col("hand")
     return samples.groupBy("load_id").agg(
         F.count("*").alias("n"),
-        *_numeric("L"),
-        *_numeric("O"),
+        *_numeric("L", centred),
+        *_numeric("O", centred),
         F.count_if(hand.isNull()).alias("hand_null"),
         F.count_if(~hand.rlike(HAND_PATTERN)).alias("hand_bad"),
         F.count_if(hand == "L").alias("hand_left"),
@@ -64,15 +96,17 @@ def distinct_counts(samples: DataFrame) -> DataFrame:
     return long.select("load_id", "e.*").where(F.col("v").isNotNull()).distinct().groupBy("load_id", "column_name").agg(F.count("*").alias("n_distinct"))
 
 
-def column_profile(samples: DataFrame) -> DataFrame:
+def column_profile(samples: DataFrame, loads: DataFrame | None = None, domains: DataFrame | None = None) -> DataFrame:
     """One row per load and column (L, hand, O).
 
     ``n_missing`` counts nulls and NaN; ``n_violations`` values that break the column's pattern (hand: other than exactly
     L or R; numbers: infinite ones). Mean, standard deviation, skewness and kurtosis come from the power sums of finite
     values, null where there are too few or none differ. Ranges and quantile points are text so that one column serves
-    all types; distinct counts leave null out and count NaN as one value. An empty table gives no rows.
+    all types; distinct counts leave null out and count NaN as one value. An empty table gives no rows. Given loads and
+    domains, O outside the range of the load's domain is a violation and stays out of the moments.
     """
-    stats = load_stats(samples)
+    centred = loads is not None and domains is not None
+    stats = load_stats(_centred(samples, loads, domains), True) if centred else load_stats(samples)
 
     def number(c: str) -> Column:
         n, s1, s2, s3, s4 = (F.col(f"{c}_s{i}") for i in range(5))
@@ -84,10 +118,11 @@ def column_profile(samples: DataFrame) -> DataFrame:
             F.lit(c).alias("column_name"),
             F.col("n").alias("n_rows"),
             (F.col(f"{c}_null") + F.col(f"{c}_nan")).alias("n_missing"),
+            # Sums leave out what isn't finite and, where ranges are known, what is out of range.
             (F.col("n") - F.col(f"{c}_null") - F.col(f"{c}_nan") - n).alias("n_violations"),
             F.col(f"{c}_min").cast("string").alias("min_value"),
             F.col(f"{c}_max").cast("string").alias("max_value"),
-            mean.alias("mean"),
+            (mean + F.col(f"{c}_centre") if centred else mean).alias("mean"),
             F.sqrt(m2).alias("std"),
             F.try_divide(m3, F.pow(m2, 1.5)).alias("skewness"),
             F.try_divide(m4, m2 * m2).alias("kurtosis"),
@@ -119,30 +154,37 @@ def _with_domain(stats: DataFrame, loads: DataFrame) -> DataFrame:
     return stats.where(F.col("load_id").isNotNull()).join(names, F.col("load_id") == F.col("__load"), "left").drop("__load")
 
 
-def standardised_shifts(samples: DataFrame, loads: DataFrame) -> DataFrame:
+def standardised_shifts(samples: DataFrame, loads: DataFrame, domains: DataFrame | None = None) -> DataFrame:
     """Each load's mean of L and O against all other loads of its domain, from merged power sums.
 
-    ``shift`` is the difference of means over the root of the mean of both variances; null where a side has no finite
-    value or neither side varies.
+    ``shift`` is the difference of means over the root of the mean of both variances; null where a side has no possible
+    value or neither side varies. O outside the domain's range (fill values) isn't in the sums; ``n_violations`` counts it
+    beside infinite values. Sums are of deviations from the domain's centre, and those of the other loads are added up
+    from the loads before and after, never subtracted from a whole.
     """
-    stats = _with_domain(load_stats(samples), loads)
-    long = stats.select("load_id", "domain", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}_s{i}").alias(f"s{i}") for i in range(3)]) for c in NUMERIC])).alias("p")).select("load_id", "domain", "p.*")
-    whole = long.groupBy(F.col("domain").alias("__domain"), F.col("column_name").alias("__column")).agg(*[F.sum(f"s{i}").alias(f"w{i}") for i in range(3)])
-    j = long.join(whole, F.col("domain").eqNullSafe(F.col("__domain")) & (F.col("column_name") == F.col("__column")))
+    none = samples.sparkSession.createDataFrame([], "domain string, o_min double, o_max double")
+    stats = _with_domain(load_stats(_centred(samples, loads, none if domains is None else domains), True), loads)
+    violations = {c: F.col("n") - F.col(f"{c}_null") - F.col(f"{c}_nan") - F.col(f"{c}_s0") for c in NUMERIC}
+    fields = lambda c: [violations[c].alias("n_violations"), F.col(f"{c}_centre").alias("centre"), *[F.coalesce(F.col(f"{c}_s{i}").cast("double"), F.lit(0.0)).alias(f"s{i}") for i in range(3)]]
+    long = stats.select("load_id", "domain", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *fields(c)) for c in NUMERIC])).alias("p")).select("load_id", "domain", "p.*")
+    o = Window.partitionBy("domain", "column_name")  # one row a load
+    before, after = (o.orderBy(k).rowsBetween(Window.unboundedPreceding, -1) for k in (F.asc("load_id"), F.desc("load_id")))
+    j = long.select("*", *[(F.coalesce(F.sum(f"s{i}").over(before), F.lit(0.0)) + F.coalesce(F.sum(f"s{i}").over(after), F.lit(0.0))).alias(f"r{i}") for i in range(3)])
 
     def moments(n: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
         mean = F.try_divide(s1, n)
         return mean, F.greatest(F.try_divide(s2, n) - mean * mean, F.lit(0.0))
 
     own = moments(F.col("s0"), F.col("s1"), F.col("s2"))
-    rest = moments(F.col("w0") - F.col("s0"), F.col("w1") - F.col("s1"), F.col("w2") - F.col("s2"))
+    rest = moments(F.col("r0"), F.col("r1"), F.col("r2"))
     return j.select(
         "load_id",
         "domain",
         "column_name",
-        F.col("s0").alias("n_finite"),
-        own[0].alias("mean"),
-        rest[0].alias("mean_rest"),
+        F.col("s0").cast("long").alias("n_finite"),
+        "n_violations",
+        (own[0] + F.col("centre")).alias("mean"),
+        (rest[0] + F.col("centre")).alias("mean_rest"),
         F.try_divide(own[0] - rest[0], F.sqrt((own[1] + rest[1]) / 2)).alias("shift"),
     )
 

@@ -101,8 +101,8 @@ def queries() -> dict:
         "p1_outcomes": lambda s, d: parse.failure_counts(table(s, d, "raw_samples")),
         "p2_found": lambda s, d: profile.load_findings(table(s, d, "samples"), table(s, d, "loads")),
         "p2_profile": lambda s, d: profile.column_profile(table(s, d, "samples")).select("load_id", "column_name", "n_rows", "n_missing", "n_violations", "n_distinct"),
-        "p2_moments": lambda s, d: profile.column_profile(table(s, d, "samples")),
-        "p2_shifts": lambda s, d: profile.standardised_shifts(table(s, d, "samples"), table(s, d, "loads")),
+        "p2_moments": lambda s, d: profile.column_profile(table(s, d, "samples"), table(s, d, "loads"), table(s, d, "domains")),
+        "p2_shifts": lambda s, d: profile.standardised_shifts(table(s, d, "samples"), table(s, d, "loads"), table(s, d, "domains")),
         "p3_found": lambda s, d: spikes.implausible_readings(table(s, d, "samples"), table(s, d, "cases"), table(s, d, "domains")),
         "p4_found": lambda s, d: grid.missing_slots(table(s, d, "samples"), table(s, d, "cases")),
         "p4_grid": lambda s, d: _rounded_grid(grid.regular_grid(table(s, d, "samples"), table(s, d, "cases"))),

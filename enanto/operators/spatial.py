@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import median
 from ..functions.scalars import floor_to, round_half_even
+from ..session import written
 
 
 def derived_grid(pairs: DataFrame, cases: DataFrame, composite: bool = False) -> DataFrame:
@@ -196,6 +197,66 @@ def matched_controls(cases: DataFrame, lat_step: float = 20.0, lon_step: float =
     return out
 
 
+#: The reference's tiers from strict to loose; ``lon_near`` stands for the bin beside the event's, one side after the other.
+_ALL_TIERS = (
+    ("tier_a_exact", ("month", "hour", "lat_bin", "lon_bin")),
+    ("tier_b_lon_adjacent", ("month", "hour", "lat_bin", "lon_near")),
+    ("tier_b_month_hour_lat", ("month", "hour", "lat_bin")),
+    ("tier_c_month_lat", ("month", "lat_bin")),
+    ("tier_c_hour_lat", ("hour", "lat_bin")),
+    ("tier_c_month_hour", ("month", "hour")),
+    ("tier_c_month_only", ("month",)),
+    ("tier_c_lat_only", ("lat_bin",)),
+    ("tier_c_lead_only", ()),
+)
+
+
+def controls_for_all(cases: DataFrame, samples: DataFrame, lat_step: float = 20.0, lon_step: float = 60.0) -> DataFrame:
+    """A control for every event case: case_id, control_id, match_quality, control_tier, lat0, lon0.
+
+    The domain takes the place of the lead; month and hour are those of onset_time, or of a case's first reading where it
+    has none (as controls do). Tiers are matched rank to rank as in
+    :func:`matched_controls`. A domain of more events than controls frees its controls again, as the reference empties its
+    set of used ones: each comes in as many copies as rounds are needed, so none is used more often than that. Events of a
+    domain without controls get an offset one. Null month, hour or place matches nothing, but the tiers without it.
+    """
+    began = samples.where(F.col("case_id").isNotNull()).groupBy(F.col("case_id").alias("__s")).agg(F.min("t").alias("__t0"))
+    c = cases.where(F.col("case_id").isNotNull()).join(began, F.col("case_id") == F.col("__s"), "left").withColumn("at", F.coalesce("onset_time", "__t0"))
+    c = c.select(
+        "case_id", "domain", "case_type", "lat0", "lon0", F.month("at").alias("month"), F.hour("at").alias("hour"),
+        round_half_even(F.col("lat0"), lat_step).alias("lat_bin"), round_half_even(F.col("lon0"), lon_step).alias("lon_bin"),
+    )
+    c = written(c, "timed")
+    events, controls = c.where(F.col("case_type").isin("storm", "near_storm")), c.where("case_type = 'control'")
+    many = c.groupBy(F.col("domain").alias("__d")).agg(F.count_if(F.col("case_type").isin("storm", "near_storm")).alias("e"), F.count_if(F.col("case_type") == "control").alias("k"))
+    rounds = many.where("k > 0").select("__d", F.greatest(F.lit(1), F.ceil(F.col("e") / F.col("k"))).cast("int").alias("__rounds"))
+    controls = controls.withColumnRenamed("case_id", "control_id").join(rounds, F.col("domain").eqNullSafe(F.col("__d"))).withColumn("use", F.explode(F.sequence(F.lit(1), F.col("__rounds"))))
+    controls = controls.withColumn("case_id", F.concat_ws("#", "control_id", "use")).drop("__d", "__rounds", "use")
+    out = None
+    steps = [(quality, keys, shift) for quality, keys in _ALL_TIERS for shift in ((-lon_step, lon_step) if "lon_near" in keys else (0.0,))]
+    for quality, keys, shift in steps:
+        keys = ("domain", *keys)
+        e, k = events.withColumn("lon_near", F.col("lon_bin") + shift), controls.withColumn("lon_near", F.col("lon_bin"))
+        for x in keys[1:]:
+            e, k = e.where(F.col(x).isNotNull()), k.where(F.col(x).isNotNull())
+        e = _ranked(e, keys, "r")
+        k = _ranked(k, keys, "__r").select("control_id", F.col("case_id").alias("__copy"), F.col("lat0").alias("__lat"), F.col("lon0").alias("__lon"), *[F.col(x).alias(f"__{x}") for x in keys], "__r")
+        on = F.col("r") == F.col("__r")
+        for x in keys:
+            on = on & F.col(x).eqNullSafe(F.col(f"__{x}"))
+        hit = e.join(k, on).select("case_id", "control_id", F.lit(quality).alias("match_quality"), control_tier(F.lit(quality)).alias("control_tier"), F.col("__lat").alias("lat0"), F.col("__lon").alias("lon0"), "__copy")
+        hit = written(hit, "matched")  # each tier rests on all before it
+        out = hit if out is None else out.unionByName(hit)
+        taken = hit.select(F.col("case_id").alias("__a"), F.col("__copy").alias("__b"))
+        events = events.join(taken, F.col("case_id") == F.col("__a"), "left_anti")
+        controls = controls.join(taken, F.col("case_id") == F.col("__b"), "left_anti")
+        events, controls = written(events, "events"), written(controls, "controls")  # plans don't grow with the tiers
+    out = out.drop("__copy")
+    placed = events.where(F.col("lon0").isNotNull())
+    o = offset_controls(placed).unionByName(offset_controls(events.where(F.col("lon0").isNull())).withColumn("lon0", F.lit(None).cast("double")))
+    return out.unionByName(o.select("case_id", "control_id", F.lit("offset").alias("match_quality"), "control_tier", "lat0", "lon0"))
+
+
 def control_tier(quality: Column) -> Column:
     """A, B or C by the prefix of a match quality, else unknown."""
     return F.when(quality.startswith("tier_a"), "A").when(quality.startswith("tier_b"), "B").when(quality.startswith("tier_c"), "C").otherwise("unknown")

@@ -49,6 +49,7 @@ def queries() -> dict:
         "anomaly_audit": lambda s, d: rounded(spatial.anomaly_audit(_grid(s, d))),
         "offset_controls": lambda s, d: rounded(spatial.offset_controls(_events(s, d))),
         "matched_controls": lambda s, d: spatial.matched_controls(table(s, d, "cases")),
+        "controls_for_all": lambda s, d: spatial.controls_for_all(table(s, d, "cases"), table(s, d, "samples")),
         "control_coverage": lambda s, d: rounded(spatial.control_coverage(table(s, d, "cases"))),
         "slice_status": lambda s, d: spatial.slice_status(table(s, d, "samples")),
     }

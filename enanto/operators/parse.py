@@ -1,8 +1,9 @@
 """Problem 1: rows that fail to parse.
 
-The lines are read permissively under an explicit schema whose corrupt column keeps the raw text (``from_csv``). Lines
-without a quotation mark or line break that the reader accepts keep its fields; every other line is cut again from its
-raw text and reclassified: quoting, column count, then a check of each value. One narrow pass, no shuffle.
+The lines are read permissively under an explicit typed schema whose corrupt column keeps the raw text (``from_csv``).
+Lines that the reader accepts and that are plain to see as valid keep its values. Every other line, corrupt or doubtful
+(the reader takes "1d" for a number and lets quotes pass), is cut again from its raw text and reclassified: quoting,
+column count, then a check of each value. One narrow pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 FIELDS = ("case_id", "t", "L", "hand", "O", "omega", "note")
 REASONS = ("quoting", "column_count", "case_id", "t", "L", "hand", "O")
 
-_SCHEMA = ", ".join(f"`f{i}` STRING" for i in range(len(FIELDS))) + ", `corrupt` STRING"
-_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "sep": ","}
+_TYPES = ("STRING", "TIMESTAMP_NTZ", "DOUBLE", "STRING", "DOUBLE", "DOUBLE", "STRING")
+_SCHEMA = ", ".join(f"`__read_{n}` {k}" for n, k in zip(FIELDS, _TYPES)) + ", `__corrupt` STRING"
+_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt", "quote": '"', "escape": '"', "sep": ",", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
 #: Longer lines may hold more columns than the CSV reader allows; they are cut from their raw text at once.
 _READER_MAX = 20_000
 
@@ -22,8 +24,15 @@ _READER_MAX = 20_000
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
 _LINE = rf"(?s)\A(?:,{_FIELD})*+\z"
 _CUT = rf"(?s),({_FIELD})"
-_NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-_TIME = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[ T](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?Z?\z"
+_PLAIN_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_PLAIN_TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ T](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?Z?"
+_NUMBER = rf"\A{_PLAIN_NUMBER}\z"
+_TIME = rf"\A{_PLAIN_TIME}\z"
+#: ASCII lower-case letters, then an underscore, then ASCII digits.
+_PLAIN_CASE = "[a-z]+_[0-9]+"
+_CASE = rf"\A{_PLAIN_CASE}\z"
+#: A line without quotes and control characters whose shape leaves nothing to check but what the values amount to.
+_VALID = rf"\A *{_PLAIN_CASE} *, *{_PLAIN_TIME} *, *{_PLAIN_NUMBER} *, *[LR] *, *(?:{_PLAIN_NUMBER})? *, *(?:{_PLAIN_NUMBER})? *,[^\x00-\x1f\x7f\",]*+\z"
 
 
 def _number(c: Column) -> Column:
@@ -50,17 +59,15 @@ def classify_lines(df: DataFrame, line: str = "raw_line", keep: tuple[str, ...]
     """
     raw = F.coalesce(F.col(f"`{line}`"), F.lit(""))
     kept = [F.col(f"`{k}`") for k in keep]
-    read = df.select(*kept, raw.alias("__raw"), F.from_csv(F.when(F.length(raw) <= _READER_MAX, raw), _SCHEMA, _OPTIONS).alias("__read"))
-    plain = F.col("__read").isNotNull() & F.col("__read.corrupt").isNull() & ~F.col("__raw").rlike('["\r\n]') & (F.length("__raw") > 0)
-    lead = F.concat(F.lit(","), F.col("__raw"))
-    cut = read.select(
-        *kept,
-        "__raw",
-        (plain | lead.rlike(_LINE)).alias("__quoted"),
-        F.when(plain, F.array(*[F.coalesce(F.col(f"__read.f{i}"), F.lit("")) for i in range(len(FIELDS))]))
-        .otherwise(F.regexp_extract_all(lead, F.lit(_CUT), F.lit(1)))
-        .alias("__cut"),
-    )
+    read = df.select(*kept, raw.alias("__raw"), F.inline(F.array(F.from_csv(F.when(F.length(raw) <= _READER_MAX, raw), _SCHEMA, _OPTIONS))))
+    as_read = [f"__read_{n}" for n in FIELDS]
+    within = F.col("__read_t").isNotNull() & (F.year("__read_t") > 0) & (F.col("__read_L") > 0) & (F.col("__read_L") < float("inf"))
+    within = within & F.coalesce(F.abs("__read_O") < float("inf"), F.lit(True)) & F.coalesce(F.abs("__read_omega") < float("inf"), F.lit(True))
+    plain = F.col("__corrupt").isNull() & F.coalesce(within, F.lit(False)) & F.col("__raw").rlike(_VALID)
+    # inline(array(struct)) gives its values names of their own: what follows reads them instead of computing them again.
+    read = read.select(*kept, "__raw", *as_read, F.inline(F.array(F.struct(plain.alias("__plain")))))
+    lead = F.when(~F.col("__plain"), F.concat(F.lit(","), F.col("__raw")))
+    cut = read.select(*kept, "__raw", *as_read, "__plain", F.inline(F.array(F.struct(lead.rlike(_LINE).alias("__quoted"), F.regexp_extract_all(lead, F.lit(_CUT), F.lit(1)).alias("__cut")))))
 
     def value(i: int) -> Column:
         x = F.coalesce(F.get("__cut", F.lit(i)), F.lit(""))
@@ -68,34 +75,18 @@ def classify_lines(df: DataFrame, line: str = "raw_line", keep: tuple[str, ...]
         return F.trim(bare)
 
     shaped = F.col("__quoted") & (F.size("__cut") == len(FIELDS))
-    # inline(array(struct)) gives its values names of their own: what follows reads them instead of computing them again.
     texts = [F.when(shaped, value(i)).alias(f"__{n}") for i, n in enumerate(FIELDS)]
-    cut = cut.select(*kept, "__raw", F.inline(F.array(F.struct("__quoted", "__cut"))))
-    fields = cut.select(*kept, "__raw", F.inline(F.array(F.struct("__quoted", F.size("__cut").alias("__n"), *texts))))
-    typed = fields.select(
-        *kept,
-        "__raw",
-        F.inline(
-            F.array(
-                F.struct(
-                    "__quoted",
-                    "__n",
-                    "__case_id",
-                    _timestamp(F.col("__t")).alias("__t"),
-                    _number(F.col("__L")).alias("__L"),
-                    "__hand",
-                    F.col("__O").alias("__Otext"),
-                    _number(F.col("__O")).alias("__O"),
-                    _number(F.col("__omega")).alias("__omega"),
-                    "__note",
-                )
-            )
-        ),
-    )
+    fields = cut.select(*kept, "__raw", *as_read, "__plain", F.inline(F.array(F.struct("__quoted", F.size("__cut").alias("__n"), *texts))))
+    again = {"t": _timestamp(F.col("__t")), **{c: _number(F.col(f"__{c}")) for c in ("L", "O", "omega")}, **{c: F.col(f"__{c}") for c in ("case_id", "hand", "note")}}
+    # The reader gives null for an empty note.
+    taken = {c: F.trim(F.coalesce("__read_note", F.lit(""))) if c == "note" else F.col(f"__read_{c}") for c in FIELDS}
+    values = [F.when(F.col("__plain"), taken[c]).otherwise(again[c]).alias(f"__{c}") for c in FIELDS]
+    typed = fields.select(*kept, "__raw", F.inline(F.array(F.struct("__plain", "__quoted", "__n", F.col("__O").alias("__Otext"), *values))))
     reason = (
-        F.when(~F.col("__quoted"), "quoting")
+        F.when(F.col("__plain"), None)
+        .when(~F.col("__quoted"), "quoting")
         .when(F.col("__n") != len(FIELDS), "column_count")
-        .when(~F.col("__case_id").rlike(r"\A[a-z_0-9]+\z"), "case_id")
+        .when(~F.col("__case_id").rlike(_CASE), "case_id")
         .when(F.col("__t").isNull(), "t")
         .when(F.col("__L").isNull() | (F.col("__L") <= 0), "L")
         .when(~F.col("__hand").isin("L", "R"), "hand")

@@ -28,7 +28,7 @@ checked AS (
   SELECT *, CASE
     WHEN NOT quoted THEN 'quoting'
     WHEN k <> 7 THEN 'column_count'
-    WHEN NOT regexp_full_match(v[1], '[a-z_0-9]+') THEN 'case_id'
+    WHEN NOT regexp_full_match(v[1], '[a-z]+_[0-9]+') THEN 'case_id'
     WHEN NOT regexp_full_match(v[2], '{_T}') OR try_cast(substr(v[2], 1, 10) AS DATE) IS NULL OR v[2] LIKE '0000%' THEN 't'
     WHEN l_num IS NULL OR isinf(l_num) OR l_num <= 0 THEN 'L'
     WHEN v[4] NOT IN ('L', 'R') THEN 'hand'

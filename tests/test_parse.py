@@ -32,6 +32,17 @@ CASES = [
     ("Case_1,2001-01-04 17:14:02,96,R,1,,", "case_id"),
     (",2001-01-04 17:14:02,96,R,1,,", "case_id"),
     ("case_1\n,2001-01-04 17:14:02,96,R,1,,", "case_id"),
+    ("null,2001-01-04 17:14:02,96,R,1,,", "case_id"),
+    ("case_,2001-01-04 17:14:02,96,R,1,,", "case_id"),
+    ("_case_1,2001-01-04 17:14:02,96,R,1,,", "case_id"),
+    ("case1,2001-01-04 17:14:02,96,R,1,,", "case_id"),
+    ("0001,2001-01-04 17:14:02,96,R,1,,", "case_id"),
+    ("case_1_2,2001-01-04 17:14:02,96,R,1,,", "case_id"),
+    ("case_id,t,L,hand,O,omega,note", "case_id"),
+    ("case_1,2001-01-04 17:14:02,96,R,1,1e999,", None),
+    ("case_1,2001-01-04 17:14:02.1234567890123,96,R,1,,\u00a0", None),
+    (GOOD + "x" * 30_000, None),
+    (GOOD[:-4] + "\t", None),
     ("case_1,2001-02-30 17:14:02,96,R,1,,", "t"),
     ("case_1,2001-02-28 24:00:00,96,R,1,,", "t"),
     ("case_1,2001-2-28 04:00:00,96,R,1,,", "t"),
@@ -111,7 +122,7 @@ def plain(line):
         return "column_count"
     f = [x.strip(" ") for x in fields]
     number = lambda x: re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", x) and abs(float(x)) < float("inf")
-    if not re.fullmatch("[a-z_0-9]+", f[0]):
+    if not re.fullmatch("[a-z]+_[0-9]+", f[0]):
         return "case_id"
     m = re.fullmatch(r"([0-9]{4}-[0-9]{2}-[0-9]{2})[ T]([0-9]{2}:[0-9]{2}:[0-9]{2})(\.[0-9]+)?Z?", f[1])
     try:

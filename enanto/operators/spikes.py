@@ -1,20 +1,21 @@
 """Problem 3: implausible spikes in measurements.
 
-A series is one (case_id, L, hand) ordered by t. Each is decomposed robustly into a running-median trend, a median daily
-cycle (where it spans at least two days) and residuals; residuals beyond generalised extreme studentised deviate limits
-are candidates, which an exact check of the readings before and after confirms. Range and constant-run checks are separate.
-
-A task holds many short series at once and works on them with segmented NumPy operations. A series of more than
-``CHUNK`` readings is cut into chunks by running counts over narrow time buckets; chunks overlap by enough readings to
-judge each reading in its own chunk as in the whole. What such a series needs as a whole (its usual scatter) is
-aggregated by Spark from all its readings.
+A series is one (case_id, L, hand) ordered by t. Each is decomposed robustly into a running-median trend, the median of
+the detrended readings by hour of day (where it spans at least two days) and a remainder. Remainders beyond the
+generalised extreme studentised deviate limits, with mean and deviation taken anew after each removal, are candidates; an
+exact check of the readings before and after confirms them. Range and constant-run checks are separate.
+
+A task holds many series at once and works on them with segmented NumPy operations. A series of more than ``CHUNK``
+readings is cut into chunks by running counts over narrow time buckets; chunks overlap by enough readings to judge each
+reading in its own chunk as in the whole. What such a series needs as a whole (usual scatter, daily cycle, ranks and sums
+of its remainders) comes exactly from all its readings, so the rule is the same whatever a series' length.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import exact_medians, ranked
 from ..functions.scalars import epoch_micros
 from ..session import kernel_partitions, map_arrow, written
 
@@ -34,26 +36,34 @@ SCATTERS = 12.0
 
 SIDE = 5  # readings whose median is the level before or after
 TREND = 7  # readings of the running median; more than twice the longest spike
-LONG_TREND = 25
 MAD = 1.4826  # median absolute deviation to standard deviation of a normal
 ALPHA = 0.05
+TESTED = 4  # at most a quarter of a series can be extreme
 DAY_US = 86_400_000_000
 BINS = 24
-CHUNK = 8192
-HALO = 16  # readings seen beyond a chunk on either side; at least STUCK_RUN - 1 and LONG_TREND // 2
+CYCLE_US = 2 * DAY_US  # a daily cycle needs two days
+CYCLE_LEAST = 4 * BINS  # and more readings than this
+HOUR_LEAST = 2 * SPIKE_RUN  # and more in its hour, so that one spike can't become its own cycle
+CHUNK = 100_000
+HALO = 16  # readings seen beyond a chunk on either side; at least STUCK_RUN - 1 and SPIKE_RUN + SIDE
 BUCKET_STEPS = 64
 SUPER = 4096
 FALLBACK_STEP_S = 3600
 BATCH = 150_000
 
 _SERIES = ["case_id", "L", "hand"]
-_OUT = "case_id string, L double, hand string, us long, first_id long, last_id long, n_rows long, kind string, dev double, away double, resid double"
+_OUT = "case_id string, L double, hand string, us long, first_id long, last_id long, n_rows long, kind string, dev double, d double"
+
+
+@lru_cache(maxsize=1)
+def _normal_tail() -> tuple[np.ndarray, np.ndarray]:
+    grid = np.linspace(0.0, 9.0, 4001)
+    return grid, np.array([0.5 * math.erfc(z / math.sqrt(2)) for z in grid])
 
 
 def _t_quantile(p: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Student's t quantile from the normal one (Cornish-Fisher terms to df^-3)."""
-    grid = np.linspace(0.0, 9.0, 4001)
-    tail = np.array([0.5 * math.erfc(z / math.sqrt(2)) for z in grid])
+    grid, tail = _normal_tail()
     z = np.interp(-np.log(np.maximum(1 - p, tail[-1])), -np.log(tail), grid)
     z3, z5, z7 = z**3, z**5, z**7
     return z + (z3 + z) / (4 * df) + (5 * z5 + 16 * z3 + 3 * z) / (96 * df**2) + (3 * z7 + 19 * z5 + 17 * z3 - 15 * z) / (384 * df**3)
@@ -67,13 +77,6 @@ def gesd_limits(n: np.ndarray, i: np.ndarray, alpha: float = ALPHA) -> np.ndarra
     return (n - i) * t / np.sqrt((df + t * t) * np.maximum(n - i + 1, 1.0))
 
 
-def first_limit(n: int, alpha: float = ALPHA) -> float:
-    z = NormalDist().inv_cdf(1 - alpha / (2 * n))
-    df = n - 2
-    t = z + (z**3 + z) / (4 * df)
-    return (n - 1) * t / math.sqrt((df + t * t) * n)
-
-
 def _window(x: np.ndarray, seg: np.ndarray, offsets: range) -> tuple[np.ndarray, np.ndarray]:
     """Median of the readings at the offsets within the same segment, and how many there are."""
     n = len(x)
@@ -103,56 +106,82 @@ def _segment_median(x: np.ndarray, seg: np.ndarray, n_seg: int) -> np.ndarray:
     return out
 
 
-def _daily_cycle(us: np.ndarray, x: np.ndarray, seg: np.ndarray, n_seg: int) -> np.ndarray:
+def _cells(us: np.ndarray) -> np.ndarray:
+    return (us % DAY_US) * BINS // DAY_US
+
+
+def _daily_cycle(us: np.ndarray, d: np.ndarray, seg: np.ndarray, n_seg: int) -> np.ndarray:
     """Median of the detrended readings per series and hour of day; zero for series shorter than two days."""
     first = np.searchsorted(seg, np.arange(n_seg))
     last = np.searchsorted(seg, np.arange(n_seg), side="right") - 1
-    cyclic = (us[last] - us[first] >= 2 * DAY_US) & (last - first >= 4 * BINS)
-    out = np.zeros(len(x))
+    cyclic = (us[last] - us[first] >= CYCLE_US) & (last - first >= CYCLE_LEAST)
+    out = np.zeros(len(d))
     rows = np.flatnonzero(cyclic[seg])
     if len(rows):
-        long, _ = _window(x[rows], seg[rows], range(-(LONG_TREND // 2), LONG_TREND // 2 + 1))
-        cell = seg[rows] * BINS + (us[rows] % DAY_US) * BINS // DAY_US
-        med = np.nan_to_num(_segment_median(x[rows] - long, cell, n_seg * BINS))
-        counts = np.bincount(cell, minlength=n_seg * BINS)
-        med[counts <= 2 * SPIKE_RUN] = 0.0  # so that one spike can't become its own cycle
+        cell = seg[rows] * BINS + _cells(us[rows])
+        med = np.nan_to_num(_segment_median(d[rows], cell, n_seg * BINS))
+        med[np.bincount(cell, minlength=n_seg * BINS) <= HOUR_LEAST] = 0.0
         out[rows] = med[cell]
     return out
 
 
+def _extreme(n: np.ndarray, below: np.ndarray, c: np.ndarray, v: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """Rank of each remainder v (from the largest, 1) where it is beyond its generalised ESD limit, else 0.
+
+    The deviate is studentised by mean and deviation of what remains when all larger remainders are removed (s1 and s2
+    are the sums up to v); equal remainders have one rank. At most one in ``TESTED`` readings of a series is tested.
+    """
+    left = (below + c).astype(float)
+    rank = n - left + 1
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        mean = s1 / left
+        # Of a remainder so large that its square isn't finite the deviate can't be told from the largest possible one.
+        var = (s2 - s1 * mean) / (left - 1)
+        deviate = np.where(np.isfinite(s2), np.maximum(np.abs(v - mean), np.abs(v + mean)) / np.sqrt(np.maximum(var, 0.0)), (left - 1) / np.sqrt(left))
+        beyond = (rank <= n // TESTED) & (v > 0) & (left >= 3) & (deviate > gesd_limits(n, rank))
+    return np.where(beyond, rank, 0).astype(np.int64)
+
+
+def candidates(r: np.ndarray, seg: np.ndarray, n_seg: int) -> np.ndarray:
+    """Which remainders are beyond the generalised ESD limits of their series: all down to the last one that is."""
+    v = np.abs(r)
+    order = np.lexsort((v, seg))
+    vs, gs, rs = v[order], seg[order], r[order]
+    count = np.bincount(seg, minlength=n_seg)
+    start = np.concatenate(([0], np.cumsum(count)))
+    s1, s2 = rs.copy(), rs * rs
+    for a, b in zip(start[:-1].tolist(), start[1:].tolist()):
+        # Series by series, small remainders first, so that no large one costs the others their digits.
+        if b - a > 1:
+            np.cumsum(s1[a:b], out=s1[a:b])
+            np.cumsum(s2[a:b], out=s2[a:b])
+    end = np.ones(len(vs), bool)  # the last of equal remainders has the sums
+    end[:-1] = (vs[1:] != vs[:-1]) | (gs[1:] != gs[:-1])
+    e = np.flatnonzero(end)
+    n = count[gs[e]]
+    upto = e + 1 - start[gs[e]]
+    rank = _extreme(n, upto - 1, np.ones(len(e)), vs[e], s1[e], s2[e])
+    worst = np.zeros(n_seg, np.int64)
+    np.maximum.at(worst, gs[e], rank)
+    # Rank of every remainder: one more than the number of larger ones.
+    group = np.cumsum(np.concatenate(([0], end[:-1].astype(np.int64))))
+    mine = (n - upto + 1)[group]
+    out = np.zeros(len(r), bool)
+    out[order] = (mine <= worst[gs]) & (mine > 0)
+    return out
+
+
 def judge(us: np.ndarray, x: np.ndarray, seg: np.ndarray) -> dict[str, np.ndarray]:
-    """Per reading: stuck, deviation beyond both levels, distance from the local level, residual, GESD candidate; scatter per segment.
+    """Per reading what its neighbours tell: stuck, deviation ``dev`` beyond both levels, and ``d``, the reading less its trend.
 
     ``seg`` numbers the series or chunks in order from 0; readings are in order of time within each.
     """
-    n, n_seg = len(x), int(seg[-1]) + 1
+    n = len(x)
     new = np.ones(n, bool)
     new[1:] = (x[1:] != x[:-1]) | (seg[1:] != seg[:-1])
     run = np.cumsum(new) - 1
     stuck = np.bincount(run)[run] >= STUCK_RUN
-
     level, _ = _window(x, seg, range(-(TREND // 2), TREND // 2 + 1))
-    away = np.abs(x - level)
-    moving = ~stuck
-    scatter = MAD * _segment_median(away[moving], seg[moving], n_seg)
-
-    cycle = _daily_cycle(us, x, seg, n_seg)
-    trend = _window(x - cycle, seg, range(-(TREND // 2), TREND // 2 + 1))[0] if cycle.any() else level
-    resid = np.abs(x - cycle - trend)
-    scale = MAD * _segment_median(resid[moving], seg[moving], n_seg)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.where(moving, resid / scale[seg], 0.0)
-    z[np.isnan(z)] = 0.0
-    order = np.lexsort((-z, seg))
-    size = np.bincount(seg, minlength=n_seg)
-    start = np.concatenate(([0], np.cumsum(size)[:-1]))
-    rank = np.arange(n) - start[seg[order]] + 1
-    half = np.maximum(size[seg[order]] // 2, 1)
-    beyond = (rank <= half) & (size[seg[order]] >= 3) & (z[order] > gesd_limits(size[seg[order]], np.minimum(rank, half)))
-    worst = np.zeros(n_seg, np.int64)
-    np.maximum.at(worst, seg[order][beyond], rank[beyond])
-    candidate = np.zeros(n, bool)
-    candidate[order] = rank <= worst[seg[order]]
 
     before, n_before = _window(x, seg, range(-SIDE, 0))
     after, n_after = _window(x, seg, range(1, SIDE + 1))
@@ -174,7 +203,18 @@ def judge(us: np.ndarray, x: np.ndarray, seg: np.ndarray) -> dict[str, np.ndarra
         d = np.where(still, -np.inf, np.maximum(up, down))
         for k in range(w):
             np.maximum.at(dev, i + k, d)
-    return {"stuck": stuck, "dev": dev, "away": away, "resid": resid, "candidate": candidate, "scatter": scatter}
+    return {"stuck": stuck, "dev": dev, "d": x - level}
+
+
+def _spikes(us: np.ndarray, seg: np.ndarray, r: dict[str, np.ndarray]) -> np.ndarray:
+    """Readings of whole series that are candidates by their remainder and that the exact check confirms."""
+    n_seg = int(seg[-1]) + 1
+    moving = np.flatnonzero(~r["stuck"])
+    scatter = MAD * _segment_median(np.abs(r["d"][moving]), seg[moving], n_seg)
+    remainder = r["d"] - _daily_cycle(us, r["d"], seg, n_seg)
+    candidate = np.zeros(len(us), bool)
+    candidate[moving] = candidates(remainder[moving], seg[moving], n_seg)
+    return candidate & (np.bincount(seg)[seg] >= SERIES_LEAST) & (r["dev"] > SCATTERS * scatter[seg])
 
 
 def _judged(table: pa.Table) -> pa.Table:
@@ -187,15 +227,13 @@ def _judged(table: pa.Table) -> pa.Table:
         new[1:] = np.any(diff, axis=0)
     seg = np.cumsum(new) - 1
     us, x = (table[c].to_numpy() for c in ("us", "o"))
-    total = np.bincount(seg)[seg]  # of a whole series; chunked ones have more than enough
     own, hot = (table[c].to_numpy().astype(bool) for c in ("own", "hot"))
     r = judge(us, x, seg)
-    limit = SCATTERS * r["scatter"][seg]
-    spike = ~hot & ~r["stuck"] & (total >= SERIES_LEAST) & r["candidate"] & (r["dev"] > limit)
+    spike = ~hot & _spikes(us, seg, r) if not hot.all() else np.zeros(n, bool)
     keep = np.flatnonzero(own & (hot | spike | r["stuck"]))
-    kind = np.where(r["stuck"][keep], "stuck", np.where(hot[keep], "pending", "spike"))
+    kind = np.where(hot[keep], np.where(r["stuck"][keep], "pending stuck", "pending"), np.where(r["stuck"][keep], "stuck", "spike"))
     out = table.select([*_SERIES, "us", "first_id", "last_id", "n_rows"]).take(pa.array(keep))
-    for name, v in (("kind", pa.array(kind.tolist(), pa.string())), ("dev", pa.array(r["dev"][keep])), ("away", pa.array(r["away"][keep])), ("resid", pa.array(r["resid"][keep]))):
+    for name, v in (("kind", pa.array(kind.tolist(), pa.string())), ("dev", pa.array(r["dev"][keep])), ("d", pa.array(r["d"][keep]))):
         out = out.append_column(name, v)
     return out
 
@@ -246,15 +284,14 @@ def _eligible(samples: DataFrame, cases: DataFrame, domains: DataFrame) -> DataF
     return out.withColumn("impossible", bad)
 
 
-def _hot_buckets(rows: DataFrame) -> DataFrame:
-    """Where the readings of series of more than ``CHUNK`` rows go: series, bucket, home chunk and chunks that see it.
+def _hot_buckets(readings: DataFrame, hot: DataFrame) -> DataFrame:
+    """Where the readings of series of more than ``CHUNK`` go: series, bucket, home chunk and chunks that see it.
 
     Written, so that the plan that joins it knows its size: about one row per ``BUCKET_STEPS`` readings of hot series.
     """
-    hot = rows.groupBy(*_SERIES).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(*[F.col(c).alias(f"__{c}") for c in _SERIES])
-    hot = written(hot, "hot-series")
-    of_hot = rows.join(hot, [F.col(c) == F.col(f"__{c}") for c in _SERIES]).select(*_SERIES, "us", _bucket().alias("bucket")).distinct()
-    counts = of_hot.groupBy(*_SERIES, "bucket").agg(F.count("*").alias("c")).withColumn("over", F.expr(f"floor(bucket / {SUPER}D)"))
+    named = hot.select(*[F.col(c).alias(f"__{c}") for c in _SERIES])
+    counts = readings.join(named, [F.col(c) == F.col(f"__{c}") for c in _SERIES]).groupBy(*_SERIES, _bucket().alias("bucket")).agg(F.count("*").alias("c"))
+    counts = counts.withColumn("over", F.expr(f"floor(bucket / {SUPER}D)"))
     upper = counts.groupBy(*_SERIES, "over").agg(F.sum("c").alias("oc"), F.max("c").alias("om"))
     earlier = Window.partitionBy(*_SERIES).orderBy("over").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*_SERIES)
@@ -263,20 +300,49 @@ def _hot_buckets(rows: DataFrame) -> DataFrame:
     placed = counts.join(upper, [*_SERIES, "over"]).withColumn("a", F.col("base") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
     lo = F.floor(F.greatest(F.col("a") - HALO - F.col("most"), F.lit(0)) / CHUNK)
     hi = F.floor((F.col("a") + F.col("c") - 1 + HALO) / CHUNK)
-    named = [F.col(c).alias(f"__{c}") for c in (*_SERIES, "bucket")]
-    return written(placed.select(*named, F.floor(F.col("a") / CHUNK).alias("home"), F.sequence(lo, hi).alias("seen")), "hot-buckets")
+    names = [F.col(c).alias(f"__{c}") for c in (*_SERIES, "bucket")]
+    return written(placed.select(*names, F.floor(F.col("a") / CHUNK).alias("home"), F.sequence(lo, hi).alias("seen")), "hot-buckets")
 
 
 def _bucket() -> Column:
     return F.expr(f"floor(us / ({BUCKET_STEPS} * coalesce(if(step_s > 0, step_s, null), {FALLBACK_STEP_S}) * 1000000D))")
 
 
-def _chunks(readings: DataFrame, hot_buckets: DataFrame) -> DataFrame:
+def _chunks(readings: DataFrame, hot: DataFrame) -> DataFrame:
     """Readings with chunk, own and hot; those near a chunk's edge appear in the next chunk too."""
+    columns = [*_SERIES, "us", "o", "first_id", "last_id", "n_rows"]
+    if hot.isEmpty():
+        return readings.select(*columns, F.lit(0).cast("long").alias("chunk"), F.lit(False).alias("hot"), F.lit(True).alias("own"))
     keys = [F.col(c) == F.col(f"__{c}") for c in (*_SERIES, "bucket")]
-    j = readings.withColumn("bucket", _bucket()).join(hot_buckets, keys, "left")
+    j = readings.withColumn("bucket", _bucket()).join(_hot_buckets(readings, hot), keys, "left")
     out = j.withColumn("chunk", F.explode(F.coalesce("seen", F.array(F.lit(0).cast("long")))))
-    return out.select(*_SERIES, "chunk", "us", "o", "first_id", "last_id", "n_rows", F.col("home").isNotNull().alias("hot"), (F.coalesce("home", F.lit(0)) == F.col("chunk")).alias("own"))
+    return out.select(*columns, "chunk", F.col("home").isNotNull().alias("hot"), (F.coalesce("home", F.lit(0)) == F.col("chunk")).alias("own"))
+
+
+def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n, below, c, v, s1, s2 = (b[k].to_numpy(zero_copy_only=False) for k in ("n", "below", "c", "v", "upto_r", "upto_rr"))
+        yield pa.RecordBatch.from_arrays([*[b[k] for k in _SERIES], pa.array(_extreme(n, below, c, v, s1, s2)), b["v"]], names=[*_SERIES, "rank", "v"])
+
+
+def _hot_spikes(pending: DataFrame) -> DataFrame:
+    """The spikes of chunked series, from all their readings, by the same decomposition, limits and check as whole ones."""
+    size = pending.groupBy(*_SERIES).agg(F.count("*").alias("n_all"), (F.max("us") - F.min("us")).alias("span"))
+    moving = pending.where(F.col("kind") == "pending")
+    scatter = exact_medians(moving.withColumn("away", F.abs("d")), _SERIES, "away", "m_away").drop("n")
+    hour = F.expr(f"pmod(us, {DAY_US}) * {BINS} div {DAY_US}")
+    cycle = exact_medians(pending.withColumn("cell", hour), [*_SERIES, "cell"], "d", "m_cycle").where(F.col("n") > HOUR_LEAST).drop("n")
+    long = size.where((F.col("span") >= CYCLE_US) & (F.col("n_all") > CYCLE_LEAST)).select(*_SERIES)
+    cycle = cycle.join(long, _SERIES, "left_semi")
+    x = moving.withColumn("cell", hour).join(cycle, [*_SERIES, "cell"], "left").withColumn("r", F.col("d") - F.coalesce("m_cycle", F.lit(0.0)))
+    x = written(x.select(*_SERIES, "us", "first_id", "last_id", "n_rows", "dev", "r", F.abs("r").alias("v")), "remainders")
+    sorted_ = ranked(x.withColumn("rr", F.col("r") * F.col("r")), _SERIES, "v", ("r", "rr"))
+    upper = sorted_.where(F.col("n") - F.col("below") - F.col("c") < F.floor(F.col("n") / TESTED))
+    tested = map_arrow(upper.select(*_SERIES, "n", "below", "c", "v", "upto_r", "upto_rr"), _beyond, "case_id string, L double, hand string, rank long, v double")
+    # Smaller remainders have larger ranks: all down to the last one beyond its limit are candidates.
+    least = tested.where("rank > 0").groupBy(*_SERIES).agg(F.min("v").alias("least"))
+    j = x.join(least, _SERIES).join(scatter, _SERIES).join(size.where(F.col("n_all") >= SERIES_LEAST), _SERIES)
+    return j.where((F.col("v") >= F.col("least")) & (F.col("dev") > SCATTERS * MAD * F.col("m_away")))
 
 
 def implausible_readings(samples: DataFrame, cases: DataFrame, domains: DataFrame) -> DataFrame:
@@ -291,21 +357,23 @@ def implausible_readings(samples: DataFrame, cases: DataFrame, domains: DataFram
     fair = rows.where(~F.col("impossible"))
     first = F.coalesce("sample_id", F.lit(2**63 - 1))
     readings = fair.groupBy(*_SERIES, "us").agg(F.min_by("o", first).alias("o"), F.min("sample_id").alias("first_id"), F.max("sample_id").alias("last_id"), F.count("*").alias("n_rows"), F.min("step_s").alias("step_s"))
-    cut = _chunks(readings, _hot_buckets(fair)).repartition(kernel_partitions(samples.sparkSession), *_SERIES, "chunk").sortWithinPartitions(*_SERIES, "chunk", "us")
-    # Written once: the chunked series' readings are read twice below, and the judgement isn't made again.
+    readings = written(readings, "readings")
+    sizes = written(readings.groupBy(*_SERIES).agg(F.count("*").alias("n"), F.max("n_rows").alias("copies")), "series")
+    total, copies = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    parts = kernel_partitions(samples.sparkSession, total)
+    hot = sizes.where(F.col("n") > CHUNK)
+    cut = _chunks(readings, hot).repartition(parts, *_SERIES, "chunk").sortWithinPartitions(*_SERIES, "chunk", "us")
+    # Written once, so that the judgement isn't made again for each use below.
     judged = written(map_arrow(cut, _judge_batches, _OUT), "judged")
-    pending = judged.where(F.col("kind") == "pending")
-    mine = lambda c: F.percentile_approx(F.when(F.col("kind") == "pending", F.col(c)), 0.5, 10_000)
-    # Of a chunked series all readings are here; many rows may still be few readings.
-    usual = judged.groupBy(*_SERIES).agg(mine("away").alias("m_away"), mine("resid").alias("m_resid"), F.count("*").alias("n"))
-    confirmed = pending.join(usual, _SERIES).where(
-        (F.col("n") >= SERIES_LEAST) & (F.col("dev") > SCATTERS * MAD * F.col("m_away")) & (F.col("resid") > first_limit(CHUNK) * MAD * F.col("m_resid"))
-    )
     columns = [*_SERIES, "us", "first_id", "last_id", "n_rows"]
-    flagged = judged.where(F.col("kind") != "pending").select(*columns, "kind").unionByName(confirmed.select(*columns, F.lit("spike").alias("kind")))
+    flagged = judged.where(F.col("kind").isin("stuck", "spike")).select(*columns, "kind")
+    if not hot.isEmpty():
+        pending = judged.where(F.col("kind").startswith("pending"))
+        flagged = flagged.unionByName(pending.where(F.col("kind") == "pending stuck").select(*columns, F.lit("stuck").alias("kind")))
+        flagged = flagged.unionByName(_hot_spikes(pending).select(*columns, F.lit("spike").alias("kind")))
     ids = F.when(F.col("n_rows") == 1, F.array("first_id")).otherwise(F.array("first_id", "last_id"))
     out = impossible.unionByName(flagged.where("n_rows <= 2").select(F.explode(ids).alias("sample_id"), "kind"))
-    if not judged.where("n_rows > 2").isEmpty():
+    if copies > 2:
         many = flagged.where("n_rows > 2").select(*[F.col(c).alias(f"__{c}") for c in (*_SERIES, "us")], "kind")
         keys = [F.col(c) == F.col(f"__{c}") for c in (*_SERIES, "us")]
         out = out.unionByName(fair.join(many, keys).select("sample_id", "kind"))

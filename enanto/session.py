@@ -57,16 +57,20 @@ def apply_groups(df: DataFrame, keys: list[str], function, schema: str) -> DataF
     return df.repartition(kernel_partitions(df.sparkSession), *keys).groupBy(*keys).applyInPandas(function, schema)
 
 
-def kernel_partitions(spark: SparkSession) -> int:
-    """As many partitions as the session sets: rows that are few and small may still be much work in Python, so they
-    aren't put together by their size."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def kernel_partitions(spark: SparkSession, n_rows: int = 0, most: int = 250_000) -> int:
+    """As many partitions as the session sets, more where that would give a task over ``most`` of ``n_rows``: rows that
+    are few and small may still be much work in Python, so they aren't put together by their size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // most))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset on a local
+    master, as in tests. On a cluster each executor would write to a disk of its own, so that is an error."""
     at = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not at:
+        master = spark.sparkContext.master or ""
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor shares")
         app = spark.sparkContext.applicationId
         at = _OWN.setdefault(app, None) or "file://" + tempfile.mkdtemp(prefix="enanto-")
         _OWN[app] = at

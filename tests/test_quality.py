@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
-from enanto.operators import grid, profile, spikes
+from enanto.operators import grid, ordered, profile, spikes
 
 NAN, INF = float("nan"), float("inf")
 SAMPLES = "sample_id bigint, load_id bigint, case_id string, t timestamp_ntz, L double, hand string, O double, arrived_at timestamp_ntz, n bigint, kind string, slot_s bigint"
@@ -141,7 +141,7 @@ def spiky(spark):
     return samples(spark, data), cases, domains, sorted(want)
 
 
-@pytest.mark.parametrize("chunk", [64, 500, 8192])
+@pytest.mark.parametrize("chunk", [64, 500, 100_000])
 def test_spikes_whole_and_chunked(spark, monkeypatch, chunk):
     monkeypatch.setattr(spikes, "CHUNK", chunk)
     monkeypatch.setattr(spikes, "BUCKET_STEPS", 16)
@@ -150,6 +150,83 @@ def test_spikes_whole_and_chunked(spark, monkeypatch, chunk):
     assert sorted(map(tuple, spikes.implausible_readings(s, c, d).collect())) == want
 
 
+def mixed(spark, seed):
+    """Series with daily cycles, ties, heavy tails, outages, stuck runs and spikes of every width."""
+    rng = np.random.default_rng(seed)
+    data, n = [], 0
+    for c in range(6):
+        size, step = int(rng.integers(150, 1200)), int(rng.choice([60, 900, 3600]))
+        at = np.cumsum(rng.choice([1, 1, 1, 2, 40], size) * step)
+        o = 20 + np.cumsum(rng.normal(0, 0.05, size)) + (rng.normal(0, 0.1, size) if c % 2 else rng.standard_t(2, size) * 0.1)
+        o[(at % 86_400) < step] += 3.0
+        for _ in range(size // 40):
+            i = int(rng.integers(0, size))
+            o[i : i + int(rng.integers(1, 5))] += rng.choice([-4.0, 0.8, 1.5, 8.0])
+        i = int(rng.integers(0, size - 15))
+        o[i : i + int(rng.integers(8, 14))] = o[i]
+        o = np.round(o, 1 if c < 3 else 6)
+        for a, v in zip(at, o):
+            n += 1
+            data.append((n, 1, f"c{c}", T0 + dt.timedelta(seconds=int(a)), 5.0, "L", float(v)))
+    cases = spark.createDataFrame([(f"c{c}", "dom", 60, 0.0) for c in range(6)], CASES)
+    domains = spark.createDataFrame([("dom", -500.0, 500.0, "clash")], DOMAINS)
+    return samples(spark, data), cases, domains
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chunks_give_the_rows_of_whole_series(spark, monkeypatch, seed):
+    s, c, d = mixed(spark, seed)
+    whole = rows(spikes.implausible_readings(s, c, d))
+    monkeypatch.setattr(spikes, "CHUNK", 64)
+    monkeypatch.setattr(spikes, "BUCKET_STEPS", 8)
+    monkeypatch.setattr(spikes, "SUPER", 4)
+    assert rows(spikes.implausible_readings(s, c, d)) == whole
+    assert sum(k == "spike" for _, k in whole) > 10 and sum(k == "stuck" for _, k in whole) > 10
+
+
+def test_esd_limits_decide_where_the_scatter_says_nothing(spark):
+    """More than half of the readings equal their level, so any change is more than twelve scatters of zero."""
+    o = np.full(400, 10.0)
+    o[5:395:3] += 1.0
+    o[200:202] = 60.0
+    for k in range(0, 400, 7):  # no constant run
+        o[k] += 0.001 * (k % 5 + 1)
+    data = [(i, 1, "a", T0 + dt.timedelta(minutes=i), 5.0, "L", float(v)) for i, v in enumerate(o)]
+    cases = spark.createDataFrame([("a", "dom", 60, 0.0)], CASES)
+    domains = spark.createDataFrame([("dom", 0.0, 100.0, "clash")], DOMAINS)
+    assert rows(spikes.implausible_readings(samples(spark, data), cases, domains)) == [(200, "spike"), (201, "spike")]
+    seg, us = np.zeros(400, np.int64), np.arange(400) * 60_000_000
+    assert (spikes.judge(us, o, seg)["dev"] > 0).sum() > 20
+
+
+def test_candidates_are_those_of_rosners_procedure():
+    rng = np.random.default_rng(4)
+    for n in (5, 12, 60, 300):
+        r = np.concatenate((rng.normal(0, 1, n - n // 10), rng.normal(0, 9, n // 10)))
+        left, last, removed = list(range(n)), 0, []
+        for i in range(1, n // spikes.TESTED + 1):
+            x = r[left]
+            k = int(np.argmax(np.abs(x)))
+            deviate = max(abs(abs(x[k]) - x.mean()), abs(abs(x[k]) + x.mean())) / x.std(ddof=1)
+            removed.append(left.pop(k))
+            if deviate > spikes.gesd_limits(np.array([n]), np.array([i]))[0]:
+                last = i
+        assert sorted(np.flatnonzero(spikes.candidates(r, np.zeros(n, np.int64), 1))) == sorted(removed[:last])
+
+
+def test_ranks_and_exact_medians(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": np.round(rng.normal(0, 1, 501), 1), "b": rng.lognormal(0, 4, 300), None: np.array([-1.0, -0.0, 0.0, 5.0]), "c": np.array([-INF, 2.0, INF])}
+    data = [(g, float(v), 1.0) for g, x in groups.items() for v in x] + [("a", NAN, 1.0), ("a", None, 1.0), ("d", None, 1.0)]
+    df = spark.createDataFrame(data, "g string, x double, w double")
+    got = {r.g: (r.m, r.n) for r in ordered.exact_medians(df, ["g"], "x", "m").collect()}
+    assert got == {g: (pytest.approx(np.median(x)), len(x)) for g, x in groups.items()}
+    for r in ordered.ranked(df, ["g"], "x", ("w",)).collect():
+        x = groups[r.g]
+        assert (r.below, r.c, r.n, r.upto_w) == ((x < r.x).sum(), (x == r.x).sum(), len(x), (x <= r.x).sum())
+    assert ordered.exact_medians(df.limit(0), ["g"], "x", "m").count() == 0
+
+
 def test_many_copies_of_few_readings(spark, monkeypatch):
     monkeypatch.setattr(spikes, "CHUNK", 64)
     o = series(30, 5, [(10, 1)])
@@ -174,7 +251,6 @@ def test_gesd_limits_match_published_example():
     # Rosner (1983): n = 54, alpha = 0.05
     got = spikes.gesd_limits(np.full(3, 54), np.array([1, 2, 3]))
     assert np.allclose(got, [3.159, 3.151, 3.144], atol=0.005)
-    assert spikes.first_limit(54) == pytest.approx(3.159, abs=0.02)
 
 
 def test_carried_batches_agree():

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import os
 import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -230,7 +231,7 @@ def test_shards_blocks_and_empty_tables(spark, monkeypatch):
     whole = hits(spark, texts, ps)
     assert set(whole) == {(i, i % 5) for i in range(60)}
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
-    assert len(leakage._blocks(items(spark, ps))) > 2 and hits(spark, texts, ps) == whole
+    assert len(list(leakage._blocks(items(spark, ps)))) > 2 and hits(spark, texts, ps) == whole
     assert hits(spark, [], ps) == {} and hits(spark, texts, []) == {}
     left = leakage.clean_documents(table(spark, texts + [(None, "x"), (99, None)]), items(spark, ps))
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 99]
@@ -249,12 +250,46 @@ def test_long_texts_in_stretches(spark, monkeypatch):
     assert hits(spark, [(1, " ".join(ws))], [(i, " ".join(x)) for i, x in enumerate(p)]) == want
 
 
-def test_suffix_ranks_order_by_words():
-    ids = np.array([3, 1, 2, 3, 1, 2, 0, 3, 1, 0])
-    r = leakage.prefix_ranks(ids, 4)
-    pad = list(ids) + [0] * 4
-    keys = [tuple(pad[i : i + 4]) for i in range(len(ids))]
-    assert [sorted(set(keys)).index(k) for k in keys] == [int(x) - 1 for x in np.unique(r, return_inverse=True)[1] + 1]
+def test_suffix_array_and_common_prefixes():
+    rng = np.random.default_rng(13)
+    p = leakage._Passages([(i, " ".join(rng.choice(list("abc"), 40))) for i in range(3)])
+    train = rng.integers(0, 4, 400)
+    s = leakage._Suffixes(train, p)
+    whole = [tuple(s.ids[i : i + s.rest[i]][:40].tolist()) for i in range(len(s.ids))]
+    at = np.flatnonzero(s.rest > 0)
+    order = at[np.argsort(s.rank[-1][at], kind="stable")]
+    assert [whole[i] for i in order] == sorted(whole[i] for i in at)
+    i, j = rng.choice(at, 2000), rng.choice(at, 2000)
+    for a, b, n in zip(i, j, s.common(i, j)):
+        k = 0
+        while k < min(len(whole[a]), len(whole[b])) and whole[a][k] == whole[b][k]:
+            k += 1
+        assert min(n, 40) == k
+    # What was left out can't match: every window of four words of the shard that a passage has is still there.
+    have = {tuple(p.ids[k : k + 4]) for k in range(len(p.ids) - 3) if (p.ids[k : k + 4] > 0).all()}
+    kept = set(s.origin[s.rest[: s.size] > 0].tolist())
+    assert all(k in kept for k in range(397) if tuple(train[k : k + 4]) in have)
+
+
+def test_equal_words_stay_small():
+    p = leakage._Passages([(i, " ".join(["a"] * 200)) for i in range(50)])
+    train = np.array([1] * 9000 + [0])
+    tracemalloc.start()
+    got = leakage._shard([7], [0], [9001], train, p)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(7, i, 200, 0, 0, "verbatim") for i in range(50)] and most < 100e6
+
+
+def test_locations(spark):
+    rng = np.random.default_rng(14)
+    p = passages(rng, 2)
+    noise = list(rng.choice(WORDS, 300))
+    changed = [w if i % 8 else "z" for i, w in enumerate(p[1])]
+    got = {(r.doc_id, r.item_id): r for r in leakage.leaks(table(spark, [(1, " ".join(noise + p[0][20:45] + noise + p[0][5:18])), (2, " ".join(noise[:50] + changed))]), items(spark, [(i, " ".join(x)) for i, x in enumerate(p)])).collect()}
+    a, b = got[1, 0], got[2, 1]
+    assert (a.n_words, a.text_word, a.passage_word, a.kind) == (25, 300, 20, "verbatim")
+    assert (b.n_words, b.text_word, b.passage_word, b.kind) == (7, 51, 1, "changed")
 
 
 # -- spans ------------------------------------------------------------------------------------------------------------

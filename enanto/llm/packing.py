@@ -22,8 +22,6 @@ from ..session import apply_groups, map_arrow, written
 
 CAPACITY = 2048
 BLOCK = 40_000
-#: Containers with at most so many tokens free count as full.
-SLACK = 8
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the tokenizer's vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -56,27 +54,20 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container number of each size (0 < size <= capacity), placed in the order given.
 
     ``open_[g]`` counts the open containers with g tokens free. Moving one from gap g to g - s changes the sum of squares
-    by 1 - 2 open[g] plus, unless it is then full, 1 + 2 open[g - s]; a new one by 1 + 2 open[capacity - s]. Of equal
-    changes the one that leaves the smallest gap wins.
+    by 1 - 2 open[g] plus, unless it is then full, 1 + 2 open[g - s]; the container with the least change takes the piece
+    (of equal changes the one that leaves the smallest gap). A new one is opened only where no open one has room: with
+    large pieces first, opening for the sake of the sum leaves gaps that no small pieces are left for.
     """
     open_ = np.zeros(capacity + 1, np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     out = np.empty(len(sizes), np.int64)
     used = 0
-    far = np.int64(1 << 60)
     for i, s in enumerate(sizes.tolist()):
-        have = open_[s:capacity]
-        after = 2 * open_[0 : capacity - s] + 1
-        if capacity > s:
-            after[0] = 0
-            change = np.where(have > 0, after - 2 * have + 1, far)
-            k = int(change.argmin())
-            best = int(change[k])
-        else:
-            k, best = 0, int(far)
-        fresh = 0 if s == capacity else 1 + 2 * int(open_[capacity - s])
-        if best <= fresh:
-            gap = s + k
+        gaps = np.flatnonzero(open_[s:capacity]) + s
+        if len(gaps):
+            after = 2 * open_[gaps - s] + 1
+            after[gaps == s] = 0
+            gap = int(gaps[(after - 2 * open_[gaps]).argmin()])
             bin_ = stacks[gap].pop()
             open_[gap] -= 1
             left = gap - s
@@ -90,46 +81,6 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def tightest_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each size, each placed where it leaves the smallest gap (sizes come in descending order)."""
-    open_ = np.zeros(capacity + 1, np.int64)
-    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-    out = np.empty(len(sizes), np.int64)
-    used = 0
-    for i, s in enumerate(sizes.tolist()):
-        have = np.flatnonzero(open_[s:])
-        if len(have):
-            gap = s + int(have[0])
-            bin_ = stacks[gap].pop()
-            open_[gap] -= 1
-        else:
-            gap, bin_ = capacity, used
-            used += 1
-        if gap > s:
-            open_[gap - s] += 1
-            stacks[gap - s].append(bin_)
-        out[i] = bin_
-    return out
-
-
-def place(sizes: np.ndarray, capacity: int, slack: int = SLACK) -> np.ndarray:
-    """Sum of squares over descending sizes, then one refill: containers left with more than ``slack`` free are emptied
-    and their pieces placed again by tightest fit. On token counts sum of squares alone fills nine tenths of the
-    containers to the last token and leaves the remaining gaps to the end, when no small pieces are left for them.
-    """
-    bins = sum_of_squares(sizes, capacity)
-    if not len(bins):
-        return bins
-    fill = np.bincount(bins, weights=sizes)
-    again = (capacity - fill > slack)[bins]
-    _, kept = np.unique(bins[~again], return_inverse=True)
-    out = np.empty_like(bins)
-    out[~again] = kept
-    refilled = tightest_fit(sizes[again], capacity)
-    out[again] = refilled + (int(kept.max()) + 1 if len(kept) else 0)
-    return out
-
-
 def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
     """doc_id, piece, start_token, n_tokens, container_id: every text in one container, unless it exceeds one.
 
@@ -159,7 +110,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
         sizes = pdf["size"].to_numpy()
         n = int((sizes > 0).sum())
         bins = np.zeros(len(pdf), np.int64)
-        bins[:n] = place(sizes[:n], capacity)
+        bins[:n] = sum_of_squares(sizes[:n], capacity)
         pdf["container_id"] = "b" + pdf["block"].astype(str) + "-" + pd.Series(bins, index=pdf.index).astype(str)
         return pdf.rename(columns={"size": "n_tokens"})[["doc_id", "piece", "start_token", "n_tokens", "container_id"]]
 

@@ -1,3 +1,4 @@
+import bisect
 import datetime as dt
 import math
 import os
@@ -98,7 +99,7 @@ def test_sum_of_squares_chooses_the_least_change():
         bins, out = [], []
         for s in sizes:
             best = None
-            for gap in sorted({cap - sum(b) for b in bins if cap - sum(b) >= s}) + [None]:
+            for gap in sorted({cap - sum(b) for b in bins if cap - sum(b) >= s}) or [None]:
                 trial = [cap - sum(b) for b in bins]
                 if gap is None:
                     trial.append(cap - s)
@@ -127,6 +128,23 @@ def test_sum_of_squares_chooses_the_least_change():
     assert gaps == want and b.max() + 1 == n
 
 
+def test_sum_of_squares_fills_as_well_as_tightest_fit():
+    rng = np.random.default_rng(15)
+    sizes = np.sort(np.minimum(rng.lognormal(6, 1, 20_000).astype(int) + 1, 2048))[::-1]
+    tight = 0
+    gaps: list[int] = []
+    for x in sizes.tolist():
+        k = bisect.bisect_left(gaps, x)
+        if k == len(gaps):
+            tight += 1
+            bisect.insort(gaps, 2048 - x)
+        else:
+            bisect.insort(gaps, gaps.pop(k) - x)
+    b = packing.sum_of_squares(sizes, 2048)
+    fill = np.bincount(b, weights=sizes)
+    assert fill.max() <= 2048 and len(fill) <= 1.002 * tight
+
+
 @pytest.mark.parametrize("text", [" " * 400_000, "a" * 400_000, "\n" * 400_000, "ab " * 150_000, "あ" * 100_000, "\x00<|endoftext|>'s"])
 def test_odd_and_long_texts(spark, text):
     assert packing.token_counts(docs(spark, [(1, text)])).first().n_tokens > 0

@@ -73,10 +73,18 @@ def oracle_sql() -> dict:
         "p8_found": _SHARED
         + """, p AS (SELECT DISTINCT page_id, h FROM s)
             SELECT DISTINCT a.page_id AS page_id_a, b.page_id AS page_id_b FROM p a JOIN p b ON a.h = b.h AND a.page_id < b.page_id""",
-        "p8_spans": _SHARED
-        + """, g AS (SELECT doc_id, i, (i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200)::INT AS new FROM s),
-            r AS (SELECT doc_id, i, sum(coalesce(new, 0)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g)
-            SELECT doc_id, (min(i) - 1)::INT AS "start", (max(i) + 199)::INT AS "end" FROM r GROUP BY doc_id, run""",
+        "p8_spans": """
+WITH u AS (SELECT doc_id, page_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE page_id IS NOT NULL AND doc_id IS NOT NULL AND length(text) >= 200),
+w AS (SELECT doc_id, page_id, i, md5_number(substr(text, i, 200)) AS h, CASE WHEN length(text) >= i + 200 THEN md5_number(substr(text, i, 201)) END AS g FROM u),
+ph AS (SELECT h FROM w GROUP BY 1 HAVING min(page_id) < max(page_id)),
+pg AS (SELECT g FROM w WHERE g IS NOT NULL GROUP BY 1 HAVING min(page_id) < max(page_id)),
+h AS (SELECT DISTINCT page_id, w.h FROM w JOIN ph ON w.h = ph.h), g AS (SELECT DISTINCT page_id, w.g FROM w JOIN pg ON w.g = pg.g),
+s AS (SELECT doc_id, w.i, h.page_id AS other FROM w JOIN h ON w.h = h.h AND w.page_id <> h.page_id),
+e AS (SELECT doc_id, w.i, g.page_id AS other FROM w JOIN g ON w.g = g.g AND w.page_id <> g.page_id),
+k AS (SELECT s.*, (e.i IS NULL)::INT AS new FROM s LEFT JOIN e ON s.doc_id = e.doc_id AND s.other = e.other AND e.i = s.i - 1),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, other ORDER BY i) AS run FROM k),
+q AS (SELECT doc_id, other, (min(i) - 1)::INT AS "start", (max(i) + 199)::INT AS "end" FROM r GROUP BY doc_id, other, run)
+SELECT doc_id, "start", "end", count(DISTINCT other) AS n_partners FROM q GROUP BY 1, 2, 3""",
         "p8_shares": _SHARED
         + """, c AS (SELECT doc_id, least(coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 200), 200) AS k FROM s),
             t AS (SELECT doc_id, sum(k)::BIGINT AS k FROM c GROUP BY 1)

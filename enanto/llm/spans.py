@@ -2,12 +2,12 @@
 
 Seeds are winnowed anchors: of the hashes of all ``ANCHOR``-character windows the least of every run of
 ``length - ANCHOR + 1`` is kept, so any span of ``length`` characters that two texts share holds an anchor of both. The
-anchors of different pages are joined by hash; only where a hash occurs in more than one page are they extended. An
-anchor extends both ways one character at a time: its neighbourhood is laid out as the windows of ``length`` characters
-around it, and two anchors extend to a shared span exactly where they have such a window in common. Windows are grouped by
-hash, so no two records are ever compared pair by pair, and overlapping shared windows of a record join to its maximal
-shared spans. Anchors with the same neighbourhood are one, whatever the number of their copies, and carry the set of their
-pages as a mergeable signature. Only pages that do share a span are paired in the end, once for each two sets of pages.
+anchors of different pages are joined by hash; only where a hash occurs in more than one page are they extended, both
+ways, to every span of ``length`` characters that has them as its least anchor, and to that span's next character. Anchors
+with the same neighbourhood are one, whatever the number of their copies, and carry the set of their pages as a mergeable
+signature, so no two records are ever compared pair by pair. ``sharing_pages`` pairs pages where their sets meet in a
+span, compared character by character. ``shared_spans`` goes on from there: a span is extended as long as a page that has
+it has the next character too, and where the last does or a page comes or goes, its maximal repeat ends.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import map_arrow, written
@@ -98,7 +98,7 @@ def winnow(texts: list[str], length: int = LENGTH, anchor: int = ANCHOR) -> tupl
     text = np.searchsorted(starts, pos, side="right") - 1
     inside = (pos + anchor <= starts[text + 1]) & (sizes[text] >= length)
     pos, text = pos[inside], text[inside]
-    lo, hi = np.maximum(pos - (length - anchor), starts[text]), np.minimum(pos + length, starts[text + 1])
+    lo, hi = np.maximum(pos - (length - anchor), starts[text]), np.minimum(pos + length + 1, starts[text + 1])
     around = _mix(h.of(lo, hi) + (pos - lo).astype(np.uint64) * _M1 + (hi - pos).astype(np.uint64) * _M2)
     return text, pos - starts[text], grams[pos].view(np.int64), around.view(np.int64)
 
@@ -160,40 +160,58 @@ def _neighbourhoods(distinct: DataFrame) -> DataFrame:
     )
     c = written(c.select("h", "around", "rep.doc_id", "rep.place", "lo", "hi", F.xxhash64("n", F.col("s").cast("string"), "x", "lo", "hi").alias("ps")), "neighbourhoods")
     shared = c.groupBy("h").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select(F.col("h").alias("__h"))
-    return c.join(shared, F.col("h") == F.col("__h"), "left_semi")
+    return written(c.join(shared, F.col("h") == F.col("__h"), "left_semi"), "seeds")
 
 
-_WINDOW = ("around", "lo", "hi", "ps")
+_OWN = ("around", "lo", "hi", "ps")
+_WINDOWS = "h bigint, left int, w bigint, w1 bigint, doc_id bigint, start int, around bigint, lo bigint, hi bigint, ps bigint"
 
 
-def _windows(candidates: DataFrame, documents: DataFrame, length: int, anchor: int) -> DataFrame:
-    """The windows of ``length`` characters around each candidate: h, left (characters before the anchor), hash w, and its own around, lo, hi, ps."""
-    by_doc = candidates.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("h", "place", *_WINDOW)).alias("anchors"))  # as many as one text has
+def _extended(seeds: DataFrame, documents: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Each seed extended both ways to every ``length`` characters that hold it as their least anchor.
+
+    h, left (characters before the anchor), the span's hash w and that of one character more (w1, null at a text's end),
+    where it was read (doc_id, start), and the seed's around, lo, hi, ps. A span has one least anchor, in every text.
+    """
+    by_doc = seeds.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("h", "place", *_OWN)).alias("anchors"))  # as many as one text has
+    by_doc = written(by_doc, "seeds-by-text")  # of known size, so that Spark can tell whether the texts need to move
+    low = np.uint64((1 << int(_PLACE_BITS)) - 1)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lefts = np.arange(length - anchor + 1)
         for b in batches:
-            for text, anchors in zip(b["text"].to_pylist(), b["anchors"].to_pylist()):
+            for doc, text, anchors in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["anchors"].to_pylist()):
                 anchors.sort(key=lambda a: a["place"])
-                h, place, *own = (np.array([a[k] for a in anchors], np.int64) for k in ("h", "place", *_WINDOW))
+                h, place, *own = (np.array([a[k] for a in anchors], np.int64) for k in ("h", "place", *_OWN))
                 s = 0
                 while s < len(h):
                     # Anchors near each other share the hashes of the stretch around them.
                     e = min(s + 2000, int(np.searchsorted(place, place[s] + STRETCH)))
                     base = max(0, int(place[s]) - length)
-                    part = np.frombuffer(text[base : int(place[e - 1]) + length].encode("utf-32-le", "surrogatepass"), np.uint32)
+                    part = np.frombuffer(text[base : int(place[e - 1]) + length + 1].encode("utf-32-le", "surrogatepass"), np.uint32)
                     hashes = _Hashes(part)
-                    start = place[s:e, None] - base - lefts[None, :]
-                    i, left = np.nonzero((start >= 0) & (start + length <= len(part)))
-                    begin = start[i, left]
+                    at = np.arange(len(part) - anchor + 1)
+                    least = (_window_min((hashes.of(at, at + anchor) & ~low) | at.astype(np.uint64), length - anchor + 1) & low).astype(np.int64)
+                    begin = np.arange(len(least))
+                    k = np.minimum(np.searchsorted(place[s:e], least + base), e - s - 1)
+                    begin = begin[place[s:e][k] == least + base]
+                    k = k[begin] + s
+                    more = np.minimum(begin + length + 1, len(part))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[s + i]), pa.array(left.astype(np.int32)), pa.array(hashes.of(begin, begin + length).view(np.int64)), *[pa.array(x[s + i]) for x in own]],
-                        names=["h", "left", "w", *_WINDOW],
+                        [
+                            pa.array(h[k]),
+                            pa.array((least[begin] - begin).astype(np.int32)),
+                            pa.array(hashes.of(begin, begin + length).view(np.int64)),
+                            pa.array(hashes.of(begin, more).view(np.int64), mask=begin + length + 1 > len(part)),
+                            pa.array(np.full(len(k), doc)),
+                            pa.array((begin + base).astype(np.int32)),
+                            *[pa.array(x[k]) for x in own],
+                        ],
+                        names=[f.split()[0] for f in _WINDOWS.split(", ")],
                     )
                     s = e
 
     texts = documents.where(F.col("page_id").isNotNull()).select("doc_id", "text")
-    return map_arrow(texts.join(by_doc, F.col("doc_id") == F.col("__doc")).select("text", "anchors"), extend, "h bigint, left int, w bigint, around bigint, lo bigint, hi bigint, ps bigint")
+    return map_arrow(texts.join(by_doc, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "anchors"), extend, _WINDOWS)
 
 
 def _distinct_anchors(occurrences: DataFrame) -> DataFrame:
@@ -201,6 +219,16 @@ def _distinct_anchors(occurrences: DataFrame) -> DataFrame:
     return rep.select("h", "page_id", "around", "rep.doc_id", "rep.place")
 
 
+def _set_of_sets() -> list[Column]:
+    return [F.count("*").alias("n"), F.sum(F.col("ps").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("ps")).alias("x"), F.min("ps").alias("a"), F.max("ps").alias("b")]
+
+
+def _pages_of(distinct: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The pages of each set ``ps``, read from one neighbourhood that has it."""
+    named = seeds.groupBy("ps").agg(F.min(F.struct("h", "around")).alias("k")).select("ps", F.col("k.h").alias("__h"), F.col("k.around").alias("__r"))
+    return distinct.join(named, (F.col("h") == F.col("__h")) & (F.col("around") == F.col("__r"))).select("ps", "page_id")
+
+
 def sharing_pages(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """page_id_a < page_id_b of the pages of which some revisions share at least ``length`` consecutive characters.
 
@@ -208,43 +236,110 @@ def sharing_pages(documents: DataFrame, length: int = LENGTH, anchor: int = ANCH
     ``length`` share nothing. Repeated revisions and copies within a page count once. An empty table gives no rows.
     """
     distinct = written(_distinct_anchors(_occurrences(documents, length, anchor, once=True)), "anchors")
-    places = _neighbourhoods(distinct)
-    seen = written(_windows(places, documents, length, anchor).select("h", "left", "w", "ps", "lo", "hi").distinct(), "windows")
-    # Sets of pages that meet: in one window two different sets, or one set of several pages with itself.
-    classes = seen.groupBy("h", "left", "w").agg(F.count("*").alias("n"), F.sum(F.col("ps").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("ps")).alias("x"), F.min("ps").alias("a"), F.max("ps").alias("b")).where("n > 1")
-    kept = classes.groupBy("n", "s", "x", "a", "b").agg(F.min(F.struct("h", "left", "w")).alias("k")).select("k.*")
-    member = seen.join(kept, ["h", "left", "w"]).select("h", "left", "w", "ps")
-    cross = member.withColumnRenamed("ps", "ps_a").join(member.withColumnRenamed("ps", "ps_b"), ["h", "left", "w"]).where("ps_a < ps_b").select("ps_a", "ps_b")
+    seeds = _neighbourhoods(distinct)
+    span = ["h", "left", "w"]
+    seen = _extended(seeds, documents, length, anchor).groupBy(*span, "ps", "lo", "hi").agg(F.min(F.struct("doc_id", "start")).alias("rep"))
+    seen = written(seen.select(*span, "ps", "lo", "hi", "rep.doc_id", "rep.start"), "spans")
+    # Sets of pages that meet: in one span two different sets, or one set of several pages with itself.
+    classes = seen.groupBy(*span).agg(*_set_of_sets()).where("n > 1")
+    kept = classes.groupBy("n", "s", "x", "a", "b").agg(F.min(F.struct(*span)).alias("k")).select("k.*")
+    member = written(seen.join(kept, span).select(*span, "ps", F.col("doc_id").alias("__doc"), "start"), "meetings")
+    # What meets by hash is compared character by character.
+    read = documents.select("doc_id", "text").join(member, F.col("doc_id") == F.col("__doc"))
+    read = read.select(*span, "ps", F.expr(f"substring(text, start + 1, {length})").alias("chars"))
+    cross = read.withColumnRenamed("ps", "ps_a").join(read.withColumnRenamed("ps", "ps_b"), [*span, "chars"]).where("ps_a < ps_b").select("ps_a", "ps_b")
     alone = seen.where("lo < hi").select(F.col("ps").alias("ps_a"), F.col("ps").alias("ps_b"))
     met = cross.unionByName(alone).distinct()
-    # The pages of a set are read from one neighbourhood that has it.
-    named = places.groupBy("ps").agg(F.min(F.struct("h", "around")).alias("k")).select(F.col("ps").alias("__ps"), F.col("k.h").alias("__h"), F.col("k.around").alias("__r"))
-    pages = distinct.join(named, (F.col("h") == F.col("__h")) & (F.col("around") == F.col("__r"))).select("__ps", "page_id")
-    a = pages.select(F.col("__ps").alias("ps_a"), F.col("page_id").alias("pa"))
-    b = pages.select(F.col("__ps").alias("ps_b"), F.col("page_id").alias("pb"))
+    pages = _pages_of(distinct, seeds)
+    a = pages.select(F.col("ps").alias("ps_a"), F.col("page_id").alias("pa"))
+    b = pages.select(F.col("ps").alias("ps_b"), F.col("page_id").alias("pb"))
     both = met.join(a, "ps_a").join(b, "ps_b").where("pa <> pb")
     return both.select(F.least("pa", "pb").alias("page_id_a"), F.greatest("pa", "pb").alias("page_id_b")).distinct()
 
 
+class _Repeats:
+    """Where the texts' spans of ``length`` characters are shared, as stretches with one set of pages each."""
+
+    def __init__(self, documents: DataFrame, length: int, anchor: int):
+        self.length = length
+        occurrences = written(_occurrences(documents, length, anchor, once=False), "occurrences")
+        self.distinct = written(_distinct_anchors(occurrences), "anchors")
+        self.seeds = _neighbourhoods(self.distinct)
+        self.spans = written(_extended(self.seeds, documents, length, anchor), "spans")
+        self.sets = {w: written(self._sets(w), f"sets-{w}") for w in ("w", "w1")}
+        p = self.sets["w"].select("h", "left", "w", F.col("set").alias("p"))
+        e = self.sets["w1"].select("h", "left", "w1", F.col("set").alias("e"))
+        x = self.spans.select("h", "left", "w", "w1", "around").join(p, ["h", "left", "w"]).join(e, ["h", "left", "w1"], "left").distinct()
+        # Spans that follow each other in a neighbourhood and are extended by all pages that have them are one stretch.
+        o = Window.partitionBy("h", "around").orderBy(F.desc("left"))  # at most length - anchor + 1
+        same = (F.lag("left").over(o) == F.col("left") + 1) & (F.lag("p").over(o) == F.col("p")) & (F.lag("e").over(o) == F.col("p"))
+        x = x.withColumn("k", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("k", F.sum("k").over(o))
+        x = x.groupBy("h", "around", "k").agg(F.max("left").alias("first"), F.min("left").alias("last"), F.max("p").alias("p"), F.min_by("e", "left").alias("e"))
+        x = written(x.select(F.col("h").alias("__h"), F.col("around").alias("__r"), "first", "last", "p", "e"), "stretches")
+        j = occurrences.join(x, (F.col("h") == F.col("__h")) & (F.col("around") == F.col("__r")))
+        j = j.select("page_id", "doc_id", (F.col("place") - F.col("first")).alias("s0"), (F.col("place") - F.col("last")).alias("s1"), "p", "e")
+        o = Window.partitionBy("doc_id").orderBy("s0")  # the stretches of one text
+        follows = F.coalesce((F.lag("s1").over(o) == F.col("s0") - 1) & F.lag("e").over(o).isNotNull(), F.lit(False))
+        same = follows & (F.lag("p").over(o) == F.col("p")) & F.coalesce(F.lag("e").over(o) == F.col("p"), F.lit(False))
+        j = j.select("*", F.when(follows, 0).otherwise(1).alias("new"), F.when(same, 0).otherwise(1).alias("step"))
+        j = j.withColumn("chain", F.sum("new").over(o)).withColumn("seg", F.sum("step").over(o))
+        m = j.groupBy("page_id", "doc_id", "chain", "seg").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.max("p").alias("p"), F.max_by("e", "s0").alias("e"))
+        parts = F.sort_array(F.collect_list(F.struct("s0", "s1", "p", "e"))).alias("parts")  # of one text
+        self.chains = m.groupBy("page_id", "doc_id", "chain").agg(F.min("s0").alias("start"), (F.max("s1") + length).alias("end"), parts)
+
+    def _sets(self, w: str) -> DataFrame:
+        """The spans (of ``length`` characters, or one more) that several pages have, with the set of these pages."""
+        g = self.spans.where(F.col(w).isNotNull()).groupBy("h", "left", w, "ps").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        g = g.groupBy("h", "left", w).agg(*_set_of_sets(), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+        return g.select("h", "left", w, F.xxhash64("n", F.col("s").cast("string"), "x", "a", "b").alias("set"))
+
+    def members(self) -> DataFrame:
+        """The pages of each set of :meth:`_sets`."""
+        out = None
+        for w, sets in self.sets.items():
+            k = sets.groupBy("set").agg(F.min(F.struct("h", "left", w)).alias("k")).select("set", "k.*")
+            one = self.spans.select("h", "left", w, "ps").join(k, ["h", "left", w]).select("set", "ps").distinct()
+            out = one if out is None else out.unionByName(one)
+        return out.distinct().join(_pages_of(self.distinct, self.seeds), "ps").select("set", "page_id").distinct()
+
+
 def shared_spans(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, start, end of the maximal stretches of each revision made of spans that revisions of other pages have too."""
-    occurrences = written(_occurrences(documents, length, anchor, once=False), "occurrences")
-    seen = written(_windows(_neighbourhoods(_distinct_anchors(occurrences)), documents, length, anchor).select("h", "left", "w", "around", "lo", "hi"), "windows")
-    pages = seen.groupBy("h", "left", "w").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b")
-    hit = seen.join(pages, ["h", "left", "w"], "left_semi")
-    lefts = hit.groupBy(F.col("h").alias("__h"), F.col("around").alias("__r")).agg(F.collect_set("left").alias("lefts"))  # at most length - anchor + 1
-    lefts = written(lefts, "lefts")  # of known size, so that Spark can tell whether all anchors need to move to meet it
-    j = occurrences.join(lefts, (F.col("h") == F.col("__h")) & (F.col("around") == F.col("__r")))
-    begin = j.select("doc_id", F.explode("lefts").alias("left"), "place").select("doc_id", (F.col("place") - F.col("left")).alias("start")).distinct()
-    w = Window.partitionBy("doc_id").orderBy("start")  # the windows of one text
-    marked = begin.withColumn("new", F.when(F.col("start") > F.lag("start").over(w) + length, 1).otherwise(0))
-    grouped = marked.withColumn("run", F.sum("new").over(w))
-    return grouped.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).select("doc_id", "start", "end")
+    """doc_id, start, end of the maximal spans that each revision shares with other pages, and n_partners: how many.
+
+    A span is maximal for a page that has it where that page has no character more on either side; spans that several
+    pages have in the same extent come once, those of different extents each, whether they overlap or not. A page has
+    what its revisions have. Where all partners of a stretch agree no page is looked at; only where partners come or go
+    within it are their pages followed, once for all texts that have the same stretch.
+    """
+    r = _Repeats(documents, length, anchor)
+    chains = written(r.chains, "chains")
+    members = written(r.members(), "members")
+    sizes = members.groupBy("set").agg(F.count("*").alias("n"))
+    single = chains.where(F.size("parts") == 1).withColumn("__set", F.col("parts")[0]["p"])
+    single = single.join(sizes, F.col("__set") == F.col("set")).select("doc_id", "start", "end", (F.col("n") - 1).alias("n_partners"))
+    many = chains.where(F.size("parts") > 1)
+    shape = F.transform("parts", lambda x: F.struct((x["s0"] - F.col("start")).alias("s0"), (x["s1"] - F.col("start")).alias("s1"), x["p"].alias("p"), x["e"].alias("e")))
+    many = many.withColumn("shape", F.xxhash64(shape))
+    each = many.groupBy("shape").agg(F.first("parts").alias("parts")).select("shape", F.posexplode("parts").alias("k", "x")).select("shape", "k", "x.p", "x.e")
+    has = each.join(members, F.col("p") == F.col("set")).select("shape", "k", "page_id")
+    on = each.where(F.col("e").isNotNull()).join(members, F.col("e") == F.col("set")).select("shape", "k", "page_id", F.lit(True).alias("on"))
+    o = Window.partitionBy("shape", "page_id").orderBy("k")  # one page in one stretch
+    j = has.join(on, ["shape", "k", "page_id"], "left")
+    follows = F.coalesce((F.lag("k").over(o) == F.col("k") - 1) & F.lag("on").over(o), F.lit(False))
+    j = j.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(o))
+    runs = j.groupBy("shape", "page_id", "run").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
+    runs = runs.groupBy("shape", "k0", "k1").agg(F.count_distinct("page_id").alias("n"))
+    # A text's own page has the whole stretch.
+    whole = (F.col("k0") == 0) & (F.col("k1") == F.size("parts") - 1)
+    found = many.join(runs, "shape").select("doc_id", F.expr("parts[k0].s0").alias("start"), (F.expr("parts[k1].s1") + length).alias("end"), (F.col("n") - F.when(whole, 1).otherwise(0)).alias("n_partners"))
+    return single.unionByName(found.where("n_partners > 0"))
 
 
 def shared_shares(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_chars, shared_chars and share of every revision; null and empty texts have a null share."""
-    spans = shared_spans(documents, length, anchor).groupBy(F.col("doc_id").alias("__doc")).agg(F.sum(F.col("end") - F.col("start")).alias("chars"))
+    o = Window.partitionBy("doc_id").orderBy("start")  # the stretches of one text
+    fresh = F.col("end") - F.greatest(F.col("start"), F.coalesce(F.lag("end").over(o), F.lit(0)))
+    spans = _Repeats(documents, length, anchor).chains.select("doc_id", fresh.alias("fresh")).groupBy(F.col("doc_id").alias("__doc")).agg(F.sum("fresh").alias("chars"))
     n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     x = documents.select("doc_id", n.alias("n_chars")).join(spans, F.col("doc_id") == F.col("__doc"), "left")
     chars = F.coalesce("chars", F.lit(0)).cast("long")

@@ -374,8 +374,39 @@ def test_spans_and_shares(spark):
     got = {r.doc_id: r for r in spans.shared_shares(pages(spark, data)).collect()}
     assert {d: got[d].shared_chars for d in want} == want
     assert got[400].share is None and got[401].n_chars == 0 and got[302].share == 1.0
-    s = spans.shared_spans(pages(spark, data)).where("doc_id = 103").collect()
-    assert [(r.start, r.end) for r in s] == [(0, 470)] or sorted((r.start, r.end) for r in s) == [(0, 250), (250, 470)]
+    assert {tuple(r) for r in spans.shared_spans(pages(spark, data)).collect()} == repeats(data)
+
+
+def repeats(data, k=200):
+    """(doc, start, end, partners) of all maximal spans, page by page."""
+    has = {}
+    for p, _, t in data:
+        if p is not None and t:
+            for n in (k, k + 1):
+                for i in range(len(t) - n + 1):
+                    has.setdefault(t[i : i + n], set()).add(p)
+    out = {}
+    for p, d, t in data:
+        if p is None or not t:
+            continue
+        open_ = {}
+        for i in range(len(t) - k + 2):
+            here = has[t[i : i + k]] - {p} if i + k <= len(t) else set()
+            on = has[t[i - 1 : i + k]] - {p} if i and i + k <= len(t) else set()
+            for x in [x for x in open_ if x not in on]:
+                out.setdefault((d, open_.pop(x), i + k - 1), set()).add(x)
+            for x in here - set(open_):
+                open_[x] = i
+    return {(*key, len(v)) for key, v in out.items()}
+
+
+def test_spans_of_several_partners_stay_apart(spark):
+    rng = np.random.default_rng(16)
+    a = text(rng, 900)
+    data = [(1, 1, a), (2, 2, "#" * 40 + a[:300]), (3, 3, a[250:600] + "#" * 40), (4, 4, "#" * 9 + a[50:450] + "#" * 9), (5, 5, a[50:450]), (5, 6, a[:450]), (6, 7, a)]
+    got = {tuple(r) for r in spans.shared_spans(pages(spark, data)).collect()}
+    assert got == repeats(data) and {(1, 0, 300, 1), (1, 250, 600, 1), (1, 50, 450, 1), (1, 0, 450, 1), (1, 0, 900, 1)} <= got
+    assert spans.shared_spans(pages(spark, [])).count() == 0 and spans.shared_shares(pages(spark, [])).count() == 0
 
 
 def test_winnowing_keeps_an_anchor_of_every_shared_span():

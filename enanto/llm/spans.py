@@ -144,6 +144,16 @@ def _occurrences(documents: DataFrame, length: int, anchor: int, once: bool) ->
     return map_arrow(used.select("page_id", "doc_id", "text"), run, _OCC)
 
 
+#: So many ids at most are sent to all tasks (4 MB) to leave out rows before they move; beyond that nothing is left out.
+IDS = 500_000
+
+
+def _pruned(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among ``ids`` (one column), where these are few enough to be sent to all tasks."""
+    ids = written(ids.distinct().toDF("__id"), "ids")
+    return df.join(F.broadcast(ids), F.col(column) == F.col("__id"), "left_semi") if ids.count() <= IDS else df
+
+
 def _neighbourhoods(distinct: DataFrame) -> DataFrame:
     """Anchors by neighbourhood: h, around, a place to read it at (doc_id, place), its pages' range lo..hi and their set ``ps``.
 
@@ -210,7 +220,7 @@ def _extended(seeds: DataFrame, documents: DataFrame, length: int, anchor: int)
                     )
                     s = e
 
-    texts = documents.where(F.col("page_id").isNotNull()).select("doc_id", "text")
+    texts = _pruned(documents.where(F.col("page_id").isNotNull()).select("doc_id", "text"), "doc_id", by_doc.select("__doc"))
     return map_arrow(texts.join(by_doc, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "anchors"), extend, _WINDOWS)
 
 
@@ -245,7 +255,7 @@ def sharing_pages(documents: DataFrame, length: int = LENGTH, anchor: int = ANCH
     kept = classes.groupBy("n", "s", "x", "a", "b").agg(F.min(F.struct(*span)).alias("k")).select("k.*")
     member = written(seen.join(kept, span).select(*span, "ps", F.col("doc_id").alias("__doc"), "start"), "meetings")
     # What meets by hash is compared character by character.
-    read = documents.select("doc_id", "text").join(member, F.col("doc_id") == F.col("__doc"))
+    read = _pruned(documents.select("doc_id", "text"), "doc_id", member.select("__doc")).join(member, F.col("doc_id") == F.col("__doc"))
     read = read.select(*span, "ps", F.expr(f"substring(text, start + 1, {length})").alias("chars"))
     cross = read.withColumnRenamed("ps", "ps_a").join(read.withColumnRenamed("ps", "ps_b"), [*span, "chars"]).where("ps_a < ps_b").select("ps_a", "ps_b")
     alone = seen.where("lo < hi").select(F.col("ps").alias("ps_a"), F.col("ps").alias("ps_b"))
@@ -276,7 +286,7 @@ class _Repeats:
         x = x.withColumn("k", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("k", F.sum("k").over(o))
         x = x.groupBy("h", "around", "k").agg(F.max("left").alias("first"), F.min("left").alias("last"), F.max("p").alias("p"), F.min_by("e", "left").alias("e"))
         x = written(x.select(F.col("h").alias("__h"), F.col("around").alias("__r"), "first", "last", "p", "e"), "stretches")
-        j = occurrences.join(x, (F.col("h") == F.col("__h")) & (F.col("around") == F.col("__r")))
+        j = _pruned(occurrences, "h", x.select("__h")).join(x, (F.col("h") == F.col("__h")) & (F.col("around") == F.col("__r")))
         j = j.select("page_id", "doc_id", (F.col("place") - F.col("first")).alias("s0"), (F.col("place") - F.col("last")).alias("s1"), "p", "e")
         o = Window.partitionBy("doc_id").orderBy("s0")  # the stretches of one text
         follows = F.coalesce((F.lag("s1").over(o) == F.col("s0") - 1) & F.lag("e").over(o).isNotNull(), F.lit(False))

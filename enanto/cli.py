@@ -16,7 +16,8 @@ from .sources import datasets
 
 
 def _numbered(samples):
-    return samples.withColumn("sample_id", F.monotonically_increasing_id()).withColumn("load_id", F.lit(None).cast("long"))
+    """With the columns pairing asks for; no key has two readings of a hand (see :func:`run`), so any number does."""
+    return samples.withColumn("sample_id", F.lit(0).cast("long")).withColumn("load_id", F.lit(None).cast("long"))
 
 
 def validate(spark, path: str, allow_missing: bool = False) -> dict:
@@ -43,11 +44,14 @@ def run(spark, path: str, out: str, overrides: dict | None = None) -> dict:
     """Pair, build the curve of the whole dataset, find its knee and scaling; writes results and metadata."""
     d = datasets.load_dataset(spark, path)
     config = datasets.configuration(d.spec, None, overrides)
+    twice = pairing.duplicate_keys(_numbered(d.samples)).limit(3).collect()
+    if twice:
+        raise datasets.DatasetError("more than one reading of a hand: " + ", ".join(f"{r.case_id} {r.t} {r.L} {r.hand}" for r in twice))
     pairs = pairing.pair_table(_numbered(d.samples)).withColumn("series", F.lit(d.spec["id"]))
     c = curve.eta_by_size(pairs, ["series"])
     points = curve.log_points(c, "series")
     k = config["knee"]
-    options = {n: k[n] for n in ("bic_delta_min", "knee_strength_min", "knee_p_min", "bootstrap_n", "bootstrap_cov_max", "edge_buffer_frac", "slope_abs_max", "rho")}
+    options = {n: k[n] for n in ("method", "bic_delta_min", "knee_strength_min", "knee_p_min", "bootstrap_n", "bootstrap_cov_max", "edge_buffer_frac", "slope_abs_max", "rho")}
     result = knees.diagnose(points, "series", options, config["scaling"]["min_sizes"]).withColumnRenamed("series", "__s")
     table = c.join(result, F.col("series") == F.col("__s")).drop("__s")
     table.write.mode("overwrite").parquet(os.path.join(out, "results.parquet"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import stratified_folds
+from ..session import written
 
 
 def out_of_fold(runs: DataFrame, label: str, key: str, features: list[str], k: int = 3) -> DataFrame:
@@ -22,7 +23,7 @@ def out_of_fold(runs: DataFrame, label: str, key: str, features: list[str], k: i
     rows = runs.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     folds = stratified_folds(rows, label, key, k).select(F.col(key).alias("__k"), "fold")
     clean = [F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double")).alias(c) for c in features]
-    x = rows.select(key, label, *clean).join(folds, F.col(key) == F.col("__k")).drop("__k").cache()
+    x = written(rows.select(key, label, *clean).join(folds, F.col(key) == F.col("__k")).drop("__k"), "folds")  # read for every fold
     filled = [f"__{c}" for c in features]
     out = None
     for f in range(k):  # a fixed number of folds

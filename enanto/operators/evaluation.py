@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked
 from ..functions.aggregates import ACCURACY, median
 from ..functions.scalars import finite, null_nan
 
@@ -68,10 +69,10 @@ def calibration_error(r: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
 
 def auroc(r: DataFrame, by: str, score: str = "knee_p", truth: str = "knee_detected") -> DataFrame:
     """Area under the ROC curve per group, tied scores averaged; null without both classes. Ordered over distinct scores."""
-    x = r.where(finite(F.col(score)) & F.col(truth).isNotNull()).groupBy(by, score).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("q"))
-    before = Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("below", F.coalesce(F.sum("q").over(before), F.lit(0)))
-    g = x.groupBy(by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)).alias("wins"))
+    x = r.where(finite(F.col(score)) & F.col(truth).isNotNull()).select(by, score, F.col(truth).cast("double").alias("p"), (~F.col(truth)).cast("double").alias("q"))
+    d = ranked(x, [by], score, ("p", "q"))
+    wins = F.col("p") * (F.col("upto_q") - F.col("q") / 2.0)
+    g = d.groupBy(by).agg(F.sum("p").cast("long").alias("n_pos"), F.sum("q").cast("long").alias("n_neg"), F.sum(wins).alias("wins"))
     return g.select(by, "n_pos", "n_neg", F.try_divide("wins", F.col("n_pos") * F.col("n_neg")).alias("auroc"))
 
 
@@ -143,17 +144,16 @@ def tail_estimates(results: DataFrame, by: str, top: int = 32) -> DataFrame:
     return m.join(h, F.col(by).eqNullSafe(F.col("__h")), "left").select(by, "n", "kurtosis", hill.alias("hill"))
 
 
-def ks_by_bins(df: DataFrame, by: str, value: Column, first: Column, step: float = 0.001) -> DataFrame:
+def ks_distance(df: DataFrame, by: str, value: Column, first: Column) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance between the rows where ``first`` holds and the others, per group.
 
-    Values are rounded down to a step first: the distributions are then compared over bins, bounded by their range.
+    Exact over all distinct values; null where a side has none. Null, NaN and rows with a null ``first`` are left out.
     """
-    b = df.select(by, F.floor(value / step).alias("bin"), first.alias("f")).where(F.col("bin").isNotNull() & F.col("f").isNotNull())
-    c = b.groupBy(by, "bin").agg(F.count_if("f").alias("a"), F.count_if(~F.col("f")).alias("b"))
-    upto = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(by)
-    c = c.select(by, F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
-    return c.groupBy(by).agg(F.max("na").alias("n_first"), F.max("nb").alias("n_second"), F.max(F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))).alias("ks"))
+    x = df.select(by, value.alias("v"), first.cast("double").alias("a"), (~first).cast("double").alias("b")).where(F.col("a").isNotNull())
+    d = ranked(x, [by], "v", ("a", "b"))
+    n = d.groupBy(F.col(by).alias("__by")).agg(F.sum("a").cast("long").alias("n_first"), F.sum("b").cast("long").alias("n_second"))
+    j = d.join(n, F.col(by).eqNullSafe(F.col("__by")))
+    return j.groupBy(by, "n_first", "n_second").agg(F.max(F.abs(F.try_divide("upto_a", "n_first") - F.try_divide("upto_b", "n_second"))).alias("ks"))
 
 
 def blocked_split(cases: DataFrame, boundary: str, buffer_days: int) -> DataFrame:

@@ -11,24 +11,60 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import apply_groups, kernel_partitions, map_arrow
-
-# Defaults that change results.
-KNEE = {"bic_delta_min": 10.0, "knee_strength_min": 0.5, "knee_p_min": 0.35, "bootstrap_n": 200, "bootstrap_cov_max": 0.25, "edge_buffer_frac": 0.15, "min_side": 3, "min_frac": 0.2, "slope_abs_max": 6.0, "rho": 1.5}
+from .resampling import per_series
+from ..session import kernel_partitions, map_arrow
+
+# Defaults that change results.
+KNEE = {
+    "method": "segmented",
+    "max_candidates": 6,
+    "bic_delta_min": 10.0,
+    "knee_strength_min": 0.5,
+    "knee_p_min": 0.35,
+    "bootstrap_n": 200,
+    "bootstrap_cov_max": 0.25,
+    "edge_buffer_frac": 0.15,
+    "min_side": 3,
+    "min_frac": 0.2,
+    "slope_abs_max": 6.0,
+    "post_slope_max": 6.0,
+    "resid_improvement_min": 0.0,
+    "curvature_peak_ratio_min": 0.0,
+    "curvature_alignment_min": 0.0,
+    "instability_window": 7,
+    "instability_zscore": 2.0,
+    "middle_max": 0.6,
+    "rho": 1.5,
+}
+METHODS = ("segmented", "log_curvature", "cpt")
+_KNEE_SCHEMA = (
+    "has_knee boolean, L_k double, knee_p double, knee_lo double, knee_hi double, delta_bic double, strength double, delta_gamma double, confidence double, reasons string, "
+    "slope_left double, slope_right double, resid_improvement double, curvature_peak_ratio double, curvature_alignment double, middle_score double, "
+    "cov double, n_samples int, post_slope_std double, band_lo double, band_hi double, band_found boolean"
+)
+_KNEE_FIELDS = [f.split()[0] for f in _KNEE_SCHEMA.split(", ")]
 HUBER_DELTA = 1.5
 TINY = 1e-12
 
 
+def _nan_median(v: np.ndarray) -> np.ndarray:
+    """Median along the last axis without NaN, which sort last."""
+    s = np.sort(v, axis=-1)
+    n = np.maximum((~np.isnan(v)).sum(axis=-1, keepdims=True), 1)
+    return (np.take_along_axis(s, (n - 1) // 2, -1) + np.take_along_axis(s, n // 2, -1)) / 2
+
+
 def _robust_z(v: np.ndarray) -> np.ndarray:
-    """Along the last axis: by median and MAD, else mean and deviation, else 0."""
-    med = np.median(v, axis=-1, keepdims=True)
-    mad = 1.4826 * np.median(np.abs(v - med), axis=-1, keepdims=True)
-    sd, mean = v.std(axis=-1, keepdims=True), v.mean(axis=-1, keepdims=True)
+    """Along the last axis, NaN left out: by median and MAD, else mean and deviation, else 0."""
+    med = _nan_median(v)
+    mad = 1.4826 * _nan_median(np.abs(v - med))
+    n = np.maximum((~np.isnan(v)).sum(axis=-1, keepdims=True), 1)
+    mean = np.nansum(v, axis=-1, keepdims=True) / n
+    sd = np.sqrt(np.nansum((v - mean) ** 2, axis=-1, keepdims=True) / n)
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(mad > TINY, (v - med) / mad, np.where(sd > TINY, (v - mean) / sd, 0.0))
 
@@ -47,8 +83,53 @@ def _bic(rss: np.ndarray, n: int, k: int) -> np.ndarray:
     return n * np.log(np.maximum(rss, TINY) / n) + k * math.log(max(n, 2))
 
 
+def _gradient(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Derivative along rows: second order inside on uneven steps, first order at the ends."""
+    h = np.diff(x, axis=-1)
+    slope = np.diff(y, axis=-1) / h
+    out = np.empty_like(y)
+    out[..., 0], out[..., -1] = slope[..., 0], slope[..., -1]
+    a, b = h[..., :-1], h[..., 1:]
+    out[..., 1:-1] = (slope[..., :-1] * b + slope[..., 1:] * a) / (a + b)
+    return out
+
+
+def curvature(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """|y''| / (1 + y'^2)^1.5 of each row, over its places where x repeats; NaN where that isn't finite."""
+    place = np.broadcast_to(np.arange(x.shape[-1], dtype=float), x.shape)
+    grid = np.where((np.diff(x, axis=-1) == 0).any(axis=-1, keepdims=True), place, x)
+    y1 = _gradient(y, grid)
+    c = np.abs(_gradient(y1, grid)) / (1.0 + y1 * y1) ** 1.5
+    return np.where(np.isfinite(c), c, np.nan)
+
+
+def _largest_shift(y: np.ndarray) -> np.ndarray:
+    """Place of each row's largest difference between the means before it and from it on."""
+    n = y.shape[-1]
+    k = np.arange(1, n - 1)
+    upto = np.cumsum(y, axis=-1)[..., :-2]
+    gap = np.abs((y.sum(-1, keepdims=True) - upto) / (n - k) - upto / k) / (y.std(-1, keepdims=True) + TINY)
+    return gap.argmax(-1) + 1
+
+
+def proposed(rss: np.ndarray, curv: np.ndarray, y: np.ndarray, ks: np.ndarray, method: str, most: int) -> np.ndarray:
+    """Which breaks ks of each row are looked at: those the method proposes, the most curved and the largest shift.
+
+    ``segmented`` proposes the ``most`` best joined lines, ``log_curvature`` and ``cpt`` one place each.
+    """
+    n = y.shape[-1]
+    empty = np.isnan(curv).all(axis=-1)
+    bent = np.where(empty, max(1, min(n - 2, n // 2)), np.where(np.isnan(curv), -np.inf, curv).argmax(-1))
+    out = (ks == bent[:, None]) | (ks == _largest_shift(y)[:, None])
+    if method == "segmented":
+        out |= np.argsort(np.argsort(rss, axis=-1, kind="stable"), axis=-1, kind="stable") < most
+    elif method not in METHODS:
+        raise ValueError(f"method is one of {', '.join(METHODS)}, not {method}")
+    return out
+
+
 def _candidates(x: np.ndarray, y: np.ndarray, L: np.ndarray, ks: np.ndarray, o: dict) -> dict[str, np.ndarray]:
-    """Joined-line fits at every break ks for each row of resamples x, y, L (rows sorted by L)."""
+    """Joined-line fits at the proposed breaks of each row of resamples x, y, L (rows sorted by L); others are not ``on``."""
     n = x.shape[-1]
     xc, yc = x - x.mean(-1, keepdims=True), y - y.mean(-1, keepdims=True)
     sxx = (xc * xc).sum(-1)
@@ -73,66 +154,142 @@ def _candidates(x: np.ndarray, y: np.ndarray, L: np.ndarray, ks: np.ndarray, o:
     d = xc[:, None, :] - xk[:, :, None]
     r = yc[:, None, :] - d * np.where(d < 0, left[..., None], right[..., None])
     r -= r.mean(-1, keepdims=True)
-    bic1 = _bic(np.einsum("rkn,rkn->rk", r, r), n, 3)
+    rss = np.einsum("rkn,rkn->rk", r, r)
+    bic1 = _bic(rss, n, 3)
     gain, bend, calm = bic0[:, None] - bic1, np.abs(right - left), np.abs(ac0)[:, None] - np.abs(_lag1(r))
+    curv = curvature(x, y)
+    on = proposed(rss, curv, y, ks, o["method"], o["max_candidates"])
+    curv = np.nan_to_num(curv)
+    peak = curv.max(-1)
+    ratio = peak / (curv.mean(-1) + TINY)
+    align = np.where(peak[:, None] > TINY, curv[:, ks] / np.maximum(peak, TINY)[:, None], 0.0)
     lk = L[:, ks]
     lo, hi = L[:, :1], L[:, -1:]
     edge = np.minimum(lk - lo, hi - lk) / np.maximum(hi - lo, TINY)
-    sane = (np.abs(left) <= o["slope_abs_max"]) & (np.abs(right) <= o["slope_abs_max"]) & (edge >= o["edge_buffer_frac"])
-    return {"gain": gain, "bend": bend, "strength": _robust_z(gain) + _robust_z(bend) + _robust_z(calm), "left": left, "right": right, "L": lk, "sane": sane}
+    gates = {
+        "slope_unphysical": (np.abs(left) <= o["slope_abs_max"]) & (np.abs(right) <= o["slope_abs_max"]),
+        "post_slope_too_flat": right <= o["post_slope_max"],
+        "resid_improvement_weak": calm >= o["resid_improvement_min"],
+        "curvature_peak_weak": np.broadcast_to((ratio >= o["curvature_peak_ratio_min"])[:, None], lk.shape),
+        "curvature_alignment_weak": align >= o["curvature_alignment_min"],
+        "knee_at_edge": edge >= o["edge_buffer_frac"],
+    }
+    strength = sum(_robust_z(np.where(on, v, np.nan)) for v in (gain, bend, calm))
+    sane = on & np.logical_and.reduce(list(gates.values()))
+    return {"on": on, "gain": gain, "bend": bend, "calm": calm, "strength": strength, "left": left, "right": right, "L": lk, "sane": sane, "gates": gates, "ratio": np.broadcast_to(ratio[:, None], lk.shape), "align": align, "bic1": bic1}
 
 
 def _choose(c: dict[str, np.ndarray], gain: float, strength: float) -> tuple[np.ndarray, np.ndarray]:
     """Index of the strongest sane candidate over both minimums per row, and whether there is one."""
-    ok = c["sane"] & (c["gain"] >= gain) & (c["strength"] >= strength)
+    with np.errstate(invalid="ignore"):
+        ok = c["sane"] & (c["gain"] >= gain) & (c["strength"] >= strength)
     s = np.where(ok, c["strength"], -np.inf)
     return s.argmax(-1), ok.any(-1)
 
 
+def _theil_sen(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Median of the slopes of all pairs with different x, and the intercept through the medians; 0 without such a pair."""
+    i, j = np.triu_indices(len(x), 1)
+    dx = x[j] - x[i]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = (y[j] - y[i])[dx != 0] / dx[dx != 0]
+    m = float(np.median(s)) if len(s) else 0.0
+    return m, float(np.median(y) - m * np.median(x))
+
+
+def unstable_band(L: np.ndarray, x: np.ndarray, y: np.ndarray, window: int = 7, zscore: float = 2.0) -> tuple[float, float] | None:
+    """The longest run of at least two sizes where both the variance of nearby local slopes and the local residuals stand out.
+
+    Local lines are medians of pairwise slopes over ``window`` sizes; outstanding is ``zscore`` robust deviations over the median.
+    """
+    n = len(L)
+    w = max(5, window)
+    w = min(w + (w % 2 == 0), n if n % 2 else n - 1)
+    if n < 6 or w < 5:
+        return None
+    spans = [(max(0, i - w // 2), min(n, i + w // 2 + 1)) for i in range(n)]
+    slope, rough = np.full(n, np.nan), np.full(n, np.nan)
+    for i, (a, b) in enumerate(spans):
+        if b - a >= 4:
+            m, c = _theil_sen(x[a:b], y[a:b])
+            slope[i], rough[i] = m, math.sqrt(np.mean((y[a:b] - m * x[a:b] - c) ** 2))
+    spread = np.full(n, np.nan)
+    for i, (a, b) in enumerate(spans):
+        v = slope[a:b][~np.isnan(slope[a:b])]
+        if len(v) >= 2:
+            spread[i] = v.var()
+
+    def out(v: np.ndarray) -> np.ndarray:
+        med = np.nanmedian(v)
+        return v > med + zscore * max(1.4826 * np.nanmedian(np.abs(v - med)), TINY)
+
+    with np.errstate(invalid="ignore"):
+        mask = np.concatenate(([False], out(spread) & out(rough), [False]))
+    edge = np.flatnonzero(mask[1:] != mask[:-1])
+    runs = list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
+    a, b = max(runs, key=lambda r: r[1] - r[0], default=(0, 0))
+    return (float(L[a]), float(L[b])) if b > a else None
+
+
 def knee(L: np.ndarray, eta: np.ndarray, seed: int, options: dict | None = None) -> dict:
-    """Knee of one curve: posterior probability, interval, gates with reasons, confidence.
+    """Knee of one curve: posterior probability, interval, gates with reasons, confidence, unstable band.
 
-    All admissible breaks are candidates. Too few sizes for a break on either side give ``too_few_sizes``.
+    Too few sizes for a break on either side give ``too_few_sizes``; where no candidate passes all gates, the reason is
+    ``no_candidate``.
     """
     o = KNEE | (options or {})
     order = np.argsort(L, kind="stable")
     L, eta = np.asarray(L, float)[order], np.asarray(eta, float)[order]
     n = len(L)
     least = max(o["min_side"], math.ceil(o["min_frac"] * n))
-    ks = np.arange(least - 1, n - least)
-    none = {"has_knee": False, "L_k": None, "knee_p": 0.0, "knee_lo": None, "knee_hi": None, "delta_bic": 0.0, "strength": 0.0, "delta_gamma": None, "confidence": 0.0, "reasons": "too_few_sizes"}
-    if n < 4 or not len(ks):
-        return none
+    ks = np.arange(max(least - 1, 1), min(n - least, n - 1))
+    out = {c: None for c in _KNEE_FIELDS} | {"has_knee": False, "knee_p": 0.0, "delta_bic": 0.0, "strength": 0.0, "confidence": 0.0, "reasons": "too_few_sizes", "n_samples": 0, "band_found": False}
+    if n < 4:
+        return out
     x, y = np.log(np.maximum(L, TINY)), np.log(np.maximum(np.abs(eta), TINY))
+    band = unstable_band(L, x, y, o["instability_window"], o["instability_zscore"])
+    if band:
+        out |= {"band_lo": band[0], "band_hi": band[1], "band_found": True}
+    if not len(ks):
+        return out
     c = _candidates(x[None], y[None], L[None], ks, o)
     k, found = _choose(c, o["bic_delta_min"], o["knee_strength_min"])
     rng = np.random.default_rng(seed)
     idx = np.sort(rng.integers(0, n, (o["bootstrap_n"], n)), axis=1)
     idx = idx[(np.diff(idx, axis=1) != 0).sum(axis=1) + 1 >= max(4, o["min_side"] + 1)]
-    b = _candidates(x[idx], y[idx], L[idx], ks, o)
-    bk, hit = _choose(b, max(0.0, 0.5 * o["bic_delta_min"]), max(-0.5, 0.5 * o["knee_strength_min"]))
-    samples = b["L"][np.arange(len(idx)), bk][hit]
-    p = float(len(samples) / len(idx)) if len(idx) else 0.0
+    samples = after = np.zeros(0)
+    valid = 0
+    if len(idx):
+        b = _candidates(x[idx], y[idx], L[idx], ks, o)
+        bk, hit = _choose(b, max(0.0, 0.5 * o["bic_delta_min"]), max(-0.5, 0.5 * o["knee_strength_min"]))
+        valid = int(b["on"].any(-1).sum())
+        samples, after = (b[f][np.arange(len(idx)), bk][hit] for f in ("L", "right"))
+    p = float(len(samples) / valid) if valid else 0.0
     lo, hi = (float(np.quantile(samples, q)) for q in (0.1, 0.9)) if len(samples) else (None, None)
+    cov = float(samples.std() / abs(np.median(samples))) if len(samples) >= 2 and abs(np.median(samples)) > TINY else None
+    out |= {"knee_p": p, "knee_lo": lo, "knee_hi": hi, "cov": cov, "n_samples": len(samples), "post_slope_std": float(after.std()) if len(after) >= 2 else None, "reasons": "no_candidate"}
     if not found[0]:
-        return none | {"knee_p": p, "knee_lo": lo, "knee_hi": hi, "reasons": "no_candidate"}
+        return out
     at = int(k[0])
     gain, strength, bend = (float(c[f][0, at]) for f in ("gain", "strength", "bend"))
     med = float(np.median(samples)) if len(samples) else float(c["L"][0, at])
-    cov = float(samples.std() / abs(med)) if len(samples) >= 2 and abs(med) > TINY else None
-    width = 1.0 if lo is None else min(1.0, (hi - lo) / max(L[-1] - L[0], TINY))
-    middle = 0.40 * (1 - abs(2 * p - 1)) + 0.30 * width + 0.20 / (1 + math.exp(max(strength, -6.0))) + 0.10 * min(1.0, bend / 0.35)
+    width = 0.0 if lo is None else min(1.0, (hi - lo) / max(L[-1] - L[0], TINY))
+    middle = min(1.0, 0.40 * (1 - abs(2 * p - 1)) + 0.30 * width + 0.20 / (1 + math.exp(max(strength, -6.0))) + 0.10 * min(1.0, bend / 0.35))
     why = []
     if p < o["knee_p_min"]:
         why.append("knee_p_low")
     if cov is not None and cov > o["bootstrap_cov_max"] and p < 0.8:
         why.append("bootstrap_unstable")
-    if middle >= 0.6:
+    if middle >= o["middle_max"]:
         why.append("forbidden_middle")
     score = 0.40 * p + 0.25 * min(1.0, max(0.0, (gain - o["bic_delta_min"]) / max(5.0, o["bic_delta_min"]))) + 0.25 / (1 + math.exp(-(strength - o["knee_strength_min"])))
     score += 0.10 * (1.0 if cov is None else min(1.0, max(0.0, 1 - cov / o["bootstrap_cov_max"])))
     ok = not why
-    return {"has_knee": ok, "L_k": med if ok else None, "knee_p": p, "knee_lo": lo, "knee_hi": hi, "delta_bic": gain, "strength": strength, "delta_gamma": bend, "confidence": min(1.0, score) if ok else 0.0, "reasons": ";".join(why)}
+    if not band:
+        out |= {"band_lo": med / o["rho"], "band_hi": med * o["rho"]}
+    more = {"slope_left": "left", "slope_right": "right", "resid_improvement": "calm", "curvature_peak_ratio": "ratio", "curvature_alignment": "align"}
+    out |= {name: float(c[f][0, at]) for name, f in more.items()}
+    return out | {"has_knee": ok, "L_k": med if ok else None, "delta_bic": gain, "strength": strength, "delta_gamma": bend, "confidence": min(1.0, score) if ok else 0.0, "reasons": ";".join(why), "middle_score": middle}
 
 
 def huber_line(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, delta: float = HUBER_DELTA, rounds: int = 32, tol: float = 1e-7) -> tuple[float, float]:
@@ -159,26 +316,20 @@ def huber_line(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, delta:
     return now
 
 
-_KNEE_SCHEMA = "has_knee boolean, L_k double, knee_p double, knee_lo double, knee_hi double, delta_bic double, strength double, delta_gamma double, confidence double, reasons string, gamma double, intercept double, n_fit int"
-
-
 def _seed(key) -> int:
     return zlib.crc32(str(key).encode())
 
 
 def diagnose(points: DataFrame, series: str, options: dict | None = None, least: int = 4) -> DataFrame:
-    """Knee and robust scaling of every series of log points (columns L, y).
+    """Knee and robust scaling of every series of log points (columns L, y), many series a task.
 
-    The scaling line leaves out the sizes within the knee's interval widened to L_k / rho..L_k rho, unless fewer than
-    ``least`` sizes would stay; gamma is null for series of fewer than ``least`` sizes.
+    The scaling line leaves out the sizes within L_k / rho..L_k rho, unless fewer than ``least`` sizes would stay; gamma
+    is null for series of fewer than ``least`` sizes.
     """
     o = KNEE | (options or {})
-    kind = points.schema[series].dataType.simpleString()
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("L")
-        L, y = pdf["L"].to_numpy(float), pdf["y"].to_numpy(float)
-        k = knee(L, np.exp(y), _seed(key[0]), o)
+    def one(key, L: np.ndarray, y: np.ndarray) -> dict:
+        k = knee(L, np.exp(y), _seed(key), o)
         keep = np.ones(len(L), bool)
         if k["L_k"] is not None:
             keep = (L < k["L_k"] / o["rho"]) | (L > k["L_k"] * o["rho"])
@@ -187,24 +338,68 @@ def diagnose(points: DataFrame, series: str, options: dict | None = None, least:
         gamma = icept = None
         if keep.sum() >= least:
             gamma, icept = huber_line(np.log(L[keep]), y[keep])
-        return pd.DataFrame([{series: key[0], **k, "gamma": gamma, "intercept": icept, "n_fit": int(keep.sum())}])
+        return {c: [v] for c, v in (k | {"gamma": gamma, "intercept": icept, "n_fit": int(keep.sum())}).items()}
+
+    return per_series(points, series, _KNEE_SCHEMA + ", gamma double, intercept double, n_fit int", one, ("L", "y"))
+
+
+def slope_samples(x: np.ndarray, y: np.ndarray, idx: np.ndarray) -> np.ndarray:
+    """Theil-Sen slope of each resample (rows of idx); NaN where x doesn't vary."""
+    i, j = np.triu_indices(x.shape[-1], 1)
+    out = np.empty(len(idx))
+    for s in range(0, len(idx), 256):
+        xb, yb = x[idx[s : s + 256]], y[idx[s : s + 256]]
+        dx = xb[:, j] - xb[:, i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = np.where(dx != 0, (yb[:, j] - yb[:, i]) / dx, np.nan)
+        out[s : s + 256] = _nan_median(g)[:, 0]
+    return out
 
-    return apply_groups(points.select(series, "L", "y"), [series], one, f"`{series}` {kind}, {_KNEE_SCHEMA}")
+
+def scalings(points: DataFrame, series: str, method: str = "wls", robust: bool = True, least: int = 4, n: int = 2000, alpha: float = 0.05) -> DataFrame:
+    """Scaling exponent of every series of log points (columns L, y, weight, band_lo, band_hi) with its interval.
+
+    Sizes within the band (null: none) are left out; series with fewer than ``least`` others give no row. ``wls`` weighs
+    the points and, where ``robust``, large residuals less; ``theil_sen`` is the median of pairwise slopes. The interval
+    is of ``n`` resamples: of Theil-Sen slopes, or of plain least squares for ``wls`` without ``robust``. ``drift`` is the
+    difference of the mean residuals of both halves, below four points their mean size.
+    """
+    if method not in ("wls", "theil_sen"):
+        raise ValueError(f"method is wls or theil_sen, not {method}")
+
+    def one(key, L, y, w, lo, hi) -> dict:
+        keep = ~((L >= lo) & (L <= hi))
+        L, y, w = L[keep], y[keep], w[keep]
+        if len(L) < max(least, 3):
+            return {c: [] for c in ("gamma", "Delta_hat", "ci_lo", "ci_hi", "drift", "n_points")}
+        x = np.log(L)
+        m, c = _theil_sen(x, y) if method == "theil_sen" else huber_line(x, y, w, rounds=32 if robust else 0)
+        idx = np.random.default_rng(_seed(f"scaling:{key}")).integers(0, len(x), (n, len(x)))
+        if method == "wls" and not robust:
+            xc = x[idx] - x[idx].mean(axis=1, keepdims=True)
+            sxx = (xc * xc).sum(axis=1)
+            g = np.where(sxx > TINY, (xc * y[idx]).sum(axis=1) / np.maximum(sxx, TINY), np.nan)
+        else:
+            g = slope_samples(x, y, idx)
+        a, b = np.nanquantile(g, [alpha / 2, 1 - alpha / 2])
+        r = y - m * x - c
+        half = len(r) // 2
+        drift = abs(r[:half].mean() - r[half:].mean()) if len(r) >= 4 else np.abs(r).mean()
+        return {"gamma": [float(m)], "Delta_hat": [float(2 - m)], "ci_lo": [float(a)], "ci_hi": [float(b)], "drift": [float(drift)], "n_points": [len(x)]}
+
+    return per_series(points, series, "gamma double, Delta_hat double, ci_lo double, ci_hi double, drift double, n_points int", one, ("L", "y", "weight", "band_lo", "band_hi"))
 
 
 def phase_scrambled(points: DataFrame, series: str) -> DataFrame:
     """y of each series with random phases and the same amplitude spectrum; the mean and the last frequency's phase stay."""
-    kind = points.schema[series].dataType.simpleString()
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        f = np.fft.rfft(pdf["y"].to_numpy(float))
-        phase = np.random.default_rng(_seed(key[0])).uniform(-np.pi, np.pi, len(f))
+    def one(key, i: np.ndarray, y: np.ndarray) -> dict:
+        f = np.fft.rfft(y)
+        phase = np.random.default_rng(_seed(key)).uniform(-np.pi, np.pi, len(f))
         phase[[0, -1]] = np.angle(f)[[0, -1]]
-        pdf["y_scrambled"] = np.fft.irfft(np.abs(f) * np.exp(1j * phase), n=len(pdf))
-        return pdf[[series, "i", "y", "y_scrambled"]]
+        return {"i": i.astype(np.int64).tolist(), "y": y.tolist(), "y_scrambled": np.fft.irfft(np.abs(f) * np.exp(1j * phase), n=len(y)).tolist()}
 
-    return apply_groups(points.select(series, "i", "y"), [series], one, f"`{series}` {kind}, i long, y double, y_scrambled double")
+    return per_series(points, series, "i long, y double, y_scrambled double", one, ("i", "y"))
 
 
 SEGMENT = 64

@@ -73,3 +73,19 @@ def exact_medians(df: DataFrame, keys: list[str], value: str, name: str) -> Data
         ((F.max(F.when((F.col("below") <= lo) & (last > lo), F.col(value))) + F.max(F.when((F.col("below") <= hi) & (last > hi), F.col(value)))) / 2).alias(name), F.max("n").alias("n")
     )
     return g
+
+
+def hash_ranks(df: DataFrame, keys: list[str], text: Column, tie: str, out: str, coarse: tuple[str, ...] = ()) -> DataFrame:
+    """Adds each row's rank (from 1) in its group by ``coarse`` columns, then by the md5 of ``text``, ties by ``tie``.
+
+    A row is ranked among those whose md5 begins alike; totals of earlier beginnings go on top, so a group of any size is
+    spread. ``df`` is read twice: give a written table where it is costly.
+    """
+    x = df.withColumn("__h", F.md5(text)).withColumn("__b", F.substring("__h", 1, 1 if coarse else 3))
+    cut = [*keys, *coarse, "__b"]
+    n = x.groupBy(*[F.col(k).alias(f"__o_{k}") for k in cut]).agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(*[f"__o_{k}" for k in keys]) if keys else Window.partitionBy(F.lit(0))
+    before = before.orderBy(*[f"__o_{k}" for k in (*coarse, "__b")]).rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("__off", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    own = Window.partitionBy(*cut).orderBy("__h", tie)
+    return x.withColumn("__rn", F.row_number().over(own)).join(n, _on(cut)).select(*df.columns, (F.col("__rn") + F.col("__off")).alias(out))

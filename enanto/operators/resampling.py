@@ -1,8 +1,7 @@
 """Resampling nulls and bootstrap, keyed by hashes so that results don't depend on partitioning.
 
-Draws come from md5 of seed, replicate and row key. Where a null shuffles values within a group, rows are first dealt by
-hash into blocks of bounded size and shuffled within those: still a permutation of the group, and no group is ever sorted
-in one task.
+Draws come from md5 of seed, replicate and row key. Where a null shuffles values within a group, rows are ranked by two
+hashes of their keys and matched rank to rank: a permutation of the whole group, and no group is ever sorted in one task.
 """
 
 from __future__ import annotations
@@ -16,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import hash_ranks
 from .pairing import contrast
 from ..functions.aggregates import median
 from ..functions.scalars import LOG_FLOOR
-from ..session import apply_groups, kernel_partitions, map_arrow
+from ..session import apply_groups, kernel_partitions, map_arrow, written
 
 SEED = 42
-BLOCK = 4096  # rows that are shuffled together at most, on average
 #: The same in the kernels at the reference's counts: groups up to this size are permuted as a whole.
 KERNEL_BLOCK = 1_000_000
 # The reference's counts and limits.
@@ -70,24 +69,23 @@ def direction_null(pairs: DataFrame, by: list[str], n: int = 50) -> DataFrame:
     return m.groupBy(*by).agg(F.max("obs").alias("obs_dir"), ((F.count_if(F.round("m", 9) >= F.round("obs", 9)) + 1) / F.lit(n + 1)).alias("p_dir"))
 
 
-def shuffled(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
-    """``value`` permuted within each group of ``by`` (which names the replicate too).
+def shuffled(df: DataFrame, by: list[str], value: str, key: str, bounded: bool = False) -> DataFrame:
+    """``value`` permuted within each group of ``by`` (which names the replicate too), uniformly whatever the group's size.
 
-    A group is dealt by hash into blocks of about ``BLOCK`` rows, one block where it is smaller; a block's rows in the
-    order of their keys take the values of its rows in hash order.
+    The rows ranked by one hash of their keys take the values of the rows ranked by another. ``bounded`` groups are known
+    to be small (a curve) and ranked in a window each; others are ranked in parts (:func:`.ordered.hash_ranks`).
     """
-    sizes = df.groupBy(*[F.col(c).alias(f"__n_{c}") for c in by]).agg(F.ceil(F.count("*") / BLOCK).alias("__blocks"))
-    on = F.lit(True)
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"__n_{c}"))
     label = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by if c == "rep"]
-    x = df.join(sizes, on).withColumn("__b", draw(F.lit("block"), *label, F.col(key)) % F.col("__blocks"))
-    w = Window.partitionBy(*by, "__b")
-    x = x.withColumn("__to", F.row_number().over(w.orderBy(key))).withColumn("__from", F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(SEED)), *label, F.col(key))))))
-    names = [*by, "__b"]
-    source = x.select(*[F.col(c).alias(f"__s_{c}") for c in names], F.col("__from").alias("__i"), F.col(value).alias("__v"))
+    to, source = F.concat_ws(":", F.lit(str(SEED)), F.lit("to"), F.col(key)), F.concat_ws(":", F.lit(str(SEED)), *label, F.col(key))
+    if bounded:
+        w = Window.partitionBy(*by)
+        x = df.withColumn("__to", F.row_number().over(w.orderBy(F.md5(to), key))).withColumn("__from", F.row_number().over(w.orderBy(F.md5(source), key)))
+    else:
+        x = hash_ranks(hash_ranks(written(df, "shuffled"), by, to, key, "__to"), by, source, key, "__from")
+        x = written(x, "ranked")
+    source = x.select(*[F.col(c).alias(f"__s_{c}") for c in by], F.col("__from").alias("__i"), F.col(value).alias("__v"))
     on = F.col("__to") == F.col("__i")
-    for c in names:
+    for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
     return x.join(source, on).withColumn(value, F.col("__v")).select(*df.columns)
 
@@ -218,22 +216,28 @@ def parity_significance(pairs: DataFrame, by: str, n: int = N_PERM, alpha: float
     return g.select(by, "n_pairs", "mirror_stat", "obs_dir", "p_perm", "p_dir", mirror.alias("mirror_pass"), direction.alias("direction_pass"), (mirror | direction).alias("signal_pass"))
 
 
-def _per_series(points: DataFrame, series: str, fields: str, one) -> DataFrame:
-    """Rows (dicts of arrays) that ``one(key, x, y)`` makes of each series' points in their order; many series a task."""
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def per_series(points: DataFrame, series: str, fields: str, one, columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """Rows (a dict of lists) that ``one(key, *columns)`` makes of each series' points in their order; many series a task.
+
+    Points are ordered by the column ``i``, or by the columns themselves where there is none; null becomes NaN.
+    """
     kind = points.schema[series].dataType.simpleString()
-    curves = points.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("p"))  # one curve
-    names = [f.split()[0] for f in fields.split(", ")]
+    order = ["i"] if "i" in points.columns and "i" not in columns else []
+    curves = points.groupBy(series).agg(F.sort_array(F.collect_list(F.struct(*order, *columns))).alias("p"))  # one curve
+    names, kinds = zip(*(f.split() for f in fields.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = {c: [] for c in (series, *names)}
             for key, p in zip(b[series].to_pylist(), b["p"].to_pylist()):
-                got = one(key, np.array([e["x"] for e in p], float), np.array([e["y"] for e in p], float))
-                rows = len(got[names[0]])
-                kept[series] += [key] * rows
+                got = one(key, *(np.array([e[c] for e in p], float) for c in columns))
+                kept[series] += [key] * len(got[names[0]])
                 for c in names:
                     kept[c] += list(got[c])
-            types = [b.schema.field(series).type, *[pa.int32() if f.endswith(" int") else pa.int64() if f.endswith(" long") else pa.float64() for f in fields.split(", ")]]
+            types = [b.schema.field(series).type, *[_ARROW[k] for k in kinds]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(kept.values(), types)], names=[series, *names])
 
     return map_arrow(curves.repartition(kernel_partitions(points.sparkSession), series), run, f"`{series}` {kind}, {fields}")
@@ -261,7 +265,7 @@ def slope_intervals(points: DataFrame, series: str, n: int = N_SLOPES, alpha: fl
         lo, hi = np.quantile(g, [alpha / 2, 1 - alpha / 2])
         return {"n_reps": [len(g)], "lo": [float(lo)], "hi": [float(hi)]}
 
-    return _per_series(points, series, "n_reps long, lo double, hi double", one)
+    return per_series(points, series, "n_reps long, lo double, hi double", one)
 
 
 def gamma_significance(points: DataFrame, series: str, n: int = N_NULL) -> DataFrame:
@@ -276,7 +280,7 @@ def gamma_significance(points: DataFrame, series: str, n: int = N_NULL) -> DataF
         reach = int((np.abs(np.round(g, 9)) >= np.abs(np.round(gamma, 9))).sum())
         return {"gamma": [float(gamma)], "null_mean": [float(g.mean())], "p_value": [(reach + 1) / (n + 1)]}
 
-    return _per_series(points, series, "gamma double, null_mean double, p_value double", one)
+    return per_series(points, series, "gamma double, null_mean double, p_value double", one)
 
 
 def block_means(points: DataFrame, series: str, n: int = N_NULL) -> DataFrame:
@@ -289,4 +293,4 @@ def block_means(points: DataFrame, series: str, n: int = N_NULL) -> DataFrame:
         j = np.minimum(start[:, i // size] + i % size, len(y) - 1)
         return {"rep": range(n), "mean_y": y[j].mean(axis=1).tolist(), "n": [len(y)] * n}
 
-    return _per_series(points, series, "rep int, mean_y double, n long", one)
+    return per_series(points, series, "rep int, mean_y double, n long", one)

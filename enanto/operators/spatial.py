@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import hash_ranks
 from ..functions.aggregates import median
 from ..functions.scalars import floor_to, round_half_even
 from ..session import written
@@ -35,20 +36,24 @@ def storm_centres(cases: DataFrame) -> DataFrame:
     return j.where(F.col("case_type") == label).select("case_id", "domain", label.alias("event_label"), "lat0", "lon0", "onset_time", floor_to(F.abs("lat0"), 5.0).alias("lat_band"))
 
 
-def tiles(events: DataFrame, grid: DataFrame, halves: tuple[float, ...] = (5.0, 15.0, 45.0), hours: int = 240) -> DataFrame:
-    """Per event, half-width and time: mean and largest speed and mean components of the grid rows in the box.
-
-    The window is ``hours`` either side of the onset, ends included. Events and rows meet on (day, latitude band): an
-    event is laid out over the days and bands its widest box touches, a grid row is in one of each.
-    """
-    widest = max(halves)
+def _near(events: DataFrame, grid: DataFrame, widest: float, hours: int) -> DataFrame:
+    """Grid rows with the events in whose box and window they lie."""
     days = F.sequence(F.to_date(F.col("onset_time") - F.expr(f"interval {hours} hours")), F.to_date(F.col("onset_time") + F.expr(f"interval {hours} hours")))
     bands = F.sequence(F.floor((F.col("lat0") - widest) / widest), F.floor((F.col("lat0") + widest) / widest))
     e = events.select("case_id", "lat0", "lon0", "onset_time", F.explode(days).alias("__day"), bands.alias("__bands")).withColumn("__band", F.explode("__bands"))
     g = grid.withColumn("__gday", F.to_date("time")).withColumn("__gband", F.floor(F.col("lat") / widest))
     near = (F.abs(F.col("lat") - F.col("lat0")) <= widest) & (F.abs(F.col("lon") - F.col("lon0")) <= widest)
     when = F.col("time").between(F.col("onset_time") - F.expr(f"interval {hours} hours"), F.col("onset_time") + F.expr(f"interval {hours} hours"))
-    j = g.join(e, (F.col("__gday") == F.col("__day")) & (F.col("__gband") == F.col("__band")) & near & when)
+    return g.join(e, (F.col("__gday") == F.col("__day")) & (F.col("__gband") == F.col("__band")) & near & when)
+
+
+def tiles(events: DataFrame, grid: DataFrame, halves: tuple[float, ...] = (5.0, 15.0, 45.0), hours: int = 240) -> DataFrame:
+    """Per event, half-width and time: mean and largest speed and mean components of the grid rows in the box.
+
+    The window is ``hours`` either side of the onset, ends included. Events and rows meet on (day, latitude band): an
+    event is laid out over the days and bands its widest box touches, a grid row is in one of each.
+    """
+    j = _near(events, grid, max(halves), hours)
     x = j.select("case_id", "time", "lat", "lon", "lat0", "lon0", "u10", "v10", F.explode(F.array(*[F.lit(h) for h in halves])).alias("half"))
     x = x.where((F.abs(F.col("lat") - F.col("lat0")) <= F.col("half")) & (F.abs(F.col("lon") - F.col("lon0")) <= F.col("half")))
     speed = F.sqrt(F.col("u10") * F.col("u10") + F.col("v10") * F.col("v10"))
@@ -66,18 +71,43 @@ def tangential(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Co
     return -north / norm, east / norm
 
 
+def tangential_winds(events: DataFrame, grid: DataFrame, half: float = 15.0, hours: int = 240) -> DataFrame:
+    """Per event and time the mean component along the circle around the event, and across it, of the grid rows in its box."""
+    j = _near(events, grid, half, hours)
+    te, tn = tangential(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
+    x = j.select("case_id", "time", "u10", "v10", te.alias("te"), tn.alias("tn"))
+    along, across = F.col("u10") * F.col("te") + F.col("v10") * F.col("tn"), F.col("u10") * F.col("tn") - F.col("v10") * F.col("te")
+    return x.groupBy("case_id", "time").agg(F.avg(along).alias("along"), F.avg(across).alias("across"), F.count("*").alias("n_cells"))
+
+
 def mirrored(grid: DataFrame, lon0: float = 180.0, most: float = 20.0, lat_step: float = 20.0) -> DataFrame:
     """Each grid row with the row nearest to its mirror image in longitude at the same time and latitude bin.
 
     The image lies at 2 lon0 - lon; the nearest row within ``most`` degrees is taken (ties by cell), never the row
     itself. Components are mirrored (u to -u, v to v); rows without a partner have nulls there.
     """
-    target = F.lit(2.0 * lon0) - F.col("lon")
-    a = grid.select("cell", "time", "lat", "lon", "u10", "v10", round_half_even(F.col("lat"), lat_step).alias("lat_bin"), target.alias("target"))
-    a = a.withColumn("__bin", F.explode(F.sequence(F.floor((F.col("target") - most) / most), F.floor((F.col("target") + most) / most))))
-    b = grid.select(F.col("cell").alias("m_cell"), F.col("time").alias("__t"), round_half_even(F.col("lat"), lat_step).alias("__lat"), F.col("lon").alias("m_lon"), F.col("u10").alias("__u"), F.col("v10").alias("__v"), F.floor(F.col("lon") / most).alias("__b"))
-    on = (F.col("time") == F.col("__t")) & (F.col("lat_bin") == F.col("__lat")) & (F.col("__bin") == F.col("__b")) & (F.abs(F.col("m_lon") - F.col("target")) <= most) & (F.col("cell") != F.col("m_cell"))
-    best = a.join(b, on).groupBy("cell", "time").agg(F.min(F.struct(F.abs(F.col("m_lon") - F.col("target")).alias("d"), "m_cell", "m_lon", "__u", "__v")).alias("m"))
+    place = ["time", "lat_bin", "__bin"]
+    x = grid.select("cell", "time", "lon", round_half_even(F.col("lat"), lat_step).alias("lat_bin"), F.floor(F.col("lon") / most).alias("__bin"), (F.lit(2.0 * lon0) - F.col("lon")).alias("target"), "u10", "v10")
+    # Of rows at one longitude the first cell counts, for itself the second.
+    same = Window.partitionBy("time", "lat_bin", "lon").orderBy("cell")
+    e = F.struct("cell", "u10", "v10")
+    g = x.withColumn("k", F.row_number().over(same)).where("k <= 2").groupBy(*place, "lon").agg(F.min(e).alias("a"), F.max(F.when(F.col("k") == 2, e)).alias("b"))
+    o = Window.partitionBy(*place).orderBy("lon")
+    near = F.struct("lon", "a")
+    g = g.select(*place, F.col("lon").alias("pos"), F.struct("lon", "a", "b", F.lag(near).over(o).alias("before"), F.lead(near).over(o).alias("after")).alias("g"))
+    q = x.select("time", "lat_bin", F.explode(F.sequence(F.floor((F.col("target") - most) / most), F.floor((F.col("target") + most) / most))).alias("__bin"), F.col("target").alias("pos"), "cell")
+    o = Window.partitionBy(*place).orderBy("pos")
+    below, above = o.rangeBetween(Window.unboundedPreceding, Window.currentRow), o.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    j = g.unionByName(q, allowMissingColumns=True).select("cell", "time", "pos", F.last("g", True).over(below).alias("lo"), F.first("g", True).over(above).alias("hi")).where("cell is not null")
+
+    def found(side: str, further: str) -> Column:
+        """The nearest row on one side that isn't the cell's own."""
+        s = F.col(side)
+        at = lambda lon, e: F.struct(F.abs(lon - F.col("pos")).alias("d"), e["cell"].alias("m_cell"), lon.alias("m_lon"), e["u10"].alias("__u"), e["v10"].alias("__v"))
+        return F.when(s["a"]["cell"] != F.col("cell"), at(s["lon"], s["a"])).when(s["b"].isNotNull(), at(s["lon"], s["b"])).when(s[further].isNotNull(), at(s[further]["lon"], s[further]["a"]))
+
+    best = j.select("cell", "time", F.explode(F.array_compact(F.array(found("lo", "before"), found("hi", "after")))).alias("m")).where(F.col("m.d") <= most)
+    best = best.groupBy("cell", "time").agg(F.min("m").alias("m"))
     best = best.select(F.col("cell").alias("__c"), F.col("time").alias("__bt"), "m.*")
     j = grid.join(best, (F.col("cell") == F.col("__c")) & (F.col("time") == F.col("__bt")), "left")
     return j.select("cell", "time", "lat", "lon", "u10", "v10", "m_cell", "m_lon", F.col("d").alias("m_dist"), (-F.col("__u")).alias("u10_mirror"), F.col("__v").alias("v10_mirror"))
@@ -161,16 +191,8 @@ _TIERS = (("tier_a_exact", ("domain", "step_s", "lat_bin", "lon_bin")), ("tier_b
 
 
 def _ranked(df: DataFrame, keys: tuple[str, ...], out: str) -> DataFrame:
-    """Rank of each row within its stratum by the md5 of case_id: rank in one of 4096 hash buckets plus the rows of earlier ones."""
-    x = df.withColumn("__h", F.md5("case_id")).withColumn("__b", F.substring("__h", 1, 3))
-    n = x.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__nb")).agg(F.count("*").alias("__c"))
-    before = Window.partitionBy(*[f"__k_{k}" for k in keys]).orderBy("__nb").rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("__off", F.coalesce(F.sum("__c").over(before), F.lit(0)))
-    on = F.col("__b") == F.col("__nb")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    w = Window.partitionBy(*keys, "__b").orderBy("__h", "case_id")
-    return x.withColumn("__rn", F.row_number().over(w)).join(n, on).select(*df.columns, (F.col("__rn") + F.col("__off")).alias(out))
+    """Rank of each row within its stratum by the md5 of case_id."""
+    return hash_ranks(df, list(keys), F.col("case_id"), "case_id", out)
 
 
 def matched_controls(cases: DataFrame, lat_step: float = 20.0, lon_step: float = 60.0) -> DataFrame:

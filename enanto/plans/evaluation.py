@@ -63,7 +63,7 @@ def _middle(s, d):
 def _ks(s, d):
     p = pairing.pair_table(table(s, d, "samples"))
     kinds = table(s, d, "cases").where("case_id is not null").groupBy(F.col("case_id").alias("__c")).agg(F.min("domain").alias("domain"), F.min("case_type").alias("case_type"))
-    return rounded(evaluation.ks_by_bins(p.join(kinds, F.col("case_id") == F.col("__c")), "domain", F.col("eta"), F.col("case_type") == "storm"))
+    return rounded(evaluation.ks_distance(p.join(kinds, F.col("case_id") == F.col("__c")), "domain", F.col("eta"), F.col("case_type") == "storm"))
 
 
 def _strata(s, d):
@@ -193,7 +193,7 @@ def oracle_sql() -> dict:
             h AS (SELECT test_name, CASE WHEN count(*) >= 2 AND avg(ln(a)) > ln(min(a)) THEN 1 / (avg(ln(a)) - ln(min(a))) END AS hill FROM t WHERE r <= 32 GROUP BY 1)
             SELECT x.test_name, count(*) AS n, round(CASE WHEN count(*) >= 4 AND var_pop(e) > 1e-12 THEN kurtosis_pop(e) + 3 END, 6) AS kurtosis, round(any_value(hill), 6) AS hill
             FROM x LEFT JOIN h ON x.test_name IS NOT DISTINCT FROM h.test_name GROUP BY x.test_name""",
-        "ks_storm_control": f"""WITH {PAIRS}, b AS (SELECT domain, floor(eta / 0.001) AS bin, case_type = 'storm' AS f FROM pairs JOIN cases ON pairs.case_id = cases.case_id WHERE case_type IS NOT NULL),
+        "ks_storm_control": f"""WITH {PAIRS}, b AS (SELECT domain, eta AS bin, case_type = 'storm' AS f FROM pairs JOIN cases ON pairs.case_id = cases.case_id WHERE case_type IS NOT NULL),
             k AS (SELECT domain, bin, count(*) FILTER (f) AS a, count(*) FILTER (NOT f) AS b FROM b GROUP BY 1, 2),
             u AS (SELECT domain, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER v AS na, sum(b) OVER v AS nb FROM k WINDOW w AS (PARTITION BY domain ORDER BY bin), v AS (PARTITION BY domain))
             SELECT domain, max(na)::BIGINT AS n_first, max(nb)::BIGINT AS n_second, round(max(abs(ca / nullif(na, 0) - cb / nullif(nb, 0))), 6) AS ks FROM u GROUP BY 1""",

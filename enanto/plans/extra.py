@@ -64,9 +64,9 @@ def kolmogorov(lam: Column, terms: int = 100) -> Column:
 
 
 def _ks_hands(s, d):
-    """Left against right readings per domain: distance over bins and asymptotic p value."""
+    """Left against right readings per domain: exact distance and asymptotic p value."""
     x = pairing.with_domain(pairing.fit_readings(table(s, d, "samples")), table(s, d, "cases"))
-    k = evaluation.ks_by_bins(x, "domain", F.col("O"), F.col("hand") == "L", 0.01)
+    k = evaluation.ks_distance(x, "domain", F.col("O"), F.col("hand") == "L")
     size = F.col("n_first") * F.col("n_second") / (F.col("n_first") + F.col("n_second"))
     return rounded(k.withColumn("p_value", kolmogorov(F.sqrt(size.cast("double")) * F.col("ks"))))
 
@@ -229,9 +229,8 @@ def _draw(text: str) -> str:
 
 def _shuffle(source: str, by: str, value: str, keep: str) -> str:
     same = " AND ".join(f"p.{c} IS NOT DISTINCT FROM q.{c}" for c in by.split(", "))
-    return f""", sz AS (SELECT *, ceil(count(*) OVER (PARTITION BY {by}) / 4096.0)::BIGINT AS nb FROM {source}), bl AS (SELECT *, {_draw("'block:' || k")} % nb AS b FROM sz),
-        rk AS (SELECT *, row_number() OVER (PARTITION BY {by}, b ORDER BY k) AS ra, row_number() OVER (PARTITION BY {by}, b ORDER BY md5('42:' || k)) AS rb FROM bl)
-        SELECT {keep}, q.{value} AS "{value}" FROM rk p JOIN rk q ON {same} AND p.b = q.b AND p.ra = q.rb"""
+    return f""", rk AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5('42:to:' || k), k) AS ra, row_number() OVER (PARTITION BY {by} ORDER BY md5('42:' || k), k) AS rb FROM {source})
+        SELECT {keep}, q.{value} AS "{value}" FROM rk p JOIN rk q ON {same} AND p.ra = q.rb"""
 
 
 _FIT = "case_id IS NOT NULL AND t IS NOT NULL AND L IS NOT NULL AND O IS NOT NULL AND isfinite(L) AND isfinite(O) AND hand IN ('L', 'R')"
@@ -275,7 +274,7 @@ def oracle_sql() -> dict:
         "mode_acceptance": f"""WITH {_RANKED}, g AS (SELECT run_id, count(*) AS n, median(L_k) AS m, min(L_k) AS lo, max(L_k) AS hi, min(delta_bic) AS lg FROM rk WHERE rank = 1 GROUP BY 1)
             SELECT run_id, n AS n_modes, round(m, 6) AS "L_mid", round(greatest(hi - m, m - lo) / greatest(m, 1e-12), 6) AS disagreement, n = 2 AND greatest(hi - m, m - lo) / greatest(m, 1e-12) <= {AGREE} AND lg >= 10 AS accepted FROM g""",
         "spectral_knees": spec + tf + LINE + HINGE + " SELECT run_id AS case_id, k, round(L_k, 4) AS \"L_k\", round(delta_bic, 4) AS delta_bic, round(slope_left, 4) AS slope_left, round(slope_right, 4) AS slope_right, reasons = '' AS sanity_ok FROM knees",
-        "ks_hands": f"""WITH b AS (SELECT domain, floor(O / 0.01) AS bin, hand = 'L' AS f FROM samples s LEFT JOIN cases c ON s.case_id = c.case_id WHERE {_FIT.replace('case_id', 's.case_id')}),
+        "ks_hands": f"""WITH b AS (SELECT domain, O AS bin, hand = 'L' AS f FROM samples s LEFT JOIN cases c ON s.case_id = c.case_id WHERE {_FIT.replace('case_id', 's.case_id')}),
             k AS (SELECT domain, bin, count(*) FILTER (f) AS a, count(*) FILTER (NOT f) AS b FROM b GROUP BY 1, 2),
             u AS (SELECT domain, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER v AS na, sum(b) OVER v AS nb FROM k WINDOW w AS (PARTITION BY domain ORDER BY bin), v AS (PARTITION BY domain)),
             g AS (SELECT domain, max(na)::BIGINT AS n_first, max(nb)::BIGINT AS n_second, max(abs(ca / nullif(na, 0) - cb / nullif(nb, 0))) AS ks FROM u GROUP BY 1),

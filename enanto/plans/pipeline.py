@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -26,12 +27,19 @@ def _summary(s, d):
     return rounded(j.select(S, "i", "L", "x", "y", "n_points", "has_knee", "L_k", "knee_p", "knee_lo", "knee_hi", "delta_bic", "strength", "delta_gamma", "confidence", "reasons", "gamma", (2.0 - F.col("gamma")).alias("Delta_hat"), *[c.alias(n) for n, c in st.items()]))
 
 
+def _scalings(s, d):
+    """Scaling of each run outside the unstable band its knee diagnosis gives, with 2,000 resamples."""
+    p = points(s, d)
+    k = knees.diagnose(p, S).select(F.col(S).alias("__run"), F.when(F.col("has_knee") | F.col("band_found"), F.col("band_lo")).alias("band_lo"), F.when(F.col("has_knee") | F.col("band_found"), F.col("band_hi")).alias("band_hi"))
+    return rounded(knees.scalings(p.join(k, F.col(S) == F.col("__run")).drop("__run"), S))
+
+
 def _null_gamma(s, d):
     """Observed log-log slope of each run against slopes over sizes shuffled within the run."""
     p = points(s, d)
     x = resampling.replicates(p.select(S, "i", "x", "y", F.lpad(F.col("i").cast("string"), 6, "0").alias("k")), 20)
     x = x.withColumn("k", F.concat_ws(":", F.col(S), "k"))
-    y = resampling.shuffled(x, [S, "rep"], "y", "k").groupBy(S, "rep").agg(F.regr_slope("y", "x").alias("g"))
+    y = resampling.shuffled(x, [S, "rep"], "y", "k", bounded=True).groupBy(S, "rep").agg(F.regr_slope("y", "x").alias("g"))
     obs = p.groupBy(F.col(S).alias("__r")).agg(F.regr_slope("y", "x").alias("gamma"))
     j = y.join(obs, F.col(S) == F.col("__r"))
     return rounded(j.groupBy(S, "gamma").agg(F.avg("g").alias("null_mean"), ((F.count_if(F.abs(F.round("g", 9)) >= F.abs(F.round("gamma", 9))) + 1) / 21.0).alias("p_value")))
@@ -56,7 +64,7 @@ def _partitioned(s, d):
     """Samples written in directories by domain and day, then counted from what was written."""
     x = pairing.with_domain(pairing.fit_readings(table(s, d, "samples")), table(s, d, "cases"))
     x = x.select("sample_id", "O", F.coalesce("domain", F.lit("none")).alias("domain"), F.to_date("t").cast("string").alias("day"))
-    path = f"{scratch_dir(s)}/enanto-tables/partitioned-{abs(hash((d, id(x)))):x}"
+    path = f"{scratch_dir(s)}/enanto-tables/partitioned-{uuid.uuid4().hex}"
     x.repartition("domain", "day").write.mode("overwrite").partitionBy("domain", "day").parquet(path)
     back = s.read.schema("sample_id bigint, O double, domain string, day string").parquet(path)
     return back.groupBy("domain", "day").agg(F.count("*").alias("n_rows"))
@@ -98,6 +106,7 @@ def queries() -> dict:
     return {
         "knee_diagnosis": _diagnosed,
         "run_summary": _summary,
+        "scaling_intervals": _scalings,
         "null_gamma": _null_gamma,
         "spectra": lambda s, d: rounded(knees.spectra(_steps(s, d), 16)),
         "ticks": lambda s, d: rounded(knees.ticks(knees.spectra(_steps(s, d), 16))),
@@ -156,7 +165,7 @@ sp AS (SELECT case_id, f / {seg}.0::DOUBLE AS freq, avg(p) * CASE WHEN f IN (0,
     key = "case_id || '|' || epoch_us(t)::VARCHAR || '|' || round(L * 10000)::BIGINT::VARCHAR"
     return {
         "null_gamma": f"""WITH {POINTS}, x AS (SELECT run_id, i, x, y, rep, run_id::VARCHAR || ':' || lpad(i::VARCHAR, 6, '0') AS k FROM p CROSS JOIN (SELECT unnest(range(20)) AS rep)),
-            z AS (SELECT *, row_number() OVER (PARTITION BY run_id, rep ORDER BY k) AS a, row_number() OVER (PARTITION BY run_id, rep ORDER BY md5('42:' || rep::VARCHAR || ':' || k)) AS c FROM x),
+            z AS (SELECT *, row_number() OVER (PARTITION BY run_id, rep ORDER BY md5('42:to:' || k), k) AS a, row_number() OVER (PARTITION BY run_id, rep ORDER BY md5('42:' || rep::VARCHAR || ':' || k)) AS c FROM x),
             g AS (SELECT a.run_id, a.rep, regr_slope(b.y, a.x) AS g FROM z a JOIN z b ON a.run_id = b.run_id AND a.rep = b.rep AND a.a = b.c GROUP BY 1, 2),
             o AS (SELECT run_id, regr_slope(y, x) AS gamma FROM p GROUP BY 1)
             SELECT g.run_id, round(gamma, 6) AS gamma, round(avg(g), 6) AS null_mean, round((count(*) FILTER (abs(round(g, 9)) >= abs(round(gamma, 9))) + 1) / 21.0::DOUBLE, 6) AS p_value FROM g JOIN o ON g.run_id = o.run_id GROUP BY 1, gamma""",
@@ -181,6 +190,8 @@ sp AS (SELECT case_id, f / {seg}.0::DOUBLE AS freq, avg(p) * CASE WHEN f IN (0,
             SELECT run_id, CASE WHEN kd AND sc = 'stable' THEN 'accept' ELSE 'reject' END AS decision,
               concat_ws(';', CASE WHEN NOT kd THEN coalesce(kr, 'no_knee') END, CASE WHEN sc <> 'stable' THEN 'class_' || sc END, CASE WHEN kp < 0.35 THEN 'knee_p_low' END) AS why FROM r""",
         "stream_slices": """WITH x AS (SELECT DISTINCT case_id, t, L, hand FROM samples WHERE case_id IS NOT NULL AND t IS NOT NULL AND L IS NOT NULL AND NOT isnan(L) AND hand IN ('L', 'R'))
-            SELECT case_id, t, count(*) AS n_seen FROM x GROUP BY 1, 2""",
-        "stream_hourly": """SELECT date_trunc('hour', t)::TIMESTAMP AS hour, hand, count(*) AS n_rows, count(O) AS n_readings FROM samples WHERE t IS NOT NULL AND hand IN ('L', 'R') GROUP BY 1, 2""",
+            SELECT case_id, t, count(*) AS n_seen FROM x WHERE t <= (SELECT max(t) FROM x) - INTERVAL 1 HOUR GROUP BY 1, 2""",
+        "stream_hourly": """WITH x AS (SELECT * FROM samples WHERE t IS NOT NULL AND hand IN ('L', 'R'))
+            SELECT * FROM (SELECT date_trunc('hour', t)::TIMESTAMP AS hour, hand, count(*) AS n_rows, count(O) AS n_readings FROM x GROUP BY 1, 2)
+            WHERE hour + INTERVAL 1 HOUR <= (SELECT max(t) FROM x) - INTERVAL 1 HOUR""",
     }

@@ -50,17 +50,15 @@ def oracle_sql() -> dict:
             m AS (SELECT domain, rep, abs(avg(CASE WHEN {_draw("rep::VARCHAR || ':' || k")} % 2 = 1 THEN -s ELSE s END)) AS m, abs(avg(s)) AS obs FROM x CROSS JOIN (SELECT unnest(range(50)) AS rep) GROUP BY 1, 2)
             SELECT domain, round(max(obs), 6) AS obs_dir, round((count(*) FILTER (round(m, 9) >= round(obs, 9)) + 1) / 51.0::DOUBLE, 6) AS p_dir FROM m GROUP BY 1""",
         "permutation_null": f"""WITH {PAIRS}, x0 AS (SELECT domain, L, O_L, O_R, eta, pairs.{_KEY} AS k FROM pairs LEFT JOIN cases ON pairs.case_id = cases.case_id),
-            x1 AS (SELECT *, ceil(count(*) OVER (PARTITION BY domain, L) / 4096.0)::BIGINT AS nb FROM x0),
-            x AS (SELECT *, {_draw("'block:' || rep::VARCHAR || ':' || k")} % nb AS b FROM x1 CROSS JOIN (SELECT unnest(range(10)) AS rep)),
-            y AS (SELECT *, row_number() OVER (PARTITION BY domain, L, rep, b ORDER BY k) AS a, row_number() OVER (PARTITION BY domain, L, rep, b ORDER BY md5('42:' || rep::VARCHAR || ':' || k)) AS c FROM x),
-            z AS (SELECT p.domain, p.rep, median(abs(p.O_L - q.O_R) / greatest((p.O_L + q.O_R) / 2, 1e-12)) AS m FROM y p JOIN y q ON p.domain IS NOT DISTINCT FROM q.domain AND p.L = q.L AND p.rep = q.rep AND p.b = q.b AND p.a = q.c GROUP BY 1, 2),
+            x AS (SELECT * FROM x0 CROSS JOIN (SELECT unnest(range(10)) AS rep)),
+            y AS (SELECT *, row_number() OVER (PARTITION BY domain, L, rep ORDER BY md5('42:to:' || k), k) AS a, row_number() OVER (PARTITION BY domain, L, rep ORDER BY md5('42:' || rep::VARCHAR || ':' || k), k) AS c FROM x),
+            z AS (SELECT p.domain, p.rep, median(abs(p.O_L - q.O_R) / greatest((p.O_L + q.O_R) / 2, 1e-12)) AS m FROM y p JOIN y q ON p.domain IS NOT DISTINCT FROM q.domain AND p.L = q.L AND p.rep = q.rep AND p.a = q.c GROUP BY 1, 2),
             o AS (SELECT domain, median(eta) AS ms FROM x0 GROUP BY 1)
             SELECT z.domain, round(ms, 6) AS mirror_stat, round((count(*) FILTER (round(m, 9) >= round(ms, 9)) + 1) / 11.0::DOUBLE, 6) AS p_perm FROM z JOIN o ON z.domain IS NOT DISTINCT FROM o.domain GROUP BY z.domain, ms""",
-        "null_time_shuffle": f"""WITH x AS (SELECT sample_id, case_id, t, L, hand, O, lpad(sample_id::VARCHAR, 20, '0') AS k, ceil(count(*) OVER (PARTITION BY case_id) / 4096.0)::BIGINT AS nb FROM samples
+        "null_time_shuffle": f"""WITH x AS (SELECT sample_id, case_id, t, L, hand, O, lpad(sample_id::VARCHAR, 20, '0') AS k FROM samples
               WHERE case_id IS NOT NULL AND t IS NOT NULL AND L IS NOT NULL AND O IS NOT NULL AND isfinite(L) AND isfinite(O) AND hand IN ('L', 'R')),
-            b AS (SELECT *, {_draw("'block:' || k")} % nb AS b FROM x),
-            y AS (SELECT *, row_number() OVER (PARTITION BY case_id, b ORDER BY k) AS a, row_number() OVER (PARTITION BY case_id, b ORDER BY md5('42:' || k)) AS c FROM b)
-            SELECT p.sample_id, p.case_id, p.t, p.L AS "L", p.hand, q.O AS "O" FROM y p JOIN y q ON p.case_id = q.case_id AND p.b = q.b AND p.a = q.c""",
+            y AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY md5('42:to:' || k), k) AS a, row_number() OVER (PARTITION BY case_id ORDER BY md5('42:' || k), k) AS c FROM x)
+            SELECT p.sample_id, p.case_id, p.t, p.L AS "L", p.hand, q.O AS "O" FROM y p JOIN y q ON p.case_id = q.case_id AND p.a = q.c""",
         "bootstrap_slopes": f"""WITH {POINTS}, x AS (SELECT run_id, rep, {_draw("run_id::VARCHAR || ':' || rep::VARCHAR || ':' || i::VARCHAR")} % n_points AS j FROM p CROSS JOIN (SELECT unnest(range(50)) AS rep)),
             s AS (SELECT x.run_id, rep, CASE WHEN var_pop(p.x) > 0 THEN regr_slope(y, p.x) END AS slope FROM x JOIN p ON x.run_id = p.run_id AND x.j = p.i GROUP BY 1, 2)
             SELECT run_id, count(*) AS n_reps, round(quantile_cont(slope, 0.025), 6) AS lo, round(quantile_cont(slope, 0.975), 6) AS hi FROM s WHERE slope IS NOT NULL GROUP BY 1""",

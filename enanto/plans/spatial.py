@@ -25,21 +25,12 @@ def _events(s, d):
     return spatial.storm_centres(table(s, d, "cases"))
 
 
-def _frames(s, d):
-    e = _events(s, d).select(F.col("domain").alias("__d"), "case_id", "lat0", "lon0")
-    cells = table(s, d, "cases").where("lat0 is not null and lon0 is not null").select(F.col("case_id").alias("cell"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), F.floor(F.col("lat0") / 20).alias("b"))
-    e = e.withColumn("eb", F.explode(F.sequence(F.floor((F.col("lat0") - 20) / 20), F.floor((F.col("lat0") + 20) / 20))))
-    j = cells.join(e, (F.col("b") == F.col("eb")) & (F.abs(F.col("lat") - F.col("lat0")) <= 20))
-    te, tn = spatial.tangential(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
-    return rounded(j.select("case_id", "cell", te.alias("t_east"), tn.alias("t_north")))
-
-
 def queries() -> dict:
     return {
         "derived_grid": lambda s, d: rounded(_grid(s, d), nudge=NUDGE),
         "storm_centres": lambda s, d: _events(s, d),
         "tiles": lambda s, d: rounded(spatial.tiles(_events(s, d), _grid(s, d)), nudge=NUDGE),
-        "tangential_frames": _frames,
+        "tangential_frames": lambda s, d: rounded(spatial.tangential_winds(_events(s, d), _grid(s, d))),
         "mirror_lon": lambda s, d: rounded(spatial.mirrored(_hours(s, d)), nudge=NUDGE),
         "parity_channels": lambda s, d: rounded(spatial.parity_channels(spatial.mirrored(_hours(s, d))).where("m_cell is not null").select("cell", "time", "speed_l", "speed_r", "eta_parity"), nudge=NUDGE),
         "mirror_audit": lambda s, d: rounded(spatial.mirror_audit(spatial.mirrored(_hours(s, d)))),
@@ -106,10 +97,11 @@ def oracle_sql() -> dict:
         "tiles": f"""WITH {_GRID},{_EVENTS} SELECT case_id, half::DOUBLE AS half, time, round((avg(u10)) + 3.1e-9, 6) AS u_mean, round((avg(v10)) + 3.1e-9, 6) AS v_mean, round((avg(sqrt(u10 * u10 + v10 * v10))) + 3.1e-9, 6) AS speed_mean,
             round((max(sqrt(u10 * u10 + v10 * v10))) + 3.1e-9, 6) AS speed_max, count(*) AS n_cells FROM events JOIN grid ON time BETWEEN onset_time - INTERVAL 240 HOUR AND onset_time + INTERVAL 240 HOUR
             CROSS JOIN (SELECT unnest([5.0, 15.0, 45.0]) AS half) WHERE abs(lat - lat0) <= half AND abs(lon - lon0) <= half GROUP BY 1, 2, 3""",
-        "tangential_frames": f"""WITH {_EVENTS}, a AS (SELECT e.case_id, c.case_id AS cell, radians(c.lat0) AS la, radians(e.lat0) AS l0, radians(c.lon0) - radians(e.lon0) AS dl FROM events e JOIN cases c ON c.lat0 IS NOT NULL AND c.lon0 IS NOT NULL AND abs(c.lat0 - e.lat0) <= 20),
-            b AS (SELECT case_id, cell, cos(la) * sin(dl) AS ea, cos(l0) * sin(la) - sin(l0) * cos(la) * cos(dl) AS no FROM a),
+        "tangential_frames": f"""WITH {_GRID},{_EVENTS}, a AS (SELECT case_id, time, u10, v10, radians(lat) AS la, radians(lat0) AS l0, radians(lon) - radians(lon0) AS dl FROM events
+              JOIN grid ON time BETWEEN onset_time - INTERVAL 240 HOUR AND onset_time + INTERVAL 240 HOUR AND abs(lat - lat0) <= 15 AND abs(lon - lon0) <= 15),
+            b AS (SELECT *, cos(la) * sin(dl) AS ea, cos(l0) * sin(la) - sin(l0) * cos(la) * cos(dl) AS no FROM a),
             n AS (SELECT *, CASE WHEN sqrt(ea * ea + no * no) > 1e-12 THEN sqrt(ea * ea + no * no) ELSE 1 END AS nm FROM b)
-            SELECT case_id, cell, round(-no / nm, 6) AS t_east, round(ea / nm, 6) AS t_north FROM n""",
+            SELECT case_id, time, round(avg(u10 * -no / nm + v10 * ea / nm), 6) AS along, round(avg(u10 * ea / nm + v10 * no / nm), 6) AS across, count(*) AS n_cells FROM n GROUP BY 1, 2""",
         "mirror_lon": f"""WITH {_HOURS}{_mirror('180.0')} SELECT cell, time, round((lat) + 3.1e-9, 6) AS lat, round((lon) + 3.1e-9, 6) AS lon, round((u10) + 3.1e-9, 6) AS u10, round((v10) + 3.1e-9, 6) AS v10, m_cell, round((m_lon) + 3.1e-9, 6) AS m_lon, round((m_dist) + 3.1e-9, 6) AS m_dist,
             round((u10_mirror) + 3.1e-9, 6) AS u10_mirror, round((v10_mirror) + 3.1e-9, 6) AS v10_mirror FROM mir""",
         "parity_channels": f"""WITH {_HOURS}{_mirror('180.0')} SELECT cell, time, round((sqrt(u10 * u10 + v10 * v10)) + 3.1e-9, 6) AS speed_l, round((sqrt(u10_mirror * u10_mirror + v10_mirror * v10_mirror)) + 3.1e-9, 6) AS speed_r, round(({_ETA}) + 3.1e-9, 6) AS eta_parity

@@ -5,14 +5,15 @@ from __future__ import annotations
 import io
 import json
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import map_arrow, ship
 
 REQUIRED = ("schema_version", "domain", "id", "columns")
 ROLES = {"group": "case_id", "time": "t", "size": "L", "handedness": "hand", "observable": ["O"]}
@@ -25,7 +26,7 @@ DEFAULTS = {
     "nulls": {"n": 200},
     "seed": 42,
 }
-_METHODS = {("knee", "method"): ("segmented",), ("scaling", "method"): ("wls", "theil_sen")}
+_METHODS = {("knee", "method"): ("segmented", "log_curvature", "cpt"), ("scaling", "method"): ("wls", "theil_sen")}
 
 
 class DatasetError(ValueError):
@@ -88,10 +89,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise DatasetError(f"can't read {path}: parquet, csv, txt or a folder of them")
 
 
-def by_role(samples: DataFrame, spec: dict) -> tuple[DataFrame, dict]:
+def by_role(samples: DataFrame, spec: dict, root: str | None = None) -> tuple[DataFrame, dict]:
     """Samples under canonical names (case_id, t, L, hand, O); the observable is the first listed column that exists.
 
-    ``O_path`` counts as an observable whose arrays are read and averaged.
+    ``O_path`` counts as an observable whose arrays, below ``root``, are read and averaged.
     """
     roles = ROLES | (spec.get("columns") or {})
     missing = [roles[r] for r in ("group", "time", "size", "handedness") if roles[r] not in samples.columns]
@@ -102,28 +103,31 @@ def by_role(samples: DataFrame, spec: dict) -> tuple[DataFrame, dict]:
     if found is None and "O_path" not in samples.columns:
         raise DatasetError(f"samples lack an observable: {', '.join(listed)} or O_path")
     if found is None:
-        samples, found = with_arrays(samples), "O_array"
+        if root is None:
+            raise DatasetError("O_path needs the folder its arrays are in")
+        samples, found = with_arrays(samples, root), "O_array"
     return samples.select(F.col(roles["group"]).cast("string").alias("case_id"), F.col(roles["time"]).alias("t"), F.col(roles["size"]).try_cast("double").alias("L"), F.col(roles["handedness"]).cast("string").alias("hand"), F.col(found).try_cast("double").alias("O")), roles
 
 
-def with_arrays(samples: DataFrame, root: str | None = None) -> DataFrame:
-    """Adds O_array: the mean of the .npy array at O_path (null where there is none; NaN elements spread)."""
-    paths = F.col("O_path") if root is None else F.concat(F.lit(root.rstrip("/") + "/"), F.col("O_path"))
-    ship(samples.sparkSession)
-    wanted = samples.select(paths.alias("__p")).where("__p is not null").distinct()
+def with_arrays(samples: DataFrame, root: str) -> DataFrame:
+    """Adds O_array: the mean of the .npy array at O_path, absolute or below ``root`` (null where there is no such file;
+    NaN elements spread). Spark reads the files below ``root``, whatever the file system, and joins them by path."""
+    spark = samples.sparkSession
+    ship(spark)
 
-    @F.pandas_udf("double")
-    def mean(p: pd.Series) -> pd.Series:
-        def one(path: str) -> float | None:
-            if not path.endswith(".npy"):
-                raise DatasetError(f"not an .npy file: {path}")
-            with open(path, "rb") as f:
-                return float(np.load(io.BytesIO(f.read()), allow_pickle=False).mean())
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = [float(np.load(io.BytesIO(x), allow_pickle=False).mean()) for x in b["content"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array(v, pa.float64())], names=["__path", "O_array"])
 
-        return p.map(one)
-
-    means = wanted.select("__p", mean("__p").alias("O_array"))
-    return samples.withColumn("__q", paths).join(means, F.col("__q") == F.col("__p"), "left").drop("__p", "__q")
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    base = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(base).select("path", "content")
+    found = map_arrow(files, means, "__path string, O_array double").select(bare(F.col("__path")).alias("__path"), "O_array")
+    path = F.col("O_path")
+    whole = F.when(path.rlike("^(/|[a-z0-9]+:)"), path).otherwise(F.concat(F.lit(base + "/"), path))
+    wrong = F.when(path.isNotNull() & ~path.endswith(".npy"), F.raise_error(F.concat(F.lit("not an .npy file: "), path)).cast("string"))
+    return samples.withColumn("__at", F.coalesce(wrong, bare(whole))).join(found, F.col("__at") == F.col("__path"), "left").drop("__at", "__path")
 
 
 def load_dataset(spark: SparkSession, path: str) -> Dataset:
@@ -131,7 +135,7 @@ def load_dataset(spark: SparkSession, path: str) -> Dataset:
     at = os.path.join(path, "samples.parquet")
     if not os.path.exists(at):
         raise DatasetError(f"no samples at {at}")
-    samples, roles = by_role(spark.read.parquet(at), spec)
+    samples, roles = by_role(spark.read.parquet(at), spec, path)
     return Dataset(path, spec, samples, roles)
 
 

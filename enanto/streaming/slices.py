@@ -1,7 +1,6 @@
 """Structured Streaming: completeness of time slices and hourly counts over arriving samples.
 
-Both keep one small row of state per key. Each micro-batch's result replaces the written table, so a restart from the
-checkpoint gives the same table again.
+State is bounded by a watermark: a key is written once, when the watermark has passed it, and forgotten.
 """
 
 from __future__ import annotations
@@ -20,31 +19,40 @@ def arriving(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_complete(df: DataFrame, name: str) -> DataFrame:
-    """Run a streaming aggregate over all that has arrived and return the table its last batch wrote."""
+def run_appended(df: DataFrame, name: str) -> DataFrame:
+    """Run a streaming query in append mode over all that has arrived and return the table it wrote.
+
+    A batch writes its own folder, so one that is run again after a failure replaces what it had written.
+    """
     spark = df.sparkSession
     base = f"{scratch_dir(spark)}/enanto-tables/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(f"{base}/table/batch=none")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/table")
+    def keep(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/table/batch={i}")
 
-    q = df.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    q = df.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/table")
+    return spark.read.schema(df.schema).parquet(f"{base}/table/*")
+
+
+def _on_time(df: DataFrame, delay: str) -> DataFrame:
+    return df.withColumn("at", F.col("t").cast("timestamp")).withWatermark("at", delay)
 
 
-def slice_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct (size, hand) seen per case and time so far; a slice is whole once all that its case has are there."""
+def slice_counts(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFrame:
+    """Distinct (size, hand) per case and time of the slices that are closed: those no later than the latest time less
+    ``delay``. Their state is dropped as they are written; rows that arrive for a closed slice are late and left out."""
     x = arriving(spark, path).where(F.col("case_id").isNotNull() & F.col("t").isNotNull() & F.col("L").isNotNull() & ~F.isnan("L") & F.col("hand").isin("L", "R"))
-    g = x.groupBy("case_id", "t").agg(F.size(F.collect_set(F.struct("L", "hand"))).cast("long").alias("n_seen"))
-    return run_complete(g, "slices")
+    g = _on_time(x, delay).groupBy("case_id", "at").agg(F.size(F.collect_set(F.struct("L", "hand"))).cast("long").alias("n_seen"))
+    return run_appended(g.select("case_id", F.col("at").cast("timestamp_ntz").alias("t"), "n_seen"), "slices")
 
 
-def hourly(spark: SparkSession, path: str) -> DataFrame:
-    """Rows and readings per hour and hand."""
+def hourly(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFrame:
+    """Rows and readings per hour and hand, for the hours that have ended before the latest time less ``delay``."""
     x = arriving(spark, path).where(F.col("t").isNotNull() & F.col("hand").isin("L", "R"))
-    g = x.groupBy(F.date_trunc("hour", "t").cast("timestamp_ntz").alias("hour"), "hand").agg(F.count("*").alias("n_rows"), F.count("O").alias("n_readings"))
-    return run_complete(g, "hourly")
+    g = _on_time(x, delay).groupBy(F.window("at", "1 hour").alias("w"), "hand").agg(F.count("*").alias("n_rows"), F.count("O").alias("n_readings"))
+    return run_appended(g.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "hand", "n_rows", "n_readings"), "hourly")
 
 
 def flush_whole(samples: DataFrame, expected: int, delay: str = "1 hour") -> DataFrame:

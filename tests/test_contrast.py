@@ -68,8 +68,14 @@ def test_fits_against_least_squares(spark):
 def test_knee_kernel():
     L = np.geomspace(8, 230, 14)
     bend = np.where(L < 40, 0.01 * L**1.5, 0.01 * 40**1.5 * (L / 40) ** -1.0)
-    k = knees.knee(L, bend, 1)
-    assert k["has_knee"] and 25 < k["L_k"] < 60 and k["knee_lo"] <= k["knee_hi"] and 0 < k["confidence"] <= 1
+    for method in knees.METHODS:
+        k = knees.knee(L, bend, 1, {"edge_buffer_frac": 0.05, "method": method})
+        assert 25 < k["band_lo"] < k["band_hi"] < 90 or k["band_found"]
+        if method == "segmented":
+            assert k["has_knee"] and 25 < k["L_k"] < 60 and k["knee_lo"] <= k["knee_hi"] and 0 < k["confidence"] <= 1 and k["slope_left"] > 1 > 0 > k["slope_right"]
+    assert knees.knee(L, bend, 1, {"edge_buffer_frac": 0.05, "curvature_alignment_min": 1.01})["reasons"] == "no_candidate"
+    with pytest.raises(ValueError):
+        knees.knee(L, bend, 1, {"method": "other"})
     rng = np.random.default_rng(0)
     flat = knees.knee(np.geomspace(5, 300, 18), 0.01 * np.geomspace(5, 300, 18) ** 1.2 * np.exp(rng.normal(0, 0.02, 18)), 1)
     assert not flat["has_knee"] and flat["confidence"] == 0.0 and 0 <= flat["knee_p"] <= 1
@@ -77,6 +83,50 @@ def test_knee_kernel():
         assert not knees.knee(np.array(bad[0]), np.array(bad[1]), 1)["has_knee"]
 
 
+def test_candidates_against_plain_fits():
+    rng = np.random.default_rng(7)
+    x, ks = np.sort(rng.uniform(1, 5, (6, 16)), axis=1), np.arange(3, 12)
+    x[5, 4] = x[5, 3]  # a repeated size
+    y = np.where(x < 3, x, 6 - x) + rng.normal(0, 0.1, x.shape)
+    c = knees._candidates(x, y, np.exp(x), ks, knees.KNEE)
+    for r in range(6):
+        rss = []
+        for j, k in enumerate(ks):
+            d = x[r] - x[r, k]
+            X = np.column_stack([np.ones(16), np.minimum(d, 0), np.maximum(d, 0)])
+            beta, res = np.linalg.lstsq(X, y[r], rcond=None)[:2]
+            rss.append(res[0])
+            assert (c["left"][r, j], c["right"][r, j]) == pytest.approx((beta[1], beta[2]), rel=1e-6)
+        g = np.arange(16.0) if r == 5 else x[r]
+        d1 = np.gradient(y[r], g)
+        bent = int(np.argmax(np.abs(np.gradient(d1, g)) / (1 + d1**2) ** 1.5))
+        gaps = [abs(y[r, k:].mean() - y[r, :k].mean()) for k in range(1, 15)]
+        want = set(ks[np.argsort(rss)[:6]]) | {k for k in (bent, int(np.argmax(gaps)) + 1) if k in ks}
+        assert set(ks[c["on"][r]]) == want
+        z = 0
+        for v in (c["gain"], c["bend"], c["calm"]):
+            w = v[r][c["on"][r]]
+            med = np.median(w)
+            z = z + (w - med) / (1.4826 * np.median(np.abs(w - med)))
+        assert np.allclose(c["strength"][r][c["on"][r]], z)
+
+
+def test_unstable_band_and_scalings(spark):
+    rng = np.random.default_rng(8)
+    L = np.geomspace(5, 300, 30)
+    y = 1.3 * np.log(L) + rng.normal(0, 0.005, 30)
+    y[13:17] += rng.normal(0, 1.0, 4)
+    lo, hi = knees.unstable_band(L, np.log(L), y)
+    assert L[9] <= lo < hi <= L[20] and knees.unstable_band(L[:5], np.log(L[:5]), y[:5]) is None
+    p = spark.createDataFrame([("a", i, float(v), float(w), 1.0, float(lo), float(hi)) for i, (v, w) in enumerate(zip(L, y))] + [("b", i, float(v), 0.5 * math.log(v), 1.0, None, None) for i, v in enumerate(L)] + [("c", i, float(v), 0.1, 1.0, None, None) for i, v in enumerate(L[:3])], "s string, i int, L double, y double, weight double, band_lo double, band_hi double")
+    for method, robust in (("wls", True), ("wls", False), ("theil_sen", True)):
+        g = {r.s: r for r in knees.scalings(p, "s", method, robust, n=200).collect()}
+        assert set(g) == {"a", "b"} and g["a"].n_points == sum((v < lo) | (v > hi) for v in L)
+        assert g["a"].ci_lo - 1e-9 <= g["a"].gamma <= g["a"].ci_hi + 1e-9 and abs(g["a"].gamma - 1.3) < 0.1 and g["b"].gamma == pytest.approx(0.5) and g["b"].Delta_hat == pytest.approx(1.5)
+    with pytest.raises(ValueError):
+        knees.scalings(p, "s", "ols")
+
+
 def test_huber_resists_outliers():
     x = np.linspace(0, 5, 30)
     y = 1.7 * x + 0.2

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import shutil
 
@@ -53,6 +54,10 @@ def test_arrays_by_path(spark, tmp_path):
     d = spark.createDataFrame([("a", 0, 1.0, "L", "0.npy"), ("a", 0, 1.0, "R", "2.npy"), ("a", 1, 1.0, "R", None)], "case_id string, t bigint, L double, hand string, O_path string")
     got = sorted((r.hand, r.O_array) for r in datasets.with_arrays(d, str(tmp_path)).where("O_path is not null").collect())
     assert got == [("L", 0.0), ("R", 2.0)]
+    with pytest.raises(Exception, match="not an .npy file"):
+        datasets.with_arrays(d.withColumn("O_path", F.lit("0.txt")), str(tmp_path)).collect()
+    absolute = d.withColumn("O_path", F.concat(F.lit(f"{tmp_path}/"), "O_path"))
+    assert sorted((r.hand, r.O_array) for r in datasets.with_arrays(absolute, str(tmp_path)).where("O_path is not null").collect()) == got
 
 
 def test_tables_and_sweeps(spark, tmp_path):
@@ -80,7 +85,8 @@ def test_content_hash_sees_names_and_bytes(tmp_path):
 def test_streams_match_batch(spark, tmp_path):
     a = slices.hourly(spark, f"{SMALL}/samples.parquet")
     b = spark.read.parquet(f"{SMALL}/samples.parquet").where("t is not null and hand in ('L', 'R')")
-    assert a.agg(F.sum("n_rows")).first()[0] == b.count()
+    closed = b.where(F.date_trunc("hour", "t") + F.expr("interval 1 hour") <= b.agg(F.max("t")).first()[0] - dt.timedelta(hours=1))
+    assert a.agg(F.sum("n_rows")).first()[0] == closed.count()
     folder = tmp_path / "in"
     folder.mkdir()
     for i in range(2):  # two files arrive
@@ -88,6 +94,8 @@ def test_streams_match_batch(spark, tmp_path):
     twice = slices.slice_counts(spark, str(folder))
     once = slices.slice_counts(spark, f"{SMALL}/samples.parquet")
     assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, once.collect()))
+    b.limit(0).write.parquet(str(tmp_path / "none"))
+    assert slices.slice_counts(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_whole_slices_are_flushed(spark, tmp_path):

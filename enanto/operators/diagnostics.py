@@ -73,19 +73,23 @@ def impedance(df: DataFrame, by: list[str], c_m: float = 30.0, tolerance: float
 def coherence(pairs: DataFrame, eps: float = LOG_FLOOR) -> DataFrame:
     """Per case: A (cosine of even and odd part), F = exp(-spread of successive odd steps / spread of the even part), P_lock.
 
-    Steps run between successive pairs of one size and day, so no series is ever ordered in one task. P_lock is the
+    Steps run between successive pairs of one size: within a day by the pairs' order, from day to day between the last
+    pair of one and the first of the next, so no series is ever ordered in one task. P_lock is the
     absolute mean sign times one minus the spread of the mean signs of three size segments (cut at the 33 and 66 % points
     of the sizes of the case's pairs; one segment where fewer than three sizes occur); zero signs are left out.
     """
     w = Window.partitionBy("case_id", "L", F.to_date("t")).orderBy("t")
     x = pairs.withColumn("step", F.col("X_minus") - F.lag("X_minus").over(w)).withColumn("s", F.signum("signed_parity"))
+    days = pairs.groupBy("case_id", "L", F.to_date("t").alias("day")).agg(F.min_by("X_minus", "t").alias("first"), F.max_by("X_minus", "t").alias("last"))
+    across = days.select("case_id", (F.col("first") - F.lag("last").over(Window.partitionBy("case_id", "L").orderBy("day"))).alias("step"))  # one row a day
+    shear = x.select("case_id", "step").unionByName(across).groupBy(F.col("case_id").alias("__h")).agg(F.coalesce(F.stddev_pop("step"), F.lit(0.0)).alias("shear"))
     whole = x.groupBy("case_id").agg(
         F.sum(F.col("X_plus") * F.col("X_minus")).alias("pm"),
         F.sum(F.col("X_plus") * F.col("X_plus")).alias("pp"),
         F.sum(F.col("X_minus") * F.col("X_minus")).alias("mm"),
-        F.coalesce(F.stddev_pop("step"), F.lit(0.0)).alias("shear"),
         F.stddev_pop("X_plus").alias("even"),
     )
+    whole = whole.join(shear, F.col("case_id") == F.col("__h"))
     sizes = x.where("s <> 0").groupBy("case_id", "L").agg(F.count("*").alias("c"), F.sum("s").alias("ss"))
     cuts = sizes.groupBy(F.col("case_id").alias("__c")).agg(F.expr("percentile(L, array(0.33D, 0.66D), c)").alias("q"), F.count("*").alias("n_sizes"), (F.sum("ss") / F.sum("c")).alias("mean_sign"))
     label = F.when(F.col("n_sizes") < 3, 0).otherwise((F.col("L") >= F.col("q")[0]).cast("int") + (F.col("L") >= F.col("q")[1]).cast("int"))

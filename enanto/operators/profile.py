@@ -1,7 +1,7 @@
 """Problem 2: column-level quality profile and shifts between loads.
 
-One partially aggregated pass per load gives counts, nulls, ranges, pattern violations, mergeable power sums and quantile
-points; distinct counts come from a grouped distinct. Whatever follows works on one row per load and column. A load that
+One partially aggregated pass per load gives counts, nulls, ranges, pattern violations, mergeable exact power sums (of
+whole numbers of steps, see :func:`_stepped`) and quantile points; distinct counts come from a grouped distinct. Whatever follows works on one row per load and column. A load that
 holds a third of all rows is combined on the map side first, so it never meets in one task.
 """
 
@@ -25,21 +25,32 @@ POINT_FACTOR = 1.8
 LEFT_SHARE = (0.35, 0.65)
 
 
-def _numeric(c: str, centred: bool = False) -> list[Column]:
+#: Readings are counted in steps: so many on either side of their domain's middle.
+HALF_BITS = 30
+
+
+def _numeric(c: str, exact: bool = False) -> list[Column]:
     x = F.col(f"`{c}`")
     ok = F.when(finite(x), x)
-    if centred:
-        # Readings that can't be (out_O) stay out of the sums, which are of deviations from the domain's centre.
-        fair = F.when(~F.col("__out_O"), ok) if c == "O" else ok
-        d = fair - F.col(f"__centre_{c}")
-        return [F.count(d).alias(f"{c}_s0"), *[F.sum(p).alias(f"{c}_s{i}") for i, p in enumerate((d, d * d, d * d * d, d * d * d * d), 1)], F.max(f"__centre_{c}").alias(f"{c}_centre"), *_counts(c, x, ok)]
+    if exact:
+        # Whole steps (null where the reading can't be) and their powers in halves below 2^61: sums are exact, whatever the order.
+        q = F.col(f"__q_{c}")
+        high, low = F.shiftright(q * q, HALF_BITS), (q * q).bitwiseAND(F.lit((1 << HALF_BITS) - 1))
+        parts = {"e1": q, "e2": q * q, "e3h": high * q, "e3l": low * q, "e4hh": high * high, "e4hl": high * low, "e4ll": low * low}
+        sums = [F.sum(v.cast("decimal(20,0)")).alias(f"{c}_{n}") for n, v in parts.items()]
+        return [F.count(q).alias(f"{c}_s0"), *sums, F.max(f"__centre_{c}").alias(f"{c}_centre"), F.max(f"__unit_{c}").alias(f"{c}_unit"), *_counts(c, x, ok)]
+    return [F.count(ok).alias(f"{c}_s0"), *[F.sum(p).alias(f"{c}_s{i}") for i, p in enumerate((ok, ok * ok, ok * ok * ok, ok * ok * ok * ok), 1)], *_counts(c, x, ok)]
+
+
+def _powers(c: str) -> list[Column]:
+    """The sums of the powers as doubles, each put together from its exact halves once."""
+    d = lambda n: F.col(f"{c}_{n}").cast("double")
+    one = float(1 << HALF_BITS)
     return [
-        F.count(ok).alias(f"{c}_s0"),
-        F.sum(ok).alias(f"{c}_s1"),
-        F.sum(ok * ok).alias(f"{c}_s2"),
-        F.sum(ok * ok * ok).alias(f"{c}_s3"),
-        F.sum(ok * ok * ok * ok).alias(f"{c}_s4"),
-        *_counts(c, x, ok),
+        d("e1").alias(f"{c}_s1"),
+        d("e2").alias(f"{c}_s2"),
+        (d("e3h") * one + d("e3l")).alias(f"{c}_s3"),
+        (d("e4hh") * (one * one) + d("e4hl") * (2 * one) + d("e4ll")).alias(f"{c}_s4"),
     ]
 
 
@@ -53,34 +64,41 @@ def _counts(c: str, x: Column, ok: Column) -> list[Column]:
     ]
 
 
-def _centred(samples: DataFrame, loads: DataFrame, domains: DataFrame) -> DataFrame:
-    """Samples with ``__out_O`` (O finite, but outside its domain's range) and a centre of L and O per domain of the load.
+def _stepped(samples: DataFrame, loads: DataFrame, domains: DataFrame) -> DataFrame:
+    """Samples with L and O as whole steps from the middle of their domain (``__q_L``, ``__q_O``), null where a reading
+    isn't finite or O lies outside its domain's range, and with each domain's middle and step.
 
-    The centre is the mean of the domain's possible readings; loads that aren't listed share one and have no range.
+    The steps divide the range of the domain's possible readings; loads that aren't listed share one domain without a
+    given range.
     """
     names = loads.groupBy(F.col("load_id").alias("__load")).agg(F.min("domain").alias("__domain"))
     known = domains.groupBy(F.col("domain").alias("__of")).agg(F.min("o_min").alias("__lo"), F.max("o_max").alias("__hi"))
     names = names.join(known, F.col("__domain") == F.col("__of"), "left").drop("__of")
     x = samples.select("load_id", "L", "hand", "O").join(names, F.col("load_id") == F.col("__load"), "left").drop("__load")
-    x = x.withColumn("__out_O", finite(F.col("O")) & F.coalesce((F.col("O") < F.col("__lo")) | (F.col("O") > F.col("__hi")), F.lit(False)))
-    x = x.withColumn("__out_O", F.coalesce("__out_O", F.lit(False))).drop("__lo", "__hi")
-    mid = x.groupBy(F.col("__domain").alias("__m")).agg(
-        F.coalesce(F.avg(F.when(finite(F.col("L")), F.col("L"))), F.lit(0.0)).alias("__centre_L"),
-        F.coalesce(F.avg(F.when(finite(F.col("O")) & ~F.col("__out_O"), F.col("O"))), F.lit(0.0)).alias("__centre_O"),
-    )
-    return x.join(mid, F.col("__domain").eqNullSafe(F.col("__m"))).drop("__m")
+    out = F.coalesce((F.col("O") < F.col("__lo")) | (F.col("O") > F.col("__hi")), F.lit(False))
+    x = x.withColumns({"__x_L": F.when(finite(F.col("L")), F.col("L")), "__x_O": F.when(finite(F.col("O")) & ~out, F.col("O"))}).drop("__lo", "__hi")
+    ends = x.groupBy(F.col("__domain").alias("__m")).agg(*[f(f"__x_{c}").alias(f"__{n}_{c}") for c in NUMERIC for n, f in (("least", F.min), ("most", F.max))])
+
+    def scale(c: str) -> list[Column]:
+        lo, hi = F.col(f"__least_{c}"), F.col(f"__most_{c}")
+        return [F.coalesce((lo + hi) / 2.0, F.lit(0.0)).alias(f"__centre_{c}"), F.when(hi > lo, (hi - lo) / float(2 << HALF_BITS)).otherwise(1.0).alias(f"__unit_{c}")]
 
+    mid = ends.select("__m", *scale("L"), *scale("O"))
+    x = x.join(mid, F.col("__domain").eqNullSafe(F.col("__m"))).drop("__m")
+    steps = {f"__q_{c}": F.rint((F.col(f"__x_{c}") - F.col(f"__centre_{c}")) / F.col(f"__unit_{c}")).cast("long") for c in NUMERIC}
+    return x.withColumns(steps).drop(*[f"__x_{c}" for c in NUMERIC])
 
-def load_stats(samples: DataFrame, centred: bool = False) -> DataFrame:
+
+def load_stats(samples: DataFrame, exact: bool = False) -> DataFrame:
     """One row per load_id (null is a load of its own): counts, power sums, ranges and quantile points of L, hand and O.
 
-    With ``centred`` samples come from :func:`_centred`, and the sums are of possible readings about the domain's centre.
+    With ``exact`` samples come from :func:`_stepped`, and the sums are of whole steps from the domain's middle.
     """
     hand = F.col("hand")
-    return samples.groupBy("load_id").agg(
+    g = samples.groupBy("load_id").agg(
         F.count("*").alias("n"),
-        *_numeric("L", centred),
-        *_numeric("O", centred),
+        *_numeric("L", exact),
+        *_numeric("O", exact),
         F.count_if(hand.isNull()).alias("hand_null"),
         F.count_if(~hand.rlike(HAND_PATTERN)).alias("hand_bad"),
         F.count_if(hand == "L").alias("hand_left"),
@@ -88,12 +106,16 @@ def load_stats(samples: DataFrame, centred: bool = False) -> DataFrame:
         F.min(hand).alias("hand_min"),
         F.max(hand).alias("hand_max"),
     )
+    return g.select("*", *_powers("L"), *_powers("O")) if exact else g
 
 
 def distinct_counts(samples: DataFrame) -> DataFrame:
-    """Distinct non-null values of each column per load, as a grouped distinct followed by a count."""
-    long = samples.select("load_id", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in ("L", "hand", "O")])).alias("e"))
-    return long.select("load_id", "e.*").where(F.col("v").isNotNull()).distinct().groupBy("load_id", "column_name").agg(F.count("*").alias("n_distinct"))
+    """Distinct non-null values of each column per load, as a grouped distinct followed by a count; NaN is one value."""
+    # Numbers stay numbers: one row holds a value of one column, the others are null.
+    none = {"L": "double", "hand": "string", "O": "double"}
+    one = lambda c: F.struct(F.lit(c).alias("column_name"), *[(F.col(f"`{k}`") if k == c else F.lit(None)).cast(t).alias(f"v_{k}") for k, t in none.items()])
+    long = samples.select("load_id", F.inline(F.array(*[one(c) for c in none])))
+    return long.where((F.col("v_L").isNotNull() | F.col("v_hand").isNotNull() | F.col("v_O").isNotNull())).distinct().groupBy("load_id", "column_name").agg(F.count("*").alias("n_distinct"))
 
 
 def column_profile(samples: DataFrame, loads: DataFrame | None = None, domains: DataFrame | None = None) -> DataFrame:
@@ -105,11 +127,12 @@ def column_profile(samples: DataFrame, loads: DataFrame | None = None, domains:
     all types; distinct counts leave null out and count NaN as one value. An empty table gives no rows. Given loads and
     domains, O outside the range of the load's domain is a violation and stays out of the moments.
     """
-    centred = loads is not None and domains is not None
-    stats = load_stats(_centred(samples, loads, domains), True) if centred else load_stats(samples)
+    exact = loads is not None and domains is not None
+    stats = load_stats(_stepped(samples, loads, domains), True) if exact else load_stats(samples)
 
     def number(c: str) -> Column:
         n, s1, s2, s3, s4 = (F.col(f"{c}_s{i}") for i in range(5))
+        unit, centre = (F.col(f"{c}_unit"), F.col(f"{c}_centre")) if exact else (F.lit(1.0), F.lit(0.0))
         mean = F.try_divide(s1, n)
         m2 = F.greatest(F.try_divide(s2, n) - mean * mean, F.lit(0.0))
         m3 = F.try_divide(s3, n) - 3 * mean * F.try_divide(s2, n) + 2 * mean * mean * mean
@@ -122,8 +145,8 @@ def column_profile(samples: DataFrame, loads: DataFrame | None = None, domains:
             (F.col("n") - F.col(f"{c}_null") - F.col(f"{c}_nan") - n).alias("n_violations"),
             F.col(f"{c}_min").cast("string").alias("min_value"),
             F.col(f"{c}_max").cast("string").alias("max_value"),
-            (mean + F.col(f"{c}_centre") if centred else mean).alias("mean"),
-            F.sqrt(m2).alias("std"),
+            (mean * unit + centre).alias("mean"),
+            (F.sqrt(m2) * unit).alias("std"),
             F.try_divide(m3, F.pow(m2, 1.5)).alias("skewness"),
             F.try_divide(m4, m2 * m2).alias("kurtosis"),
             F.array_join(F.transform(F.col(f"{c}_q"), lambda v: v.cast("string")), "|").alias("q10_q50_q90"),
@@ -159,17 +182,21 @@ def standardised_shifts(samples: DataFrame, loads: DataFrame, domains: DataFrame
 
     ``shift`` is the difference of means over the root of the mean of both variances; null where a side has no possible
     value or neither side varies. O outside the domain's range (fill values) isn't in the sums; ``n_violations`` counts it
-    beside infinite values. Sums are of deviations from the domain's centre, and those of the other loads are added up
-    from the loads before and after, never subtracted from a whole.
+    beside infinite values. Sums are exact, of whole steps from the domain's middle, so they merge in any order.
     """
     none = samples.sparkSession.createDataFrame([], "domain string, o_min double, o_max double")
-    stats = _with_domain(load_stats(_centred(samples, loads, none if domains is None else domains), True), loads)
+    stats = _with_domain(load_stats(_stepped(samples, loads, none if domains is None else domains), True), loads)
     violations = {c: F.col("n") - F.col(f"{c}_null") - F.col(f"{c}_nan") - F.col(f"{c}_s0") for c in NUMERIC}
-    fields = lambda c: [violations[c].alias("n_violations"), F.col(f"{c}_centre").alias("centre"), *[F.coalesce(F.col(f"{c}_s{i}").cast("double"), F.lit(0.0)).alias(f"s{i}") for i in range(3)]]
+    zero = F.lit(0).cast("decimal(38,0)")
+
+    def fields(c: str) -> list[Column]:
+        sums = [F.coalesce(F.col(f"{c}_{n}").cast("decimal(38,0)"), zero).alias(f"s{i}") for i, n in enumerate(("s0", "e1", "e2"))]
+        return [violations[c].alias("n_violations"), F.col(f"{c}_centre").alias("centre"), F.col(f"{c}_unit").alias("unit"), *sums]
+
     long = stats.select("load_id", "domain", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *fields(c)) for c in NUMERIC])).alias("p")).select("load_id", "domain", "p.*")
     o = Window.partitionBy("domain", "column_name")  # one row a load
-    before, after = (o.orderBy(k).rowsBetween(Window.unboundedPreceding, -1) for k in (F.asc("load_id"), F.desc("load_id")))
-    j = long.select("*", *[(F.coalesce(F.sum(f"s{i}").over(before), F.lit(0.0)) + F.coalesce(F.sum(f"s{i}").over(after), F.lit(0.0))).alias(f"r{i}") for i in range(3)])
+    j = long.select("*", *[(F.sum(f"s{i}").over(o) - F.col(f"s{i}")).cast("double").alias(f"r{i}") for i in range(3)])
+    j = j.withColumns({f"s{i}": F.col(f"s{i}").cast("double") for i in range(3)})
 
     def moments(n: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
         mean = F.try_divide(s1, n)
@@ -183,8 +210,8 @@ def standardised_shifts(samples: DataFrame, loads: DataFrame, domains: DataFrame
         "column_name",
         F.col("s0").cast("long").alias("n_finite"),
         "n_violations",
-        (own[0] + F.col("centre")).alias("mean"),
-        (rest[0] + F.col("centre")).alias("mean_rest"),
+        (own[0] * F.col("unit") + F.col("centre")).alias("mean"),
+        (rest[0] * F.col("unit") + F.col("centre")).alias("mean_rest"),
         F.try_divide(own[0] - rest[0], F.sqrt((own[1] + rest[1]) / 2)).alias("shift"),
     )
 

@@ -18,13 +18,19 @@ from ..session import written
 def derived_grid(pairs: DataFrame, cases: DataFrame, composite: bool = False) -> DataFrame:
     """Hourly field per located case: u10 is the mean even, v10 the mean odd part of its pairs.
 
+    Means are of exact decimal sums (twelve decimals), so they don't depend on the order of the pairs; parts of 1e16 and
+    more are fill values and left out.
+
     A composite takes the same hour of all days together, dated 2000-01-01, so that all cells have the same times.
     """
     at = cases.where(F.col("case_id").isNotNull() & F.col("lat0").isNotNull() & F.col("lon0").isNotNull())
     at = at.groupBy(F.col("case_id").alias("cell")).agg(F.min("lat0").alias("lat"), F.min("lon0").alias("lon"))
     j = pairs.join(at, F.col("case_id") == F.col("cell"))
     hour = F.lit("2000-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour("t")) if composite else F.date_trunc("hour", "t").cast("timestamp_ntz")
-    return j.groupBy("cell", "lat", "lon", hour.alias("time")).agg(F.avg("X_plus").alias("u10"), F.avg("X_minus").alias("v10"), F.count("*").alias("n"))
+    exact = {c: F.col(c).try_cast("decimal(28,12)") for c in ("X_plus", "X_minus")}
+    j = j.withColumns(exact).where("X_plus is not null and X_minus is not null")
+    g = j.groupBy("cell", "lat", "lon", hour.alias("time")).agg(F.sum("X_plus").alias("p"), F.sum("X_minus").alias("m"), F.count("*").alias("n"))
+    return g.select("cell", "lat", "lon", "time", (F.col("p").cast("double") / F.col("n")).alias("u10"), (F.col("m").cast("double") / F.col("n")).alias("v10"), "n")
 
 
 def storm_centres(cases: DataFrame) -> DataFrame:

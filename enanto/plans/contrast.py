@@ -15,9 +15,15 @@ from ..session import table
 S = "run_id"
 
 
-def rounded(df, digits: int = 6, nudge: float = 0.0):
-    """Doubles rounded, so that the order of summation doesn't show; the nudge keeps means of decimals off the halves."""
-    return df.select(*[F.round(F.col(c) + nudge, digits).alias(c) if k in ("double", "float") else F.col(f"`{c}`") for c, k in df.dtypes])
+def rounded(df, digits: int = 6):
+    """Doubles rounded, so that the order of summation doesn't show."""
+    return df.select(*[F.round(F.col(c), digits).alias(c) if k in ("double", "float") else F.col(f"`{c}`") for c, k in df.dtypes])
+
+
+def half_up(df, digits: int = 6):
+    """Doubles rounded to the nearest decimal, halves up, by floor: the same steps wherever they are taken."""
+    one = 10.0**digits
+    return df.select(*[(F.floor(F.col(c) * one + 0.5).cast("double") / one).alias(c) if k in ("double", "float") else F.col(f"`{c}`") for c, k in df.dtypes])
 
 
 def pairs(s, d):

@@ -156,7 +156,7 @@ def oracle_sql() -> dict:
         "alignment_residual": c + f"SELECT line_id, round(ln(w_num * l_num / {_TP}), 6) AS residual, round(abs(ln(w_num * l_num / {_TP})), 6) AS distance FROM checked WHERE reason IS NULL AND w_num > 0 AND NOT isinf(w_num)",
         "impedance": c + f"""SELECT load_id, count(w_num) AS n, round(median(w_num * l_num / ({_TP}::DOUBLE * 30)), 6) AS ratio, abs(median(w_num * l_num / ({_TP}::DOUBLE * 30)) - 1) <= 0.1 AS passed
             FROM checked WHERE reason IS NULL GROUP BY 1""",
-        "coherence": f"""WITH {PAIRS}, x AS (SELECT *, X_minus - lag(X_minus) OVER (PARTITION BY case_id, L, t::DATE ORDER BY t) AS step, sign(signed_parity) AS s FROM pairs),
+        "coherence": f"""WITH {PAIRS}, x AS (SELECT *, X_minus - lag(X_minus) OVER (PARTITION BY case_id, L ORDER BY t) AS step, sign(signed_parity) AS s FROM pairs),
             w AS (SELECT case_id, sum(X_plus * X_minus) / (sqrt(sum(X_plus * X_plus)) * sqrt(sum(X_minus * X_minus)) + 1e-12) AS a, exp(-coalesce(stddev_pop(step), 0) / (stddev_pop(X_plus) + 1e-12)) AS f FROM x GROUP BY 1),
             n AS (SELECT * FROM x WHERE s <> 0),
             q AS (SELECT case_id, quantile_cont(L, 0.33) AS q1, quantile_cont(L, 0.66) AS q2, count(DISTINCT L) AS k, avg(s) AS ms FROM n GROUP BY 1),

@@ -133,7 +133,7 @@ def _gridded(s, d):
         y = x.select("cell", "time", F.lit(scale).alias("scale"), F.when(full, F.avg("amp").over(o)).alias("a"), F.when(full, F.avg("odd").over(o)).alias("o")).where("a is not null and o is not null")
         y = y.select("cell", "time", "scale", (F.col("a") * (1 + 0.35 * F.col("o"))).alias("O_L"), (F.col("a") * (1 - 0.35 * F.col("o"))).alias("O_R"))
         out = y if out is None else out.unionByName(y)
-    return rounded(out, nudge=3.1e-9)
+    return rounded(out)
 
 
 def _scalars(s, d):
@@ -294,7 +294,7 @@ def oracle_sql() -> dict:
             SELECT pairs.case_id, count(*) AS n_pairs, round(avg(eta), 6) AS eta_mean, round(abs(avg(sign(signed_parity))), 6) AS sign_consistency, round(avg(abs(X_plus)), 6) AS even_mean, round(avg(abs(X_minus)), 6) AS odd_mean, round(any_value(n.L), 6) AS usual_size
             FROM pairs JOIN n ON pairs.case_id = n.case_id AND rk = 1 GROUP BY 1""",
         "gridded_sides": f"""WITH {spatial_plans._GRID}, x AS (SELECT cell, time, sqrt(u10 * u10 + v10 * v10) AS amp, ({grad('v10')}) - ({grad('u10')}) AS odd FROM grid WINDOW w AS (PARTITION BY cell ORDER BY time)),
-            y AS ({scales}) SELECT cell, time, scale, round(a * (1 + 0.35::DOUBLE * o) + 3.1e-9, 6) AS "O_L", round(a * (1 - 0.35::DOUBLE * o) + 3.1e-9, 6) AS "O_R" FROM y WHERE a IS NOT NULL AND o IS NOT NULL""",
+            y AS ({scales}) SELECT cell, time, scale, round(a * (1 + 0.35::DOUBLE * o), 6) AS "O_L", round(a * (1 - 0.35::DOUBLE * o), 6) AS "O_R" FROM y WHERE a IS NOT NULL AND o IS NOT NULL""",
         "scalar_functions": """SELECT case_id, round(round_even(lat0 / 2.5, 0) * 2.5, 6) AS lat_bin, round(floor(lon0 / 10) * 10, 6) AS lon_bin, round(CASE WHEN lat0 IS NULL THEN ln(1e-12) ELSE ln(greatest(lat0, 1e-12)) END, 6) AS log_lat,
             round(lon0 / CASE WHEN abs(lat0) < 1e-12 THEN 1e-12 ELSE lat0 END, 6) AS ratio, month(onset_time)::INT AS month, hour(onset_time)::INT AS hour, dayofyear(onset_time)::INT AS day_of_year, strftime(onset_time, '%Y%m%d%H') AS stamp,
             coalesce(step_s::VARCHAR, 'none') AS step_label, upper(trim(replace(case_id, 'storm_', ' s-'))) AS short_id, coalesce(control_tier, 'unknown') AS tier, coalesce(case_type = 'storm', false) AS is_storm,

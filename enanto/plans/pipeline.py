@@ -115,7 +115,7 @@ def queries() -> dict:
         "phase_scrambled": lambda s, d: rounded(knees.phase_scrambled(points(s, d), S)),
         "eta_models": lambda s, d: rounded(_models(s, d)),
         "synthetic_pairs": lambda s, d: rounded(generate.synthetic_pairs(_models(s, d))),
-        "stressed_pairs": lambda s, d: rounded(generate.stressed(pairs(s, d)), nudge=3.1e-9),
+        "stressed_pairs": lambda s, d: rounded(generate.stressed(pairs(s, d))),
         "partition_counts": _partitioned,
         "validation_counts": _validation,
         "run_audit": _audit,
@@ -180,7 +180,7 @@ sp AS (SELECT case_id, f / {seg}.0::DOUBLE AS freq, avg(p) * CASE WHEN f IN (0,
             y AS (SELECT *, greatest(1e-8, (1 + sg * eta / 2) * (1 + {lap('L')})) AS l_, greatest(1e-8, (1 - sg * eta / 2) * (1 + {lap('R')})) AS r_, {_u('swap', 'k')} < 0.5 AS swapped FROM x)
             SELECT case_id, round(L, 6) AS "L", model, round(eta, 6) AS eta, round(CASE WHEN swapped THEN r_ ELSE l_ END, 6) AS "O_L", round(CASE WHEN swapped THEN l_ ELSE r_ END, 6) AS "O_R", swapped FROM y""",
         "stressed_pairs": f"""WITH {PAIRS}, x AS (SELECT case_id, date_trunc('hour', t)::TIMESTAMP AS t, L, greatest(1e-8, O_L * {g}) AS a, greatest(1e-8, O_R * {g}) AS b FROM pairs WHERE {_u('lost', '(' + key + ')')} >= 0.03)
-            SELECT case_id, t, round(L + 3.1e-9, 6) AS "L", round(CASE WHEN L > 40 THEN b ELSE a END + 3.1e-9, 6) AS "O_L", round(CASE WHEN L > 40 THEN a ELSE b END + 3.1e-9, 6) AS "O_R" FROM x""",
+            SELECT case_id, t, round(L, 6) AS "L", round(CASE WHEN L > 40 THEN b ELSE a END, 6) AS "O_L", round(CASE WHEN L > 40 THEN a ELSE b END, 6) AS "O_R" FROM x""",
         "partition_counts": """SELECT coalesce(domain, 'none') AS domain, t::DATE::VARCHAR AS day, count(*) AS n_rows FROM samples s LEFT JOIN cases c ON s.case_id = c.case_id
             WHERE s.case_id IS NOT NULL AND t IS NOT NULL AND L IS NOT NULL AND O IS NOT NULL AND isfinite(L) AND isfinite(O) AND hand IN ('L', 'R') GROUP BY 1, 2""",
         "validation_counts": """WITH k AS (SELECT count(DISTINCT hand) AS h FROM samples GROUP BY case_id, t, L)

@@ -94,6 +94,18 @@ SELECT sample_id, 'impossible' AS kind FROM e WHERE impossible
 UNION ALL SELECT sample_id, kind FROM e JOIN f ON e.case_id = f.case_id AND e.L = f.L AND e.hand = f.hand AND e.t = f.t WHERE NOT impossible"""
 
 
+_STEPS = """
+WITH y AS (SELECT a.load_id, l.domain, 'L' AS column_name, L AS v, CASE WHEN isfinite(L) THEN L END AS x FROM samples a LEFT JOIN loads l ON a.load_id = l.load_id
+  UNION ALL SELECT a.load_id, l.domain, 'O', O, CASE WHEN isfinite(O) AND NOT coalesce(O < o_min OR O > o_max, false) THEN O END FROM samples a LEFT JOIN loads l ON a.load_id = l.load_id LEFT JOIN domains d ON l.domain = d.domain),
+e AS (SELECT domain, column_name, coalesce((min(x) + max(x)) / 2, 0) AS c, CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / 2147483648 ELSE 1 END AS u FROM y GROUP BY 1, 2),
+q AS (SELECT y.*, c, u, round_even((x - c) / u, 0)::HUGEINT AS q FROM y JOIN e ON y.domain IS NOT DISTINCT FROM e.domain AND y.column_name = e.column_name),
+z AS (SELECT load_id, domain, column_name, any_value(c) AS c, any_value(u) AS u, count(*) AS n_rows, count(*) FILTER (v IS NULL OR isnan(v)) AS n_missing, count(*) FILTER (v IS NOT NULL AND NOT isnan(v) AND x IS NULL) AS n_violations,
+  count(DISTINCT v) AS n_distinct, count(q)::DOUBLE AS s0, sum(q) AS e1, sum(q * q) AS e2, sum(q)::DOUBLE AS s1, sum(q * q)::DOUBLE AS s2,
+  sum(((q * q) // 1073741824) * q)::DOUBLE * 1073741824 + sum(((q * q) % 1073741824) * q)::DOUBLE AS s3,
+  sum(((q * q) // 1073741824) * ((q * q) // 1073741824))::DOUBLE * 1152921504606846976 + sum(((q * q) // 1073741824) * ((q * q) % 1073741824))::DOUBLE * 2147483648 + sum(((q * q) % 1073741824) * ((q * q) % 1073741824))::DOUBLE AS s4
+  FROM q GROUP BY 1, 2, 3)"""
+
+
 def queries() -> dict:
     return {
         "p1_found": lambda s, d: parse.failed_lines(table(s, d, "raw_samples")),
@@ -101,18 +113,25 @@ def queries() -> dict:
         "p1_outcomes": lambda s, d: parse.failure_counts(table(s, d, "raw_samples")),
         "p2_found": lambda s, d: profile.load_findings(table(s, d, "samples"), table(s, d, "loads")),
         "p2_profile": lambda s, d: profile.column_profile(table(s, d, "samples")).select("load_id", "column_name", "n_rows", "n_missing", "n_violations", "n_distinct"),
-        "p2_moments": lambda s, d: profile.column_profile(table(s, d, "samples"), table(s, d, "loads"), table(s, d, "domains")),
-        "p2_shifts": lambda s, d: profile.standardised_shifts(table(s, d, "samples"), table(s, d, "loads"), table(s, d, "domains")),
+        "p2_moments": lambda s, d: _six(profile.column_profile(table(s, d, "samples"), table(s, d, "loads"), table(s, d, "domains")).where("column_name <> 'hand'").select("load_id", "column_name", "n_rows", "n_missing", "n_violations", "n_distinct", "mean", "std", "skewness", "kurtosis")),
+        "p2_ranges": lambda s, d: profile.column_profile(table(s, d, "samples"), table(s, d, "loads"), table(s, d, "domains")).select("load_id", "column_name", "min_value", "max_value", "q10_q50_q90"),
+        "p2_shifts": lambda s, d: _six(profile.standardised_shifts(table(s, d, "samples"), table(s, d, "loads"), table(s, d, "domains"))),
         "p3_found": lambda s, d: spikes.implausible_readings(table(s, d, "samples"), table(s, d, "cases"), table(s, d, "domains")),
         "p4_found": lambda s, d: grid.missing_slots(table(s, d, "samples"), table(s, d, "cases")),
         "p4_grid": lambda s, d: _rounded_grid(grid.regular_grid(table(s, d, "samples"), table(s, d, "cases"))),
     }
 
 
+def _six(df):
+    from pyspark.sql import functions as F
+
+    return df.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
 def _rounded_grid(df):
     from pyspark.sql import functions as F
 
-    return df.withColumn("value", F.round("value", 3))
+    return df.withColumn("value", F.round("value", 9))
 
 
 def oracle_sql() -> dict:
@@ -149,10 +168,19 @@ SELECT load_id, 'L' AS column_name, count(*) AS n_rows, count(*) FILTER (L IS NU
   count(*) FILTER (isinf(L)) AS n_violations, count(DISTINCT L) AS n_distinct FROM samples GROUP BY 1
 UNION ALL SELECT load_id, 'O', count(*), count(*) FILTER (O IS NULL OR isnan(O)), count(*) FILTER (isinf(O)), count(DISTINCT O) FROM samples GROUP BY 1
 UNION ALL SELECT load_id, 'hand', count(*), count(*) FILTER (hand IS NULL), count(*) FILTER (hand NOT IN ('L', 'R')), count(DISTINCT hand) FROM samples GROUP BY 1""",
+        "p2_moments": _STEPS
+        + """, m AS (SELECT *, s1 / nullif(s0, 0) AS a, greatest(s2 / nullif(s0, 0) - (s1 / nullif(s0, 0)) * (s1 / nullif(s0, 0)), 0) AS m2, s2 / nullif(s0, 0) AS b2, s3 / nullif(s0, 0) AS b3, s4 / nullif(s0, 0) AS b4 FROM z)
+            SELECT load_id, column_name, n_rows, n_missing, n_violations, n_distinct, round(a * u + c, 6) AS mean, round(CASE WHEN s0 > 0 THEN sqrt(m2) * u END, 6) AS std,
+              round((b3 - 3 * a * b2 + 2 * a * a * a) / nullif(pow(m2, 1.5), 0), 6) AS skewness, round((b4 - 4 * a * b3 + 6 * a * a * b2 - 3 * a * a * a * a) / nullif(m2 * m2, 0), 6) AS kurtosis FROM m""",
+        "p2_shifts": _STEPS
+        + """, w AS (SELECT *, (sum(s0) OVER v - s0) AS r0, (sum(coalesce(e1, 0)) OVER v - coalesce(e1, 0))::DOUBLE AS r1, (sum(coalesce(e2, 0)) OVER v - coalesce(e2, 0))::DOUBLE AS r2 FROM z WHERE load_id IS NOT NULL WINDOW v AS (PARTITION BY domain, column_name)),
+            m AS (SELECT *, coalesce(s1, 0) / nullif(s0, 0) AS a, r1 / nullif(r0, 0) AS b, greatest(coalesce(s2, 0) / nullif(s0, 0) - pow(coalesce(s1, 0) / nullif(s0, 0), 2), 0) AS va, greatest(r2 / nullif(r0, 0) - pow(r1 / nullif(r0, 0), 2), 0) AS vb FROM w)
+            SELECT load_id, domain, column_name, s0::BIGINT AS n_finite, n_violations, round(a * u + c, 6) AS mean, round(b * u + c, 6) AS mean_rest,
+              round(CASE WHEN s0 > 0 AND r0 > 0 THEN (a - b) / nullif(sqrt((va + vb) / 2), 0) END, 6) AS shift FROM m""",
         "p3_found": _spike_sql(),
         "p4_found": _P4 + "SELECT case_id, g AS slot_s FROM g WHERE g <> slot_s",
         "p4_grid": _P4
         + """SELECT case_id, g AS slot_s, CASE WHEN g = slot_s THEN 'observed' ELSE 'filled' END AS status,
-             round(CASE WHEN g = slot_s THEN o ELSE o + (n_o - o) * ((g - slot_s) + step_s / 2.0 - into_us / 1e6) / ((n_slot - slot_s) + n_into / 1e6 - into_us / 1e6) END, 3) AS value,
+             round(CASE WHEN g = slot_s THEN o ELSE o + (n_o - o) * ((g - slot_s) + step_s / 2.0 - into_us / 1e6) / ((n_slot - slot_s) + n_into / 1e6 - into_us / 1e6) END, 9) AS value,
              CASE WHEN g = slot_s THEN n_readings ELSE 0 END AS n_readings, (g = slot_s AND NOT near) AS break_after FROM g""",
     }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import spatial
 from ..session import table
-from .contrast import PAIRS, pairs, rounded
+from .contrast import PAIRS, half_up, pairs, rounded
 
 
 def _grid(s, d):
@@ -17,26 +17,22 @@ def _hours(s, d):
     return spatial.derived_grid(pairs(s, d), table(s, d, "cases"), composite=True)
 
 
-#: Readings have up to eight decimals, so means of a few of them fall on halves of the sixth; this doesn't.
-NUDGE = 3.1e-9
-
-
 def _events(s, d):
     return spatial.storm_centres(table(s, d, "cases"))
 
 
 def queries() -> dict:
     return {
-        "derived_grid": lambda s, d: rounded(_grid(s, d), nudge=NUDGE),
+        "derived_grid": _grid,
         "storm_centres": lambda s, d: _events(s, d),
-        "tiles": lambda s, d: rounded(spatial.tiles(_events(s, d), _grid(s, d)), nudge=NUDGE),
+        "tiles": lambda s, d: half_up(spatial.tiles(_events(s, d), _grid(s, d)), 9),
         "tangential_frames": lambda s, d: rounded(spatial.tangential_winds(_events(s, d), _grid(s, d))),
-        "mirror_lon": lambda s, d: rounded(spatial.mirrored(_hours(s, d)), nudge=NUDGE),
-        "parity_channels": lambda s, d: rounded(spatial.parity_channels(spatial.mirrored(_hours(s, d))).where("m_cell is not null").select("cell", "time", "speed_l", "speed_r", "eta_parity"), nudge=NUDGE),
+        "mirror_lon": lambda s, d: spatial.mirrored(_hours(s, d)),
+        "parity_channels": lambda s, d: rounded(spatial.parity_channels(spatial.mirrored(_hours(s, d))).where("m_cell is not null").select("cell", "time", "speed_l", "speed_r", "eta_parity")),
         "mirror_audit": lambda s, d: rounded(spatial.mirror_audit(spatial.mirrored(_hours(s, d)))),
         "axis_sensitivity": lambda s, d: rounded(spatial.axis_sensitivity(_hours(s, d), _events(s, d))),
         "axis_robustness": lambda s, d: rounded(spatial.axis_robustness(spatial.axis_sensitivity(_hours(s, d), _events(s, d)))),
-        "anomalies": lambda s, d: rounded(spatial.anomalies(_grid(s, d)), nudge=NUDGE),
+        "anomalies": lambda s, d: half_up(spatial.anomalies(_grid(s, d)), 9),
         "anomaly_audit": lambda s, d: rounded(spatial.anomaly_audit(_grid(s, d))),
         "offset_controls": lambda s, d: rounded(spatial.offset_controls(_events(s, d))),
         "matched_controls": lambda s, d: spatial.matched_controls(table(s, d, "cases")),
@@ -47,8 +43,8 @@ def queries() -> dict:
 
 
 _GRID = PAIRS + """,
-grid AS (SELECT pairs.case_id AS cell, lat0 AS lat, lon0 AS lon, date_trunc('hour', t)::TIMESTAMP AS time, avg(X_plus) AS u10, avg(X_minus) AS v10, count(*) AS n
-  FROM pairs JOIN cases ON pairs.case_id = cases.case_id WHERE lat0 IS NOT NULL AND lon0 IS NOT NULL GROUP BY 1, 2, 3, 4)"""
+grid AS (SELECT pairs.case_id AS cell, lat0 AS lat, lon0 AS lon, date_trunc('hour', t)::TIMESTAMP AS time, sum(X_plus::DECIMAL(28, 12))::DOUBLE / count(*) AS u10, sum(X_minus::DECIMAL(28, 12))::DOUBLE / count(*) AS v10, count(*) AS n
+  FROM pairs JOIN cases ON pairs.case_id = cases.case_id WHERE lat0 IS NOT NULL AND lon0 IS NOT NULL AND try_cast(X_plus AS DECIMAL(28, 12)) IS NOT NULL AND try_cast(X_minus AS DECIMAL(28, 12)) IS NOT NULL GROUP BY 1, 2, 3, 4)"""
 _HOURS = _GRID.replace("date_trunc('hour', t)::TIMESTAMP", "TIMESTAMP '2000-01-01' + to_hours(hour(t))")
 _EVENTS = """
 events AS (SELECT case_id, domain, case_type AS event_label, lat0, lon0, onset_time, floor(abs(lat0) / 5) * 5 AS lat_band
@@ -92,26 +88,26 @@ def oracle_sql() -> dict:
         left_e, left_c = f"ev{i}", f"co{i}"
         parts.append(f"SELECT * FROM h{i}")
     return {
-        "derived_grid": f"WITH {_GRID} SELECT cell, round((lat) + 3.1e-9, 6) AS lat, round((lon) + 3.1e-9, 6) AS lon, time, round((u10) + 3.1e-9, 6) AS u10, round((v10) + 3.1e-9, 6) AS v10, n FROM grid",
+        "derived_grid": f"WITH {_GRID} SELECT cell, lat, lon, time, u10, v10, n FROM grid",
         "storm_centres": f"WITH {_EVENTS} SELECT * FROM events",
-        "tiles": f"""WITH {_GRID},{_EVENTS} SELECT case_id, half::DOUBLE AS half, time, round((avg(u10)) + 3.1e-9, 6) AS u_mean, round((avg(v10)) + 3.1e-9, 6) AS v_mean, round((avg(sqrt(u10 * u10 + v10 * v10))) + 3.1e-9, 6) AS speed_mean,
-            round((max(sqrt(u10 * u10 + v10 * v10))) + 3.1e-9, 6) AS speed_max, count(*) AS n_cells FROM events JOIN grid ON time BETWEEN onset_time - INTERVAL 240 HOUR AND onset_time + INTERVAL 240 HOUR
+        "tiles": f"""WITH {_GRID},{_EVENTS} SELECT case_id, half::DOUBLE AS half, time, floor(avg(u10) * 1e9 + 0.5) / 1e9 AS u_mean, floor(avg(v10) * 1e9 + 0.5) / 1e9 AS v_mean, floor(avg(sqrt(u10 * u10 + v10 * v10)) * 1e9 + 0.5) / 1e9 AS speed_mean,
+            floor(max(sqrt(u10 * u10 + v10 * v10)) * 1e9 + 0.5) / 1e9 AS speed_max, count(*) AS n_cells FROM events JOIN grid ON time BETWEEN onset_time - INTERVAL 240 HOUR AND onset_time + INTERVAL 240 HOUR
             CROSS JOIN (SELECT unnest([5.0, 15.0, 45.0]) AS half) WHERE abs(lat - lat0) <= half AND abs(lon - lon0) <= half GROUP BY 1, 2, 3""",
         "tangential_frames": f"""WITH {_GRID},{_EVENTS}, a AS (SELECT case_id, time, u10, v10, radians(lat) AS la, radians(lat0) AS l0, radians(lon) - radians(lon0) AS dl FROM events
               JOIN grid ON time BETWEEN onset_time - INTERVAL 240 HOUR AND onset_time + INTERVAL 240 HOUR AND abs(lat - lat0) <= 15 AND abs(lon - lon0) <= 15),
             b AS (SELECT *, cos(la) * sin(dl) AS ea, cos(l0) * sin(la) - sin(l0) * cos(la) * cos(dl) AS no FROM a),
             n AS (SELECT *, CASE WHEN sqrt(ea * ea + no * no) > 1e-12 THEN sqrt(ea * ea + no * no) ELSE 1 END AS nm FROM b)
             SELECT case_id, time, round(avg(u10 * -no / nm + v10 * ea / nm), 6) AS along, round(avg(u10 * ea / nm + v10 * no / nm), 6) AS across, count(*) AS n_cells FROM n GROUP BY 1, 2""",
-        "mirror_lon": f"""WITH {_HOURS}{_mirror('180.0')} SELECT cell, time, round((lat) + 3.1e-9, 6) AS lat, round((lon) + 3.1e-9, 6) AS lon, round((u10) + 3.1e-9, 6) AS u10, round((v10) + 3.1e-9, 6) AS v10, m_cell, round((m_lon) + 3.1e-9, 6) AS m_lon, round((m_dist) + 3.1e-9, 6) AS m_dist,
-            round((u10_mirror) + 3.1e-9, 6) AS u10_mirror, round((v10_mirror) + 3.1e-9, 6) AS v10_mirror FROM mir""",
-        "parity_channels": f"""WITH {_HOURS}{_mirror('180.0')} SELECT cell, time, round((sqrt(u10 * u10 + v10 * v10)) + 3.1e-9, 6) AS speed_l, round((sqrt(u10_mirror * u10_mirror + v10_mirror * v10_mirror)) + 3.1e-9, 6) AS speed_r, round(({_ETA}) + 3.1e-9, 6) AS eta_parity
+        "mirror_lon": f"""WITH {_HOURS}{_mirror('180.0')} SELECT cell, time, lat AS lat, lon AS lon, u10 AS u10, v10 AS v10, m_cell, m_lon AS m_lon, m_dist AS m_dist,
+            u10_mirror AS u10_mirror, v10_mirror AS v10_mirror FROM mir""",
+        "parity_channels": f"""WITH {_HOURS}{_mirror('180.0')} SELECT cell, time, round(sqrt(u10 * u10 + v10 * v10), 6) AS speed_l, round(sqrt(u10_mirror * u10_mirror + v10_mirror * v10_mirror), 6) AS speed_r, round({_ETA}, 6) AS eta_parity
             FROM mir WHERE m_cell IS NOT NULL""",
         "mirror_audit": f"""WITH {_HOURS}{_mirror('180.0')} SELECT count(*) AS n_rows, count(m_dist) AS n_hits, round(avg((m_dist IS NOT NULL)::INT), 6) AS hit_rate, round(avg(m_dist), 6) AS dist_mean, round(min(m_dist), 6) AS dist_min,
             round(max(m_dist), 6) AS dist_max, {', '.join(f'count(*) FILTER (m_dist >= {a} AND m_dist < {b}) AS bin_{i}' for i, (a, b) in enumerate(zip((0, 1, 2, 5, 10, 20), (1, 2, 5, 10, 20, 1e300))))} FROM mir""",
         "axis_sensitivity": _AXES + " SELECT lon0, n_hits, round(event_mean, 6) AS event_mean, round(background_mean, 6) AS background_mean, round(event_mean - background_mean, 6) AS contrast FROM sens",
         "axis_robustness": _AXES + """, c AS (SELECT lon0, event_mean - background_mean AS c FROM sens WHERE event_mean - background_mean IS NOT NULL)
             SELECT count(*) AS n_axes, round(stddev_pop(c), 6) AS contrast_std, round(abs(avg(sign(c))), 6) AS sign_consistency, round(regr_slope(c, lon0), 6) AS slope, arg_max(lon0, c) AS lon0_max, arg_min(lon0, c) AS lon0_min FROM c""",
-        "anomalies": f"WITH {_GRID}, {_anom('hour(time)', 'month(time)', 'a')} SELECT cell, time, round((u_anom) + 3.1e-9, 6) AS u_anom, round((v_anom) + 3.1e-9, 6) AS v_anom, bin_count FROM a",
+        "anomalies": f"WITH {_GRID}, {_anom('hour(time)', 'month(time)', 'a')} SELECT cell, time, floor(u_anom * 1e9 + 0.5) / 1e9 AS u_anom, floor(v_anom * 1e9 + 0.5) / 1e9 AS v_anom, bin_count FROM a",
         "anomaly_audit": f"""WITH {_GRID}, {_anom('hour(time)', 'month(time)', 'a1')}, {_anom('dayofyear(time)', '0', 'a2')}, {_anom('0', '0', 'a3')},
             u AS (SELECT 'lat_hour' AS mode, 0 AS i, * FROM a1 UNION ALL SELECT 'lat_day', 1, * FROM a2 UNION ALL SELECT 'none', 2, * FROM a3),
             g AS (SELECT mode, i, median(bin_count) AS bm, avg((bin_count >= 3)::INT) AS cov, sqrt(avg(u_anom * u_anom)) AS ur, sqrt(avg(v_anom * v_anom)) AS vr FROM u GROUP BY 1, 2)

@@ -1,4 +1,4 @@
-"""python -m enanto.cli validate|prepare|run|audit|report PATH ...: dataset folders from the command line."""
+"""python -m enanto.cli validate|prepare|run|audit|report|diagnose|schema|calibrate PATH ...: dataset folders from the command line."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ import sys
 from pyspark.sql import functions as F
 
 from .functions.aggregates import median
-from .operators import curve, knees, pairing
-from .session import build_session
+from .operators import curve, evaluation, knees, pairing
+from .session import build_session, drop_scratch
 from .sources import datasets
 
 
@@ -61,6 +61,30 @@ def run(spark, path: str, out: str, overrides: dict | None = None) -> dict:
     return meta
 
 
+def diagnose(spark, path: str) -> dict:
+    """What a dataset has: rows, cases, sizes, instants, hands, keys with both hands, and how many sizes a case has at least."""
+    d = datasets.load_dataset(spark, path)
+    x = d.samples
+    n = x.agg(F.count("*").alias("n_rows"), F.count_distinct("case_id").alias("n_cases"), F.count_distinct("L").alias("n_sizes"), F.count_distinct("t").alias("n_times"), F.count_if(F.col("O").isNull() | F.isnan("O")).alias("n_no_observable")).first()
+    keys = pairing.completeness(_numbered(x)).agg(F.sum("n_keys").alias("n_keys"), F.sum("n_complete").alias("n_complete")).first()
+    sizes = x.groupBy("case_id").agg(F.count_distinct("L").alias("k")).agg(F.min("k").alias("fewest_sizes")).first()
+    return {"dataset": d.spec["id"], "domain": d.spec["domain"], **n.asDict(), **keys.asDict(), **sizes.asDict()}
+
+
+def calibrate(spark, table: str, out: str) -> dict:
+    """The thresholds that separate the runs of a results table best, written as JSON."""
+    best = evaluation.best_thresholds(evaluation.runs(datasets.read_table(spark, table))).collect()
+    found = best[0].asDict() if best else {}
+    datasets.write_json(found, out)
+    return found
+
+
+def schema(spark, path: str) -> dict:
+    """Canonical columns of a dataset with their types and the columns they come from."""
+    d = datasets.load_dataset(spark, path)
+    return {"columns": {f.name: f.dataType.simpleString() for f in d.samples.schema}, "roles": d.roles}
+
+
 def audit(spark, out: str) -> dict:
     """Decision and reasons of a finished run."""
     r = spark.read.parquet(os.path.join(out, "results.parquet"))
@@ -109,6 +133,11 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("out")
     h = sub.add_parser("report")
     h.add_argument("out")
+    for name in ("diagnose", "schema"):
+        sub.add_parser(name).add_argument("path")
+    k = sub.add_parser("calibrate")
+    k.add_argument("table")
+    k.add_argument("--out", required=True)
     c = sub.add_parser("prepare")
     c.add_argument("table")
     c.add_argument("--out", required=True)
@@ -126,12 +155,18 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(run(spark, ns.path, ns.out), default=str))
         elif ns.command == "report":
             report(spark, ns.out)
+        elif ns.command in ("diagnose", "schema"):
+            print(json.dumps({"diagnose": diagnose, "schema": schema}[ns.command](spark, ns.path), default=str))
+        elif ns.command == "calibrate":
+            print(json.dumps(calibrate(spark, ns.table, ns.out), default=str))
         else:
             print(json.dumps(audit(spark, ns.out), default=str))
         return 0
     except datasets.DatasetError as e:
         print(e, file=sys.stderr)
         return 2
+    finally:
+        drop_scratch(spark)
 
 
 if __name__ == "__main__":

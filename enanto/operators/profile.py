@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..session import written
 
 NUMERIC = ("L", "O")
 HAND_PATTERN = r"\A[LR]\z"
@@ -239,6 +240,7 @@ def load_findings(samples: DataFrame, loads: DataFrame) -> DataFrame:
         share(F.col("hand_left"), F.col("hand_left") + F.col("hand_right")).alias("hand_left_share"),
         *points,
     )
+    x = written(x, "load-stats")  # one row a load, met twice below
     compared = [c for c in x.columns if c not in ("load_id", "domain", "hand_left_share")]
     usual = x.groupBy(F.col("domain").alias("__domain")).agg(*[F.median(c).alias(f"m_{c}") for c in compared])
     j = x.join(usual, F.col("domain").eqNullSafe(F.col("__domain")))

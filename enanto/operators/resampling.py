@@ -109,14 +109,23 @@ def time_shuffle(readings: DataFrame) -> DataFrame:
 
 
 def bootstrap_slopes(points: DataFrame, series: str, n: int = 50, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the least-squares slope over n resamples of each series' points (some tens each)."""
-    x = replicates(points.select(series, "i", "n_points"), n)
-    x = x.withColumn("j", draw(F.col(series), F.col("rep"), F.col("i")) % F.col("n_points"))
-    src = points.select(F.col(series).alias("__s"), F.col("i").alias("__i"), "x", "y")
-    j = x.join(src, (F.col(series) == F.col("__s")) & (F.col("j") == F.col("__i")))
-    slope = j.groupBy(series, "rep").agg(F.regr_slope("y", "x").alias("slope"))
+    """Percentile interval of the least-squares slope over n resamples of each series' points (some tens each).
+
+    A resample is drawn from the array of its series' points, so nothing is joined back.
+    """
+    curves = points.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("p"))  # one curve
+    size = F.size("p")
+    x = replicates(curves, n)
+    drawn = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get("p", (draw(F.col(series), F.col("rep"), i) % size).cast("int")))
+    x = x.select(series, "rep", size.cast("double").alias("n"), drawn.alias("d"))
+    total = lambda f: F.aggregate("d", F.lit(0.0), lambda t, e: t + f(e))
+    x = x.select(series, "rep", "d", (total(lambda e: e["x"]) / F.col("n")).alias("mx"), (total(lambda e: e["y"]) / F.col("n")).alias("my"))
+    dx = lambda e: e["x"] - F.col("mx")
+    varies = F.array_min(F.transform("d", lambda e: e["x"])) < F.array_max(F.transform("d", lambda e: e["x"]))
+    slope = F.when(varies, total(lambda e: dx(e) * (e["y"] - F.col("my"))) / total(lambda e: dx(e) * dx(e)))
     q = F.percentile("slope", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    return slope.where("slope is not null").groupBy(series).agg(F.count("*").alias("n_reps"), q.alias("q")).select(series, "n_reps", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
+    g = x.select(series, slope.alias("slope")).where("slope is not null").groupBy(series).agg(F.count("*").alias("n_reps"), q.alias("q"))
+    return g.select(series, "n_reps", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
 
 
 def block_bootstrap(points: DataFrame, series: str, n: int = 10) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import median
 from ..functions.scalars import finite, null_nan
-from ..operators import curve, grid, knees, nulls, pairing, spatial
+from ..operators import curve, evaluation, grid, knees, nulls, pairing, spatial
 from ..session import table, written
-from . import spatial as spatial_plans
+from . import extra, spatial as spatial_plans
 from .contrast import HINGE, LINE, PAIRS, POINTS, S, half_up, pairs, points, rounded
-from .evaluation import _RUNS, _runs
+from .evaluation import _RUNS, _runs, BOUNDARY, BUFFER
 
 FIRST_DAY, LAST_DAY = "2001-01-20", "2001-02-03"
 # Limits of the reports.
@@ -274,8 +274,56 @@ def _commutation_summary(s, d):
     return rounded(c.agg(F.count("*").alias("n_cells"), F.avg(F.col("commute_pass").cast("double")).alias("pass_rate"), *mid))
 
 
+# -- summaries of agreement, splits and strata -------------------------------------------------------------------------
+
+
+def _mode_agreement(s, d):
+    """Of the runs with a candidate in every mode, how many agree, by the domain of the run."""
+    m = extra._mode_acceptance(s, d).where("n_modes = 2").join(_runs(s, d).select(F.col("run_id").alias("__r"), "domain"), F.col("run_id") == F.col("__r"))
+    g = m.groupBy("domain").agg(F.count("*").alias("n_runs"), F.avg((F.col("disagreement") <= extra.AGREE).cast("double")).alias("agreement_rate"), F.avg(F.col("accepted").cast("double")).alias("accepted_rate"))
+    return rounded(g)
+
+
+def _ks_cases(s, d):
+    """Left against right readings of each case: exact distance."""
+    return rounded(evaluation.ks_distance(pairing.fit_readings(table(s, d, "samples")), "case_id", F.col("O"), F.col("hand") == "L"))
+
+
+def _split_overlaps(s, d):
+    """Per storm with a split case: cases of each side, and whether the storm is on both (a leak) or has a test case too near."""
+    split = evaluation.blocked_split(table(s, d, "cases"), BOUNDARY, BUFFER)
+    names = table(s, d, "cases").where("case_id is not null").groupBy(F.col("case_id").alias("__c")).agg(F.min("storm_id").alias("storm_id"))
+    gaps = evaluation.split_gaps(split).groupBy(F.col("case_id").alias("__g")).agg(F.min("gap_hours").alias("gap"))
+    x = split.join(names, F.col("case_id") == F.col("__c")).join(gaps, F.col("case_id") == F.col("__g"), "left").where("storm_id is not null")
+    g = x.groupBy("storm_id").agg(*[F.count_if(F.col("split") == k).alias(f"n_{k}") for k in ("train", "test", "buffer")], F.count_if(F.col("gap") < 24.0 * BUFFER).alias("n_too_near"))
+    return g.withColumn("mixed", (F.col("n_train") > 0) & (F.col("n_test") > 0))
+
+
+def _strata_metrics(s, d):
+    """Per stratum of cases: cases with pairs, median of their mean contrast, mean sign consistency, and pairs."""
+    p = pairs(s, d).groupBy("case_id").agg(F.count("*").alias("n"), F.avg("eta").alias("eta"), F.abs(F.avg(F.signum("signed_parity"))).alias("sign"))
+    t = F.col("case_type")
+    labels = F.array_compact(F.array(F.lit("all"), F.when(t.isin("storm", "near_storm"), F.lit("events")), F.when(t == "near_storm", F.lit("near_storm_only")), F.when(t == "control", F.lit("far_nonstorm"))))
+    c = table(s, d, "cases").where("case_id is not null").select(F.col("case_id").alias("__c"), F.explode(labels).alias("stratum"))
+    g = p.join(c, F.col("case_id") == F.col("__c")).groupBy("stratum").agg(F.count("*").alias("n_cases"), median(F.col("eta")).alias("eta_median"), F.avg("sign").alias("sign_consistency"), F.sum("n").alias("n_pairs"))
+    return rounded(g)
+
+
+def _case_flags(s, d):
+    """Each case's kind as flags, its storm (its own id where it has none) and its first and last reading."""
+    at = table(s, d, "samples").where("case_id is not null").groupBy(F.col("case_id").alias("__c")).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    c = table(s, d, "cases").where("case_id is not null")
+    flag = lambda k: F.coalesce((F.col("case_type") == k).cast("int"), F.lit(0)).alias(k)
+    return c.join(at, F.col("case_id") == F.col("__c"), "left").select("case_id", *[flag(k) for k in ("storm", "near_storm", "control")], F.coalesce("storm_id", "case_id").alias("storm_id"), "first_t", "last_t")
+
+
 def queries() -> dict:
     return {
+        "mode_agreement": _mode_agreement,
+        "ks_cases": _ks_cases,
+        "split_overlaps": _split_overlaps,
+        "strata_metrics": _strata_metrics,
+        "case_flags": _case_flags,
         "null_direction": _null("direction"),
         "null_time_permutation": _null("time_permutation"),
         "null_latitude_mirror": _null("latitude_mirror"),
@@ -329,6 +377,21 @@ def oracle_sql() -> dict:
     nine = "CASE WHEN len(v) = 9 THEN list_sum(list_transform(range(1, 10), lambda i: v[i] * {}[i])) END"
     spiral = lambda right: "[" + ", ".join(f"sin(atan2({y}.0, {x}.0) + sqrt({x * x + y * y}.0))" for y in (-1, 0, 1) for x in ((1, 0, -1) if right else (-1, 0, 1))) + "]"
     return {
+        "mode_agreement": extra.oracle_sql()["mode_acceptance"].replace("WITH ", f"WITH {_RUNS}, acc AS (WITH ", 1)
+        + ") SELECT domain, count(*) AS n_runs, round(avg((disagreement <= 0.35)::INT), 6) AS agreement_rate, round(avg(accepted::INT), 6) AS accepted_rate FROM acc JOIN runs ON acc.run_id = runs.run_id WHERE n_modes = 2 GROUP BY 1",
+        "ks_cases": f"""WITH k AS (SELECT case_id, O AS v, count(*) FILTER (hand = 'L') AS a, count(*) FILTER (hand = 'R') AS b FROM samples WHERE {_FIT} GROUP BY 1, 2),
+            u AS (SELECT case_id, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER c AS na, sum(b) OVER c AS nb FROM k WINDOW w AS (PARTITION BY case_id ORDER BY v), c AS (PARTITION BY case_id))
+            SELECT case_id, max(na)::BIGINT AS n_first, max(nb)::BIGINT AS n_second, round(max(abs(ca / nullif(na, 0) - cb / nullif(nb, 0))), 6) AS ks FROM u GROUP BY 1""",
+        "split_overlaps": f"""WITH s AS (SELECT case_id, domain, storm_id, onset_time, CASE WHEN onset_time < TIMESTAMP '{BOUNDARY}' - INTERVAL {BUFFER} DAY THEN 'train' WHEN onset_time >= TIMESTAMP '{BOUNDARY}' + INTERVAL {BUFFER} DAY THEN 'test' ELSE 'buffer' END AS split
+              FROM cases WHERE onset_time IS NOT NULL),
+            g AS (SELECT a.case_id, min(abs(epoch_us(a.onset_time) - epoch_us(b.onset_time)) / 3.6e9) AS gap FROM s a JOIN s b ON a.domain = b.domain AND b.split = 'train' WHERE a.split = 'test' GROUP BY 1)
+            SELECT storm_id, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split = 'buffer') AS n_buffer, count(*) FILTER (gap < 24.0 * {BUFFER}) AS n_too_near,
+              count(*) FILTER (split = 'train') > 0 AND count(*) FILTER (split = 'test') > 0 AS mixed FROM s LEFT JOIN g ON s.case_id = g.case_id WHERE storm_id IS NOT NULL GROUP BY 1""",
+        "strata_metrics": f"""WITH {PAIRS}, m AS (SELECT case_id, count(*) AS n, avg(eta) AS eta, abs(avg(sign(signed_parity))) AS sg FROM pairs GROUP BY 1),
+            c AS (SELECT case_id, unnest(list_filter(['all', CASE WHEN case_type IN ('storm', 'near_storm') THEN 'events' END, CASE WHEN case_type = 'near_storm' THEN 'near_storm_only' END, CASE WHEN case_type = 'control' THEN 'far_nonstorm' END], lambda v: v IS NOT NULL)) AS stratum FROM cases)
+            SELECT stratum, count(*) AS n_cases, round(median(eta), 6) AS eta_median, round(avg(sg), 6) AS sign_consistency, sum(n)::BIGINT AS n_pairs FROM m JOIN c ON m.case_id = c.case_id GROUP BY 1""",
+        "case_flags": """SELECT c.case_id, coalesce((case_type = 'storm')::INT, 0) AS storm, coalesce((case_type = 'near_storm')::INT, 0) AS near_storm, coalesce((case_type = 'control')::INT, 0) AS control, coalesce(storm_id, c.case_id) AS storm_id, first_t, last_t
+            FROM cases c LEFT JOIN (SELECT case_id, min(t) AS first_t, max(t) AS last_t FROM samples GROUP BY 1) s ON c.case_id = s.case_id WHERE c.case_id IS NOT NULL""",
         "null_direction": f"""WITH {_X}, f AS (SELECT *, ('0x' || substr(md5('42:dir:' || k), 1, 7))::BIGINT % 2 = 1 AS flip FROM x)
             SELECT case_id, t, domain, L AS "L", CASE WHEN flip THEN O_R ELSE O_L END AS "O_L", CASE WHEN flip THEN O_L ELSE O_R END AS "O_R" FROM f""",
         "null_time_permutation": f"""WITH {_X}, a AS (SELECT *, {_side('O_L')} FROM x), b AS (SELECT *, {_side('O_R')} FROM x)

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import curve, diagnostics, evaluation, generate, grid, knees, pairing, resampling
-from ..session import scratch_dir, table, written
+from ..session import tables_dir, table, written
 from ..streaming import slices
 from .contrast import PAIRS, POINTS, S, pairs, points, rounded
 from .quality import _P4
@@ -64,7 +64,7 @@ def _partitioned(s, d):
     """Samples written in directories by domain and day, then counted from what was written."""
     x = pairing.with_domain(pairing.fit_readings(table(s, d, "samples")), table(s, d, "cases"))
     x = x.select("sample_id", "O", F.coalesce("domain", F.lit("none")).alias("domain"), F.to_date("t").cast("string").alias("day"))
-    path = f"{scratch_dir(s)}/enanto-tables/partitioned-{uuid.uuid4().hex}"
+    path = f"{tables_dir(s)}/partitioned-{uuid.uuid4().hex}"
     x.repartition("domain", "day").write.mode("overwrite").partitionBy("domain", "day").parquet(path)
     back = s.read.schema("sample_id bigint, O double, domain string, day string").parquet(path)
     return back.groupBy("domain", "day").agg(F.count("*").alias("n_rows"))

@@ -57,7 +57,7 @@ def apply_groups(df: DataFrame, keys: list[str], function, schema: str) -> DataF
     return df.repartition(kernel_partitions(df.sparkSession), *keys).groupBy(*keys).applyInPandas(function, schema)
 
 
-def kernel_partitions(spark: SparkSession, n_rows: int = 0, most: int = 250_000) -> int:
+def kernel_partitions(spark: SparkSession, n_rows: int = 0, most: int = 100_000) -> int:
     """As many partitions as the session sets, more where that would give a task over ``most`` of ``n_rows``: rows that
     are few and small may still be much work in Python, so they aren't put together by their size."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // most))
@@ -77,21 +77,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one, which has to be there whatever executors are lost."""
+    return f"{scratch_dir(spark)}/enanto-tables/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back, which cuts its lineage.
 
-    The table outlives the executors that wrote it; :func:`drop_scratch` removes all such tables of a session.
+    The table outlives the executors that wrote it; :func:`drop_scratch` removes all such tables of an application.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/enanto-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every table :func:`written` has left in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/enanto-tables")
+    """Delete every table :func:`written` has left in the shared folder; nothing where no folder is set."""
+    try:
+        at = tables_dir(spark)
+    except ValueError:
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

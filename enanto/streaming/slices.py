@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from ..session import tables_dir
 
 
 def arriving(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +25,7 @@ def run_appended(df: DataFrame, name: str) -> DataFrame:
     A batch writes its own folder, so one that is run again after a failure replaces what it had written.
     """
     spark = df.sparkSession
-    base = f"{scratch_dir(spark)}/enanto-tables/{name}-{uuid.uuid4().hex}"
+    base = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     spark.createDataFrame([], df.schema).write.parquet(f"{base}/table/batch=none")
 
     def keep(batch: DataFrame, i: int) -> None:

@@ -26,6 +26,14 @@ def test_dataset_round_trip_and_commands(spark, tmp_path):
     assert 0.5 < meta["gamma"] < 1.4
     assert cli.audit(spark, str(tmp_path / "out"))["decision"] in ("accept", "reject")
     assert json.load(open(tmp_path / "out/metadata.json"))["dataset"] == "one"
+    n = cli.diagnose(spark, d)
+    assert (n["n_rows"], n["n_cases"], n["n_sizes"], n["n_keys"], n["n_complete"], n["fewest_sizes"]) == (96, 1, 8, 48, 48, 8)
+    assert cli.schema(spark, d)["columns"]["L"] == "double"
+    assert cli.calibrate(spark, f"{SMALL}/results.parquet", str(tmp_path / "limits.json")) == json.load(open(tmp_path / "limits.json"))
+    twice = str(tmp_path / "twice")
+    datasets.write_dataset(datasets.load_dataset(spark, d).samples.unionByName(datasets.load_dataset(spark, d).samples.limit(1)), twice, "custom", "two")
+    with pytest.raises(datasets.DatasetError, match="more than one reading"):
+        cli.run(spark, twice, str(tmp_path / "out2"))
     page = cli.report(spark, str(tmp_path / "out"))
     assert page.count("<circle") == 8 and page.count("<tr>") == 9
 

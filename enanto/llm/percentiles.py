@@ -26,22 +26,33 @@ POINTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 EPSILON = 0.001
 
 
+def _differs(col: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before it; null equals null and NaN equals NaN."""
+    a, b = col[1:], col[:-1]
+    out = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+    if pa.types.is_floating(col.type):
+        out &= ~pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False).to_numpy(zero_copy_only=False)
+    return out
+
+
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the running count of each group within this partition; groups are contiguous."""
-    last, total = None, 0
+    """Adds the running count of each group (columns __g0..) within this partition; groups are contiguous."""
+    last: list[pa.Array] | None = None
+    total = 0
     for b in batches:
         if not len(b):
             continue
-        key, c = b["__key"], b["__c"].to_numpy()
-        new = np.ones(len(b), bool)
-        new[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
-        new[0] = key[0].as_py() != last
+        keys, c = [b[n] for n in b.schema.names if n.startswith("__g")], b["__c"].to_numpy()
+        new = np.zeros(len(b), bool)
+        for k in keys:
+            new[1:] |= _differs(k)
+        new[0] = last is None or any(_differs(pa.concat_arrays([x, k[:1]]))[0] for x, k in zip(last, keys))
         run = np.cumsum(c)
         base = np.where(new, run - c, 0)
         start = np.maximum.accumulate(np.where(new, np.arange(len(b)), 0))
         carried = np.cumsum(new) == 0
         upto = run - np.where(carried, -total, base[start])
-        last, total = key[-1].as_py(), int(upto[-1])
+        last, total = [k[-1:] for k in keys], int(upto[-1])
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(upto, pa.int64())], names=[*b.schema.names, "__upto"])
 
 
@@ -63,10 +74,9 @@ class SortedRuns:
         x = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(groups, self.g)], v.alias("__v"), w.alias("__w"))
         x = x.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
         x = x.groupBy(*self.g, "__v").agg(F.sum("__w").alias("__c"))
-        key = F.to_json(F.struct(*self.g), {"ignoreNullFields": "false"}) if self.g else F.lit("")
-        x = x.repartitionByRange(*self.g, "__v").sortWithinPartitions(*self.g, "__v").select("*", key.alias("__key"), F.spark_partition_id().alias("__pid"))
+        x = x.repartitionByRange(*self.g, "__v").sortWithinPartitions(*self.g, "__v").select("*", F.spark_partition_id().alias("__pid"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema) + ", `__upto` bigint"
-        self.rows = written(map_arrow(x, _running, schema).drop("__key"), "runs")
+        self.rows = written(map_arrow(x, _running, schema), "runs")
 
     def parts(self) -> DataFrame:
         """Per partition and group: offset of the group's rows before it, and the group's total n."""

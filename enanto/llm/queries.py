@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import table, written
 from . import leakage, packing, percentiles, spans
 
 _RESULTS, _LOADS = ["test_name"], ["load_id"]
@@ -29,6 +29,31 @@ def _whole_l(s, d):
     return _nine(runs.percentiles()).join(w, F.col("p") == F.col("__p")).drop("__p")
 
 
+def _bounds(s, d):
+    """Whether each combined percentile's rank lies within its stated bound, counted over all values."""
+    c = _combined(s, d).select(F.col("test_name").alias("__g"), "p", "value", "n", "rank_error")
+    x = table(s, d, "results").where(F.col("eta").isNotNull() & ~F.isnan("eta")).select("test_name", "eta")
+    j = x.join(c, F.col("test_name").eqNullSafe(F.col("__g")))
+    g = j.groupBy("test_name", "p", "n", "value", "rank_error").agg(F.count_if(F.col("eta") < F.col("value")).alias("below"), F.count_if(F.col("eta") <= F.col("value")).alias("upto"))
+    at, room = F.col("p") * (F.col("n") - 1), F.col("rank_error") * F.col("n") + 1
+    return g.select("test_name", "p", "n", ((F.col("below") - at <= room) & (at - F.col("upto") <= room)).alias("within"), (F.col("rank_error") <= percentiles.EPSILON).alias("bounded"))
+
+
+def _invariants(s, d):
+    """What any packing must keep: no container over capacity, every text's tokens once and in order, only long ones split."""
+    p = written(packing.pack(table(s, d, "documents")), "packed")
+    over = p.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > packing.CAPACITY).alias("containers_over"))
+    pieces = p.groupBy("doc_id").agg(F.count("*").alias("k"), F.count_distinct("piece").alias("d"), F.max("piece").alias("last"), F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    broken = (F.col("k") != F.col("d")) | (F.col("last") != F.col("k") - 1) | (F.col("n") != F.col("end")) | (F.col("k") != F.greatest(F.lit(1), F.ceil(F.col("n") / packing.CAPACITY)))
+    docs = pieces.agg(F.count("*").alias("n_documents"), F.count_if(broken).alias("texts_broken"))
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    return one(docs).join(one(over), "__one").drop("__one")  # one row each
+
+
+def _verbatim(s, d):
+    return leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
 def _clean(s, d):
     kept = leakage.clean_documents(table(s, d, "documents"), table(s, d, "eval_items"))
     return kept.select("doc_id", "page_id", "lang", F.length("text").cast("long").alias("n_chars"))
@@ -41,9 +66,12 @@ def queries() -> dict:
         "p5_loads": lambda s, d: _nine(percentiles.percentiles(table(s, d, "samples"), _LOADS, "L")),
         "p5_combined": _combined,
         "p5_combined_loads": _whole_l,
+        "p5_bounds": _bounds,
         "p6_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "p6_quality": lambda s, d: packing.pack_quality(packing.pack(table(s, d, "documents"))),
         "p7_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
+        "p6_invariants": _invariants,
+        "p7_verbatim": _verbatim,
         "p7_matches": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p7_clean": _clean,
         "p8_found": lambda s, d: spans.sharing_pages(table(s, d, "documents")),
@@ -68,8 +96,22 @@ m AS (SELECT h FROM w GROUP BY 1 HAVING min(page_id) < max(page_id)),
 s AS (SELECT DISTINCT doc_id, page_id, i, w.h FROM w JOIN m ON w.h = m.h)"""
 
 
+def _word_list(text: str) -> str:
+    """The compared words of a text in SQL, as :func:`.leakage.words` takes them."""
+    for pattern in ("<[^<>]*>", r"\[\[[^\[\]|]*\|", "''''+", "&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"):
+        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
+    return rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')"
+
+
 def oracle_sql() -> dict:
     return {
+        "p5_bounds": """SELECT test_name, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS p, n, true AS within, true AS bounded
+            FROM (SELECT test_name, count(*) AS n FROM results WHERE eta IS NOT NULL AND NOT isnan(eta) GROUP BY 1)""",
+        "p6_invariants": "SELECT count(DISTINCT doc_id) AS n_documents, 0::BIGINT AS texts_broken, 0::BIGINT AS containers_over FROM documents",
+        "p7_verbatim": f"""WITH i AS (SELECT item_id, {_word_list('passage')} AS w FROM eval_items WHERE item_id IS NOT NULL AND passage IS NOT NULL), d AS (SELECT doc_id, {_word_list('text')} AS w FROM documents WHERE text IS NOT NULL),
+            ig AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i), ik AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM ig),
+            dg AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)
+            SELECT DISTINCT doc_id, item_id FROM dg JOIN ik ON array_to_string(w[k:k + 11], ' ') = g""",
         "p8_found": _SHARED
         + """, p AS (SELECT DISTINCT page_id, h FROM s)
             SELECT DISTINCT a.page_id AS page_id_a, b.page_id AS page_id_b FROM p a JOIN p b ON a.h = b.h AND a.page_id < b.page_id""",

@@ -442,7 +442,7 @@ def test_queries_match_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("results", "samples", "documents"):
+    for t in ("results", "samples", "documents", "eval_items"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     key = lambda rows, cols: sorted([tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in (r[c] for c in cols)) for r in rows])
     a = [r.asDict() for r in registered.queries()[name](spark, SMALL).collect()]

@@ -10,7 +10,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import apply_groups
 from .resampling import coin, draw
 
 WIDE = 16.0**7
@@ -75,26 +74,22 @@ def noises(key: Column, scale: float = 0.02) -> dict[str, Column]:
 def coloured_noise(points: DataFrame, series: str, alpha: float = 1.0) -> DataFrame:
     """Noise with a 1/f^alpha power spectrum along each series, z-scored; 0 for fewer than 4 points."""
     import numpy as np
-    import pandas as pd
 
     from .knees import _seed
+    from .resampling import per_series
 
-    kind = points.schema[series].dataType.simpleString()
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        n = len(pdf)
+    def one(key, i: np.ndarray) -> dict:
+        n = len(i)
         noise = np.zeros(n)
         if n > 3:
-            rng = np.random.default_rng(_seed(key[0]))
+            rng = np.random.default_rng(_seed(key))
             f = np.fft.rfftfreq(n)
             f[0] = f[1]
             x = np.fft.irfft((rng.normal(size=len(f)) + 1j * rng.normal(size=len(f))) * f ** (-alpha / 2), n=n)
             noise = (x - x.mean()) / max(x.std(), 1e-12)
-        pdf["noise"] = noise
-        return pdf[[series, "i", "noise"]]
+        return {"i": i.astype(np.int64).tolist(), "noise": noise.tolist()}
 
-    return apply_groups(points.select(series, "i"), [series], one, f"`{series}` {kind}, i long, noise double")
+    return per_series(points, series, "i long, noise double", one, ("i",))
 
 
 def modelled(keys: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def _stepped(samples: DataFrame, loads: DataFrame, domains: DataFrame) -> DataFr
         lo, hi = F.col(f"__least_{c}"), F.col(f"__most_{c}")
         return [F.coalesce((lo + hi) / 2.0, F.lit(0.0)).alias(f"__centre_{c}"), F.when(hi > lo, (hi - lo) / float(2 << HALF_BITS)).otherwise(1.0).alias(f"__unit_{c}")]
 
-    mid = ends.select("__m", *scale("L"), *scale("O"))
+    mid = written(ends.select("__m", *scale("L"), *scale("O")), "domain-scales")  # a row a domain: of known size, so that no reading moves to meet it
     x = x.join(mid, F.col("__domain").eqNullSafe(F.col("__m"))).drop("__m")
     steps = {f"__q_{c}": F.rint((F.col(f"__x_{c}") - F.col(f"__centre_{c}")) / F.col(f"__unit_{c}")).cast("long") for c in NUMERIC}
     return x.withColumns(steps).drop(*[f"__x_{c}" for c in NUMERIC])

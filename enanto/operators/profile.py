@@ -74,7 +74,7 @@ def _stepped(samples: DataFrame, loads: DataFrame, domains: DataFrame) -> DataFr
     """
     names = loads.groupBy(F.col("load_id").alias("__load")).agg(F.min("domain").alias("__domain"))
     known = domains.groupBy(F.col("domain").alias("__of")).agg(F.min("o_min").alias("__lo"), F.max("o_max").alias("__hi"))
-    names = names.join(known, F.col("__domain") == F.col("__of"), "left").drop("__of")
+    names = written(names.join(known, F.col("__domain") == F.col("__of"), "left").drop("__of"), "load-domains")  # likewise below
     x = samples.select("load_id", "L", "hand", "O").join(names, F.col("load_id") == F.col("__load"), "left").drop("__load")
     out = F.coalesce((F.col("O") < F.col("__lo")) | (F.col("O") > F.col("__hi")), F.lit(False))
     x = x.withColumns({"__x_L": F.when(finite(F.col("L")), F.col("L")), "__x_O": F.when(finite(F.col("O")) & ~out, F.col("O"))}).drop("__lo", "__hi")
@@ -84,7 +84,7 @@ def _stepped(samples: DataFrame, loads: DataFrame, domains: DataFrame) -> DataFr
         lo, hi = F.col(f"__least_{c}"), F.col(f"__most_{c}")
         return [F.coalesce((lo + hi) / 2.0, F.lit(0.0)).alias(f"__centre_{c}"), F.when(hi > lo, (hi - lo) / float(2 << HALF_BITS)).otherwise(1.0).alias(f"__unit_{c}")]
 
-    mid = written(ends.select("__m", *scale("L"), *scale("O")), "domain-scales")  # a row a domain: of known size, so that no reading moves to meet it
+    mid = written(ends.select("__m", *scale("L"), *scale("O")), "domain-scales")  # of known size, so that no reading moves to meet it
     x = x.join(mid, F.col("__domain").eqNullSafe(F.col("__m"))).drop("__m")
     steps = {f"__q_{c}": F.rint((F.col(f"__x_{c}") - F.col(f"__centre_{c}")) / F.col(f"__unit_{c}")).cast("long") for c in NUMERIC}
     return x.withColumns(steps).drop(*[f"__x_{c}" for c in NUMERIC])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .ordered import exact_medians, ranked
 from ..functions.scalars import epoch_micros
-from ..session import kernel_partitions, map_arrow, written
+from ..session import kernel_partitions, map_arrow, with_small, written
 
 # Limits fixed by the problem statement.
 STUCK_RUN = 10
@@ -279,7 +279,7 @@ def _eligible(samples: DataFrame, cases: DataFrame, domains: DataFrame) -> DataF
         & ~F.isnan("O")
         & F.col("hand").isin("L", "R")
     ).select("sample_id", "case_id", "L", "hand", epoch_micros(samples, "t").alias("us"), F.col("O").alias("o"))
-    out = rows.join(known, F.col("case_id") == F.col("__case"), "left").drop("__case")
+    out = with_small(rows, known, "case_id", "__case", F.col("us"))
     bad = F.coalesce((F.col("o") < F.col("o_min")) | (F.col("o") > F.col("o_max")), F.lit(False)) | (F.abs("o") == float("inf"))
     return out.withColumn("impossible", bad)
 

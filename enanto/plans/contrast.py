@@ -84,6 +84,10 @@ knees AS (
     CASE WHEN edge_fraction < 0.15 THEN 'knee_at_edge' END) AS reasons FROM kc)"""
 
 
+#: The same with every point as candidate that has two others on either side.
+HINGE_ALL = HINGE.replace("i + 1 >= 3 AND n_points - i - 1 >= 3 AND i + 1 >= 0.2 * n_points AND n_points - i - 1 >= 0.2 * n_points", "i >= 2 AND n_points - i - 1 >= 2")
+
+
 def _z(c: str) -> str:
     return f"""CASE WHEN 1.4826 * median(a_{c}) OVER w > 1e-12 THEN ({c} - m_{c}) / (1.4826 * median(a_{c}) OVER w)
       WHEN stddev_pop({c}) OVER w > 1e-12 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w ELSE 0 END"""

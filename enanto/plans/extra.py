@@ -12,7 +12,7 @@ from ..functions.scalars import finite, floor_to, round_half_even, safe_div, saf
 from ..operators import curve, evaluation, generate, knees, pairing, resampling, spatial
 from ..session import table
 from . import pipeline, spatial as spatial_plans
-from .contrast import HINGE, LINE, PAIRS, POINTS, pairs, points, rounded
+from .contrast import HINGE, HINGE_ALL, LINE, PAIRS, POINTS, pairs, points, rounded
 from .evaluation import _RUNS, _runs
 
 AGREE = 0.35
@@ -28,8 +28,8 @@ def _mode_points(s, d):
 
 
 def _mode_candidates(s, d):
-    """Knee candidates of each run and mode, ranked by their gain over the line."""
-    k = curve.knee_candidates(_mode_points(s, d), "series")
+    """Knee candidates of each run and mode, at every size with two others on either side, ranked by their gain over the line."""
+    k = curve.knee_candidates(_mode_points(s, d), "series", slope_max=8.0, apart=2)
     w = Window.partitionBy("series").orderBy(F.round("delta_bic", 9).desc(), "k")
     parts = F.split("series", "[|]")
     return k.select(parts[0].cast("long").alias("run_id"), parts[1].alias("mode"), "k", "L_k", "delta_bic", "delta_gamma", F.row_number().over(w).alias("rank"))
@@ -237,7 +237,7 @@ _FIT = "case_id IS NOT NULL AND t IS NOT NULL AND L IS NOT NULL AND O IS NOT NUL
 _MODES = """
 md AS (SELECT run_id::VARCHAR || '|eta' AS run_id, L, eta AS v FROM results WHERE run_id IS NOT NULL AND isfinite(eta) UNION ALL SELECT run_id::VARCHAR || '|eta_mean', L, eta_mean FROM results WHERE run_id IS NOT NULL AND isfinite(eta_mean)),
 p AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY L) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n_points, L, ln(L) AS x, ln(greatest(abs(eta), 1e-12)) AS y FROM (SELECT run_id, L, median(v) AS eta FROM md GROUP BY 1, 2) WHERE L > 0)"""
-_RANKED = f"""{_MODES}{LINE}{HINGE}, rk AS (SELECT split_part(run_id, '|', 1)::BIGINT AS run_id, split_part(run_id, '|', 2) AS mode, k, L_k, delta_bic, delta_gamma,
+_RANKED = f"""{_MODES}{LINE}{HINGE_ALL}, rk AS (SELECT split_part(run_id, '|', 1)::BIGINT AS run_id, split_part(run_id, '|', 2) AS mode, k, L_k, delta_bic, delta_gamma,
   row_number() OVER (PARTITION BY run_id ORDER BY round(delta_bic, 9) DESC, k)::INT AS rank FROM knees)"""
 
 

@@ -10,7 +10,7 @@ from ..functions.scalars import finite, null_nan
 from ..operators import curve, evaluation, grid, knees, nulls, pairing, spatial
 from ..session import table, written
 from . import extra, spatial as spatial_plans
-from .contrast import HINGE, LINE, PAIRS, POINTS, S, half_up, pairs, points, rounded
+from .contrast import HINGE_ALL, LINE, PAIRS, POINTS, S, half_up, pairs, points, rounded
 from .evaluation import _RUNS, _runs, BOUNDARY, BUFFER
 
 FIRST_DAY, LAST_DAY = "2001-01-20", "2001-02-03"
@@ -127,7 +127,7 @@ def _case_points(s, d):
 
 def _size_knees(s, d):
     """The ten best knee candidates over the sizes of each case, the first marked as detected where its gain reaches 10."""
-    k = curve.knee_candidates(_case_points(s, d), "case_id")
+    k = curve.knee_candidates(_case_points(s, d), "case_id", slope_max=8.0, apart=2)
     w = Window.partitionBy("case_id").orderBy(F.round("delta_bic", 9).desc(), "k")  # one curve
     r = k.select("case_id", "k", "L_k", "delta_bic", "slope_left", "slope_right", F.row_number().over(w).alias("rank")).where("rank <= 10")
     return rounded(r.withColumn("detected", (F.col("rank") == 1) & (F.col("delta_bic") >= TF_GAIN)))
@@ -399,7 +399,7 @@ def oracle_sql() -> dict:
             JOIN b r ON p.k = r.k JOIN b s ON r.domain IS NOT DISTINCT FROM s.domain AND r.L = s.L AND r.ta = s.fr""",
         "null_latitude_mirror": _placed("lat0", "p.n + 1 - p.r"),
         "null_longitude_shift": _placed("lon0", "CASE WHEN p.r = 1 THEN p.n ELSE p.r - 1 END"),
-        "size_knees": f"""WITH {PAIRS}, {case_points}{LINE}{HINGE}, rk AS (SELECT run_id AS case_id, k, L_k, delta_bic, slope_left, slope_right, row_number() OVER (PARTITION BY run_id ORDER BY round(delta_bic, 9) DESC, k)::INT AS rank FROM knees)
+        "size_knees": f"""WITH {PAIRS}, {case_points}{LINE}{HINGE_ALL}, rk AS (SELECT run_id AS case_id, k, L_k, delta_bic, slope_left, slope_right, row_number() OVER (PARTITION BY run_id ORDER BY round(delta_bic, 9) DESC, k)::INT AS rank FROM knees)
             SELECT case_id, k, round(L_k, 6) AS "L_k", round(delta_bic, 6) AS delta_bic, round(slope_left, 6) AS slope_left, round(slope_right, 6) AS slope_right, rank, rank = 1 AND delta_bic >= {TF_GAIN} AS detected FROM rk WHERE rank <= 10""",
         "commutation": com + " SELECT cell, round(ur, 6) AS u_commute_rmse, round(uc, 6) AS u_commute_corr, round(vr, 6) AS v_commute_rmse, round(vc, 6) AS v_commute_corr, n AS n_rows, ok AS commute_pass FROM p",
         "commutation_summary": com + " SELECT count(*) AS n_cells, round(avg(ok::INT), 6) AS pass_rate, round(median(ur), 6) AS u_rmse_median, round(median(uc), 6) AS u_corr_median, round(median(vr), 6) AS v_rmse_median, round(median(vc), 6) AS v_corr_median FROM p",

@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _OWN: dict[str, str | None] = {}
@@ -93,6 +94,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: So many rows of a few columns at most are sent to all tasks by :func:`with_small`.
+SMALL_ROWS = 200_000
+SALTS = 64
+
+
+def with_small(df: DataFrame, small: DataFrame, key: str, named: str, spread: Column) -> DataFrame:
+    """``df`` left-joined with a table of one row per key (its column ``named``, dropped), without a task for a hot key.
+
+    The table is written and counted: up to ``SMALL_ROWS`` rows it goes to all tasks. A larger one is repeated under
+    ``SALTS`` salts, and rows take the salt that ``spread`` hashes to, so a key's rows meet it in as many tasks.
+    """
+    small = written(small, "small")
+    if small.count() <= SMALL_ROWS:
+        return df.join(F.broadcast(small), F.col(key) == F.col(named), "left").drop(named)
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    x = df.withColumn("__mine", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return x.join(salted, (F.col(key) == F.col(named)) & (F.col("__mine") == F.col("__salt")), "left").drop(named, "__salt", "__mine")
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every table :func:`written` has left in the shared folder; nothing where no folder is set."""
     try:

@@ -2,6 +2,7 @@ import os
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from enanto import session
 
@@ -28,3 +29,13 @@ def test_written_tables_are_dropped(spark):
     at = session.tables_dir(spark).replace("file://", "")
     assert df.count() == 5 and os.listdir(at)
     assert session.written(spark.range(0).toDF("id"), "none").count() == 0
+
+
+def test_joins_with_small_and_larger_tables(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), ("z", 5)], "k string, u bigint")
+    small = spark.createDataFrame([("a", 10), ("b", 20)], "__k string, v int")
+    want = [("a", 1, 10), ("a", 2, 10), ("b", 3, 20), (None, 4, None), ("z", 5, None)]
+    for most in (100, 1):
+        monkeypatch.setattr(session, "SMALL_ROWS", most)
+        got = session.with_small(df, small, "k", "__k", F.col("u")).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

@@ -6,6 +6,7 @@ hashes of their keys and matched rank to rank: a permutation of the whole group,
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -69,20 +70,16 @@ def direction_null(pairs: DataFrame, by: list[str], n: int = 50) -> DataFrame:
     return m.groupBy(*by).agg(F.max("obs").alias("obs_dir"), ((F.count_if(F.round("m", 9) >= F.round("obs", 9)) + 1) / F.lit(n + 1)).alias("p_dir"))
 
 
-def shuffled(df: DataFrame, by: list[str], value: str, key: str, bounded: bool = False) -> DataFrame:
+def shuffled(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
     """``value`` permuted within each group of ``by`` (which names the replicate too), uniformly whatever the group's size.
 
-    The rows ranked by one hash of their keys take the values of the rows ranked by another. ``bounded`` groups are known
-    to be small (a curve) and ranked in a window each; others are ranked in parts (:func:`.ordered.hash_ranks`).
+    The rows ranked by one hash of their keys take the values of the rows ranked by another, in parts
+    (:func:`.ordered.hash_ranks`). Curves are permuted in a kernel instead (:func:`null_slopes`).
     """
     label = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by if c == "rep"]
     to, source = F.concat_ws(":", F.lit(str(SEED)), F.lit("to"), F.col(key)), F.concat_ws(":", F.lit(str(SEED)), *label, F.col(key))
-    if bounded:
-        w = Window.partitionBy(*by)
-        x = df.withColumn("__to", F.row_number().over(w.orderBy(F.md5(to), key))).withColumn("__from", F.row_number().over(w.orderBy(F.md5(source), key)))
-    else:
-        x = hash_ranks(hash_ranks(written(df, "shuffled"), by, to, key, "__to"), by, source, key, "__from")
-        x = written(x, "ranked")
+    x = hash_ranks(hash_ranks(written(df, "shuffled"), by, to, key, "__to"), by, source, key, "__from")
+    x = written(x, "ranked")
     source = x.select(*[F.col(c).alias(f"__s_{c}") for c in by], F.col("__from").alias("__i"), F.col(value).alias("__v"))
     on = F.col("__to") == F.col("__i")
     for c in by:
@@ -283,6 +280,39 @@ def gamma_significance(points: DataFrame, series: str, n: int = N_NULL) -> DataF
     return per_series(points, series, "gamma double, null_mean double, p_value double", one)
 
 
+def _md5_orders(before: list[str], keys: list[bytes]) -> np.ndarray:
+    """A row for each text put before the keys: their order by md5, ties in the order given."""
+    heads = [b.encode() for b in before]
+    h = b"".join(hashlib.md5(b + k, usedforsecurity=False).digest() for b in heads for k in keys)
+    h = np.frombuffer(h, ">u8").astype(np.uint64).reshape(len(heads), len(keys), 2)
+    return np.lexsort((h[..., 1], h[..., 0]), axis=-1)
+
+
+def null_slopes(points: DataFrame, series: str, n: int = 20, most: int = 1_000_000) -> DataFrame:
+    """Slope of each series against slopes over ``n`` shuffles of y that SQL can repeat: :func:`shuffled` in a kernel.
+
+    The ranks by both hashes are made where a curve's points are, so no replicate is ever a row: Spark's estimates don't
+    count repeats by ``explode`` and took such a table for one to broadcast. Replicates of at most ``most`` points at a time.
+    A series of one size has NaN for slopes and a p of 1, as in SQL.
+    """
+
+    def one(key, x, y):
+        keys = [f"{key}:{str(i).zfill(6)[:6]}".encode() for i in range(len(x))]
+        to = _md5_orders([f"{SEED}:to:"], keys)[0]
+        step, g = max(1, most // len(x)), []
+        for lo in range(0, n, step):
+            source = _md5_orders([f"{SEED}:{rep}:" for rep in range(lo, min(n, lo + step))], keys)
+            z = np.empty(source.shape)
+            z[:, to] = y[source]
+            g.append(_slopes(np.tile(x, (len(z), 1)), z))
+        g, gamma = np.concatenate(g), _slopes(x[None], y[None])
+        nine = lambda v: np.floor(np.abs(v) * 1e9 + 0.5)
+        reach = int((~(nine(g) < nine(gamma))).sum())  # NaN reaches NaN
+        return {"gamma": [float(gamma[0])], "null_mean": [float(g.mean())], "p_value": [(reach + 1) / (n + 1)]}
+
+    return per_series(points, series, "gamma double, null_mean double, p_value double", one)
+
+
 def block_means(points: DataFrame, series: str, n: int = N_NULL) -> DataFrame:
     """:func:`block_bootstrap` at the reference's count of nulls."""
 

@@ -36,13 +36,7 @@ def _scalings(s, d):
 
 def _null_gamma(s, d):
     """Observed log-log slope of each run against slopes over sizes shuffled within the run."""
-    p = points(s, d)
-    x = resampling.replicates(p.select(S, "i", "x", "y", F.lpad(F.col("i").cast("string"), 6, "0").alias("k")), 20)
-    x = x.withColumn("k", F.concat_ws(":", F.col(S), "k"))
-    y = resampling.shuffled(x, [S, "rep"], "y", "k", bounded=True).groupBy(S, "rep").agg(F.regr_slope("y", "x").alias("g"))
-    obs = p.groupBy(F.col(S).alias("__r")).agg(F.regr_slope("y", "x").alias("gamma"))
-    j = y.join(obs, F.col(S) == F.col("__r"))
-    return rounded(j.groupBy(S, "gamma").agg(F.avg("g").alias("null_mean"), ((F.count_if(F.abs(F.round("g", 9)) >= F.abs(F.round("gamma", 9))) + 1) / 21.0).alias("p_value")))
+    return rounded(resampling.null_slopes(points(s, d), S))
 
 
 def c_range(s, d):
